@@ -7,13 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kneser_ney, mixing, quality, token_counts, url_filters
+from . import bpe, jaccard, kneser_ney, mixing, quality, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), 4, 85)
+
+
+OP1_SQL = r"""
+with recursive word as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+gram as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') as g
+  from word, lateral (select unnest(range(1, greatest(len(w) - 2, 2))) as i) where len(w) > 0),
+size as (select doc_id, count(*) as n from gram group by doc_id),
+posting as (select doc_id, g, n from gram join size using (doc_id) where g in (select g from gram group by g having count(*) > 1)),
+link as (
+  select a.doc_id as x, b.doc_id as y from posting a join posting b on a.g = b.g and a.doc_id < b.doc_id and 85 * greatest(a.n, b.n) <= 100 * least(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edge as (select x, y from link union select y, x from link),
+reach as (select doc_id as x, doc_id as y from documents union select r.x, e.y from reach r join edge e on r.y = e.x)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, r.c as component_id
+from documents d left join size s using (doc_id) join (select x, min(y) as c from reach group by x) r on r.x = d.doc_id
+"""
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "lang", "n_tokens", F.pow(F.lit(10.0), "log_ppl").alias("perplexity"), F.pow(F.lit(10.0), "threshold").alias("max_perplexity"), "keep")
@@ -119,8 +140,8 @@ from ranked
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_classifier, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op6_url_filters": OP6_SQL, "op9_source_mixing": OP9_SQL}
