@@ -15,6 +15,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 np.seterr(over="ignore")  # hashes are meant to wrap around
 _ODD = np.random.default_rng(20240601).integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)
+_PLAIN = _BYTE.copy()
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _powers = np.ones(1, np.uint64)
 
