@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kneser_ney, mixing, quality, suffixes, token_counts, url_filters
+from . import bpe, jaccard, kneser_ney, mixing, neighbours, quality, suffixes, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "lang", "n_tokens", F.pow(F.lit(10.0), "log_ppl").alias("perplexity"), F.pow(F.lit(10.0), "threshold").alias("max_perplexity"), "keep")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(_table(spark, sf_dir, "documents"), 200)
 
@@ -144,7 +148,7 @@ from ranked
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op4_suffix_dedup, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_nearest_neighbours, op4_suffix_dedup, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
