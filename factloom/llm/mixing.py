@@ -21,8 +21,9 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
     times its size, the excess given again by weight. Sources are in code point order, null last, and take the
     weights in turn. Sources without words get 0.
 
-    Handing the excess on until none is above ends at one level t with target = least(cap, weight * t); sources are
-    full in order of cap / weight. One row a source is sorted here, nothing else.
+    Handing the excess on until none is above ends at one level t with target = least(cap, weight * t). Sources are
+    full in order of cap / weight, and t is what is left over the weights left at the first that isn't: the largest
+    such quotient of those that hold. One row a source is sorted here, nothing else.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
@@ -36,7 +37,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
         .withColumn("weight_left", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     )
     level = (F.col("total") - F.col("full_before")) / F.col("weight_left")
-    caps = caps.withColumn("level", F.when(F.col("cap") / F.col("weight") >= level, level)).withColumn("level", F.min("level").over(everything))
+    caps = caps.withColumn("level", F.when(F.col("cap") / F.col("weight") >= level, level)).withColumn("level", F.max("level").over(everything))
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("weight") * F.col("level")))
     return caps.select("source", "source_size", target.alias("target"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, kneser_ney, mixing, neighbours, quality, suffixes, token_counts, url_filters
+from . import bpe, images, jaccard, kneser_ney, mixing, neighbours, quality, suffixes, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +133,7 @@ filling as (
     coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as full_before,
     sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0) as weight_left
   from weighted),
-levels as (select *, min(case when cap / weight >= (total - full_before) / weight_left then (total - full_before) / weight_left end) over () as level from filling),
+levels as (select *, max(case when cap / weight >= (total - full_before) / weight_left then (total - full_before) / weight_left end) over () as level from filling),
 goals as (select source, source_size, case when level is null then cap else least(cap, weight * level) end as target from levels),
 ranked as (
   select s.doc_id, s.source, s.size, g.source_size, g.target,
@@ -147,8 +147,12 @@ from ranked
 """
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.copies(images.media_of(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "image_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_nearest_neighbours, op4_suffix_dedup, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_nearest_neighbours, op4_suffix_dedup, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing, op10_image_copies)}
 
 
 def oracle_sql() -> dict[str, str]:

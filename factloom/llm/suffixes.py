@@ -216,9 +216,9 @@ def _marked(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.groupBy("shard").applyInArrow(mark, "fp long, spans array<struct<a:long,b:long>>")
 
 
-def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row, and with ``keep_bytes`` its remaining bytes as kept
-    (null where nothing is removed).
+def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row, and with ``keep_text`` its remaining text as kept
+    (null where nothing is removed; a character that a cut goes through is dropped).
 
     A byte goes if a string of ``length`` bytes that covers it also begins anywhere else in the texts of ``docs``, in
     the same text included; matches don't cross texts, and all are judged on the input. Null texts count as empty;
@@ -250,25 +250,24 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
                 np.add.at(edges, [s["b"] for s in spans], -1)
                 gone = np.cumsum(edges)[:-1] > 0
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                rows.append((int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+                rows.append((int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["fp", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string())))], ["fp", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = affected.select("fp", "text").join(spans, "fp").mapInArrow(cut, "fp long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = affected.select("fp", "text").join(spans, "fp").mapInArrow(cut, "fp long, n_removed long, n_spans long, kept_sha256 string, kept string")
     done = common.written(done, "cut")
     copied = texts.where(f"copies > 1 and n_bytes >= {length}").select(F.col("sha").alias("__sha"), F.lit(True).alias("copied"))
     rows = info.join(copied, info.sha == F.col("__sha"), "left")
-    whole = rows.where("copied").select(id_col, "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    whole = rows.where("copied").select(id_col, "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit("").alias("kept"))
     rest = rows.where("copied is null").withColumn("__fp", fp).join(done, F.col("__fp") == done.fp, "left")
     rest = rest.select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
     out = whole.unionByName(rest)
-    return out if keep_bytes else out.drop("kept")
+    return out if keep_text else out.drop("kept")
 
 
 def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``docs`` with repeats cut out of their texts and n_chars set anew; a text with nothing left goes. A cut through
-    a character drops the rest of it."""
-    result = without_repeats(docs, length, keep_bytes=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.expr("try_validate_utf8(decode(kept, 'UTF-8'))").alias("__kept"), F.lit(True).alias("__cut")).dropDuplicates(["__id"])
+    """``docs`` with repeats cut out of their texts and n_chars set anew; a text with nothing left goes."""
+    result = without_repeats(docs, length, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.lit(True).alias("__cut")).dropDuplicates(["__id"])
     rows = docs.join(result, docs.doc_id.eqNullSafe(F.col("__id")), "left").withColumn("text", F.when(F.col("__cut"), F.coalesce("__kept", F.lit(""))).otherwise(F.col("text")))
     rows = rows.where("__cut is null or length(text) > 0")
     if "n_chars" in docs.columns:
