@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import common, packing, words
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Cuts of the hash range for the suffix filter, and rounds in which candidates meet leaders only.
 CUTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 LEADER_ROUNDS = 2
@@ -59,13 +59,13 @@ def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n long, fp long, fp2 long" + ", hashes binary" * with_set
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, schema)
 
 
 def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str) -> DataFrame:
     """(token, fp, n, pos): the prefix places of each set that other sets have too."""
     spark = docs.sparkSession
-    shards = max(common.shards(spark), total >> 21)
+    shards = max(common.shards(spark), total >> 20)
     # ranks need counts of shingles only up to rare collisions, so as many bits do as keep those rare
     drop = np.uint64(64 - min(64, max(32, int(total).bit_length() + 12)))
 
@@ -138,7 +138,7 @@ def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col:
         keep = pos <= n - least_overlap(n, percent)
         return pa.table([pa.array(token[keep].view(np.int64)), pa.array(fp[keep]), pa.array(n[keep]), pa.array(pos[keep])], ["token", "fp", "n", "pos"])
 
-    sent = docs.select(F.col(text_col).cast("string")).mapInArrow(send, "shard int, tokens binary, owners binary, fps binary, sizes binary")
+    sent = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "shard int, tokens binary, owners binary, fps binary, sizes binary")
     back = sent.groupBy("shard").applyInArrow(count, "to int, fps binary, sizes binary, dfs binary, tokens binary")
     return back.groupBy("to").applyInArrow(choose, "token long, fp long, n long, pos long")
 

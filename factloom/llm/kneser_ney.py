@@ -27,7 +27,7 @@ from . import common, packing, words
 BEGIN, END = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFEB1B2C9)
 WORD_BITS = np.uint64(30)
 WORD_MASK = np.uint64((1 << 30) - 1)
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -155,7 +155,7 @@ def train(docs: DataFrame, order: int, text_col: str = "text", shards: int | Non
     """Count all of ``docs`` and write the model's arrays to the shared folder. Null and empty texts count one end."""
     spark = docs.sparkSession
     folder, shards = common.fresh_path(spark, "kneser-ney"), shards or common.shards(spark)
-    entries = docs.select(F.col(text_col).cast("string")).mapInArrow(_count_blocks(order, shards), "level int, shard int, keys binary, lefts binary, counts binary")
+    entries = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(_count_blocks(order, shards), "level int, shard int, keys binary, lefts binary, counts binary")
     reduce, schema = _reduce_shard(order, folder)
     stats = entries.groupBy("level", "shard").applyInArrow(reduce, schema)
     sums = {r["level"]: r for r in stats.groupBy("level").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "n4", "types", "total", "tokens"))).collect()}
@@ -243,7 +243,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             texts = words.as_bytes(batch.column(1))
             parts = []
-            for a, b in words.slices(texts, 4 << 20):
+            for a, b in words.slices(texts, 1 << 20):
                 logs, known, n = token_scores(model, texts[a:b])
                 first = np.cumsum(n) - n
                 base = np.log10((known + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 passed = [batch.column(0), *batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays([*passed, *(pa.array(np.concatenate(x)) for x in zip(*parts))], [id_col, *extra, "n_tokens", "n_known", "base_score", "score"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"), *(F.col(c) for c in extra))
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("__text"), *(F.col(c) for c in extra))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *extra))
     return rows.mapInArrow(run, f"{kinds}, n_tokens long, n_known long, base_score double, score double")
 

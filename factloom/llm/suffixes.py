@@ -24,7 +24,7 @@ from . import common, packing, words
 GRAM = 64
 PLACE_BITS = np.uint64(20)
 PIECE = 1 << 19
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BROADCAST_ANCHORS = 2_000_000
 _INVERSE = np.uint64(pow(int(words._ODD[0]), -1, 2**64))
 _inverse = np.ones(1, np.uint64)
@@ -80,14 +80,14 @@ def repeated_windows(contexts: list[bytes], length: int) -> np.ndarray:
     key = key >> (beyond * np.uint64(8)) << (beyond * np.uint64(8))
     order = np.lexsort((near, key))
     new = np.concatenate([[False], (key[order][1:] != key[order][:-1]) | (near[order][1:] != near[order][:-1])])
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.cumsum(new)
     levels, h, top = [(8, rank)], 8, int(rank.max())
     while top < n - 1 and h <= int(sizes.max()):
-        after = np.concatenate([rank[h:], np.full(min(h, n), -1, np.int64)])[:n] + 1
-        pair = rank * np.int64(n + 2) + after
+        after = np.concatenate([rank[h:], np.full(min(h, n), -1, np.int32)])[:n] + 1
+        pair = rank.astype(np.int64) * (n + 2) + after
         order = np.argsort(pair)
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.concatenate([[False], pair[order][1:] != pair[order][:-1]]))
         h *= 2
         levels.append((h, rank))
@@ -98,7 +98,7 @@ def repeated_windows(contexts: list[bytes], length: int) -> np.ndarray:
     a, b = suffix[edge], suffix[edge + 1]
     match = np.zeros(len(edge), np.int64)
     for h, rank in reversed(levels):
-        padded_rank = np.append(rank, -1)
+        padded_rank = np.append(rank, np.int32(-1))
         i, j = np.minimum(a + match, n), np.minimum(b + match, n)
         same = (padded_rank[i] == padded_rank[j]) & (i < n) & (j < n)
         match += np.where(same, h, 0)
@@ -177,7 +177,7 @@ def _repeated_runs(docs: DataFrame, length: int, text_col: str) -> DataFrame:
         keep = np.repeat(n, n) > 1
         return pa.table([pa.array(x[keep]) for x in (fp, first, windows, anchor.view(np.int64))], ["fp", "first", "windows", "anchor"])
 
-    sent = docs.select(F.col(text_col).cast("string")).mapInArrow(send, "shard int, anchors binary, owners binary, fps binary, firsts binary, windows binary")
+    sent = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "shard int, anchors binary, owners binary, fps binary, firsts binary, windows binary")
     return sent.groupBy("shard").applyInArrow(count, "fp long, first long, windows long, anchor long")
 
 
@@ -235,7 +235,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     wanted = runs.groupBy("fp").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("runs"))
     wanted = texts.select(fp.alias("fp"), F.col("first").alias(id_col), "copies").where(F.col(id_col).isNotNull()).join(wanted, "fp").drop("copies")
     affected = common.written(docs.join(F.broadcast(wanted) if n_runs <= BROADCAST_ANCHORS else wanted, id_col).dropDuplicates(["fp"]), "affected")
-    shards = max(common.shards(spark), n_runs >> 14)
+    shards = max(common.shards(spark), n_runs >> 12)
     contexts = affected.select("fp", F.col("text").cast("binary").alias("data"), F.explode("runs").alias("r")).select(
         F.pmod(F.xxhash64("r.anchor"), F.lit(shards)).alias("shard"), "fp", F.col("r.first").alias("first"), F.col("r.anchor").alias("anchor"),
         F.substring("data", (F.col("r.first") + 1).cast("int"), (F.col("r.windows") + F.lit(length - 1)).cast("int")).alias("context"))
@@ -254,7 +254,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string())))], ["fp", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = affected.select("fp", "text").join(spans, "fp").mapInArrow(cut, "fp long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    done = affected.select("fp", F.col("text").cast("binary")).join(spans, "fp").mapInArrow(cut, "fp long, n_removed long, n_spans long, kept_sha256 string, kept string")
     done = common.written(done, "cut")
     copied = texts.where(f"copies > 1 and n_bytes >= {length}").select(F.col("sha").alias("__sha"), F.lit(True).alias("copied"))
     rows = info.join(copied, info.sha == F.col("__sha"), "left")

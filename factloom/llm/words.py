@@ -43,7 +43,7 @@ def as_bytes(column) -> list[bytes]:
     return [b"" if x is None else x if isinstance(x, bytes) else x.encode() for x in column.to_pylist()]
 
 
-def slices(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: Iterable[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """(first, past the last) of runs of documents with about ``most`` bytes each; a longer document stands alone."""
     first, held, k = 0, 0, -1
     for k, t in enumerate(texts):
