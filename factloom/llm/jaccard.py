@@ -23,6 +23,8 @@ BLOCK = 1 << 20
 #: Cuts of the hash range for the suffix filter, and rounds in which candidates meet leaders only.
 CUTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 LEADER_ROUNDS = 2
+#: Earlier places that a posting names, so that sets which share one of them too aren't paired again.
+PRIOR = 8
 #: Ids of candidate documents are broadcast up to this number (16 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -63,7 +65,8 @@ def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col
 
 
 def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str) -> DataFrame:
-    """(token, fp, n, pos): the prefix places of each set that other sets have too."""
+    """(token, fp, n, pos, alone, prior): the prefix places of each set that other sets have too; the first ``alone``
+    places of a set are shingles that no other set has, ``prior`` are up to PRIOR tokens just before this one."""
     spark = docs.sparkSession
     shards = max(common.shards(spark), total >> 20)
     # ranks need counts of shingles only up to rare collisions, so as many bits do as keep those rare
@@ -134,13 +137,18 @@ def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col:
         fp, n, token = fp[order], n[order].astype(np.int64), token[order]
         starts = np.flatnonzero(np.diff(fp, prepend=~fp[:1]))
         k = np.diff(np.append(starts, len(fp)))
-        pos = np.arange(len(fp)) - np.repeat(starts, k) + n - np.repeat(k, k)
-        keep = pos <= n - least_overlap(n, percent)
-        return pa.table([pa.array(token[keep].view(np.int64)), pa.array(fp[keep]), pa.array(n[keep]), pa.array(pos[keep])], ["token", "fp", "n", "pos"])
+        alone = n - np.repeat(k, k)
+        pos = np.arange(len(fp)) - np.repeat(starts, k) + alone
+        at = np.flatnonzero(pos <= n - least_overlap(n, percent))
+        earlier = np.minimum((pos - alone)[at], PRIOR)
+        ends = np.cumsum(earlier)
+        prior = token[np.repeat(at - ends, earlier) + np.arange(earlier.sum())]
+        prior = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(prior.view(np.int64)))
+        return pa.table([pa.array(token[at].view(np.int64)), *(pa.array(x[at]) for x in (fp, n, pos, alone)), prior], ["token", "fp", "n", "pos", "alone", "prior"])
 
     sent = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "shard int, tokens binary, owners binary, fps binary, sizes binary")
     back = sent.groupBy("shard").applyInArrow(count, "to int, fps binary, sizes binary, dfs binary, tokens binary")
-    return back.groupBy("to").applyInArrow(choose, "token long, fp long, n long, pos long")
+    return back.groupBy("to").applyInArrow(choose, "token long, fp long, n long, pos long, alone long, prior array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,26 +198,42 @@ def _labelled(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
     return postings.join(classes, postings.fp == classes.node, "left").select(*postings.columns, F.coalesce("component", "fp").alias("c"))
 
 
+#: What a place of a set allows: shared shingles before it and after it.
+BEFORE, AFTER = "pos - alone", "n - pos - 1"
+
+
+def _may_link(percent: int, x: str, y: str):
+    """Length and positional filter of two rows that share a posting, from least and most sizes and the shingles that
+    can match before and after it: those that only one set has never do."""
+    f = lambda side, c: F.col(f"{side}.{c}")
+    most = F.least(f(x, "before"), f(y, "before")) + 1 + F.least(f(x, "after"), f(y, "after"))
+    sizes = (percent * f(x, "small") <= 100 * f(y, "large")) & (percent * f(y, "small") <= 100 * f(x, "large"))
+    return sizes & (percent * (f(x, "small") + f(y, "small")) <= (100 + percent) * most)
+
+
 def _leader_pairs(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each posting's leader of this turn with the sets of other classes that share the posting."""
-    lead = F.min_by(F.struct("fp", "n", "c"), F.xxhash64("fp", F.lit(turn)))
-    leaders = postings.groupBy("token").agg(lead.alias("l"), (F.min("c") < F.max("c")).alias("mixed")).where("mixed").drop("mixed")
-    rows = postings.join(leaders, "token").where("c <> l.c").where(f"{percent} * greatest(n, l.n) <= 100 * least(n, l.n)")
-    return rows.select(F.least("fp", "l.fp").alias("a"), F.greatest("fp", "l.fp").alias("b")).distinct()
+    rows = postings.select("token", F.struct("fp", "c", F.col("n").alias("small"), F.col("n").alias("large"), F.expr(BEFORE).alias("before"), F.expr(AFTER).alias("after")).alias("x"))
+    leaders = rows.groupBy("token").agg(F.min_by("x", F.xxhash64("x.fp", F.lit(turn))).alias("l"), (F.min("x.c") < F.max("x.c")).alias("mixed")).where("mixed").drop("mixed")
+    met = rows.join(leaders, "token").where("x.c <> l.c").where(_may_link(percent, "x", "l"))
+    return met.select(F.least("x.fp", "l.fp").alias("a"), F.greatest("x.fp", "l.fp").alias("b")).distinct()
 
 
 def _apart_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different classes that share a posting and pass the length and positional filters."""
+    """All pairs of different classes that share a posting and pass the length and positional filters.
+
+    A pair that also shares a token just before has met there, so it is left out here: its first common posting names
+    none, and there it is met. Members of a class meet other classes in lists of a 64th, so that no pair within a
+    class is ever formed; two lists are met unless the filters exclude all of their members.
+    """
     mixed = postings.groupBy("token").agg((F.min("c") < F.max("c")).alias("mixed")).where("mixed").select("token")
-    # members of a class meet other classes in lists of a 64th, so that no pair within a class is ever formed
-    lists = postings.join(mixed, "token", "left_semi").groupBy("token", "c", F.pmod("fp", F.lit(64)).alias("part")).agg(F.collect_list(F.struct("fp", "n", "pos")).alias("m"))
-    met = lists.select("token", F.col("c").alias("c1"), F.col("m").alias("m1")).join(lists.select("token", F.col("c").alias("c2"), F.col("m").alias("m2")), "token").where("c1 < c2")
-    rows = met.select(F.explode("m1").alias("x"), "m2").select("x", F.explode("m2").alias("y")).where(f"{percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)")
-    rows = rows.select(F.when(F.expr("x.fp < y.fp"), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y"))).alias("p"))
-    seen = rows.groupBy(F.col("p.x.fp").alias("a"), F.col("p.y.fp").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), F.max("p.x.pos").alias("i"), F.max("p.y.pos").alias("j"), F.max("p.x.n").alias("n"), F.max("p.y.n").alias("m"))
-    most = F.col("shared") + F.least(F.col("n") - F.col("i") - 1, F.col("m") - F.col("j") - 1)
-    return seen.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("a", "b")
+    both = F.reduce(F.collect_list("prior"), F.first("prior"), F.array_intersect)
+    lists = postings.join(mixed, "token", "left_semi").groupBy("token", "c", F.pmod("fp", F.lit(64)).alias("part")).agg(
+        F.collect_list(F.struct("fp", "n", "prior")).alias("m"), both.alias("prior"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.expr(BEFORE)).alias("before"), F.max(F.expr(AFTER)).alias("after"))
+    met = lists.alias("x").join(lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _may_link(percent, "x", "y") & ~F.arrays_overlap("x.prior", "y.prior"))
+    rows = met.select(F.explode("x.m").alias("x"), F.col("y.m").alias("m")).select("x", F.explode("m").alias("y"))
+    rows = rows.where(f"{percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)").where(~F.arrays_overlap("x.prior", "y.prior"))
+    return rows.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
