@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, packing, words
@@ -25,6 +25,8 @@ CUTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 LEADER_ROUNDS = 2
 #: Earlier places that a posting names, so that sets which share one of them too aren't paired again.
 PRIOR = 8
+#: Words of 64 parity cells by which the suffix filter compares what follows a common posting.
+MARKS = 4
 #: Ids of candidate documents are broadcast up to this number (16 bytes each) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -65,8 +67,9 @@ def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col
 
 
 def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str) -> DataFrame:
-    """(token, fp, n, pos, alone, prior): the prefix places of each set that other sets have too; the first ``alone``
-    places of a set are shingles that no other set has, ``prior`` are up to PRIOR tokens just before this one."""
+    """(token, fp, n, pos, prior, marks): the prefix places of each set that other sets have too. Shingles that no
+    other set has take the first places of a set; ``prior`` are up to PRIOR tokens just before this one, ``marks`` the
+    parities of the hashed tokens after it in 64 * MARKS cells."""
     spark = docs.sparkSession
     shards = max(common.shards(spark), total >> 20)
     # ranks need counts of shingles only up to rare collisions, so as many bits do as keep those rare
@@ -144,11 +147,17 @@ def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col:
         ends = np.cumsum(earlier)
         prior = token[np.repeat(at - ends, earlier) + np.arange(earlier.sum())]
         prior = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(prior.view(np.int64)))
-        return pa.table([pa.array(token[at].view(np.int64)), *(pa.array(x[at]) for x in (fp, n, pos, alone)), prior], ["token", "fp", "n", "pos", "alone", "prior"])
+        cell = words.mix(token)
+        odd = np.zeros((len(token), MARKS), np.uint64)
+        odd[np.arange(len(token)), (cell % np.uint64(MARKS)).astype(np.int64)] = np.uint64(1) << (cell >> np.uint64(58))
+        odd = np.bitwise_xor.accumulate(odd)
+        last = np.repeat(starts + k - 1, k)
+        marks = pa.FixedSizeListArray.from_arrays(pa.array((odd[last[at]] ^ odd[at]).view(np.int64).ravel()), MARKS).cast(pa.list_(pa.int64()))
+        return pa.table([pa.array(token[at].view(np.int64)), *(pa.array(x[at]) for x in (fp, n, pos)), prior, marks], ["token", "fp", "n", "pos", "prior", "marks"])
 
     sent = docs.select(F.col(text_col).cast("string").cast("binary")).mapInArrow(send, "shard int, tokens binary, owners binary, fps binary, sizes binary")
     back = sent.groupBy("shard").applyInArrow(count, "to int, fps binary, sizes binary, dfs binary, tokens binary")
-    return back.groupBy("to").applyInArrow(choose, "token long, fp long, n long, pos long, alone long, prior array<long>")
+    return back.groupBy("to").applyInArrow(choose, "token long, fp long, n long, pos long, prior array<long>, marks array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,24 +207,36 @@ def _labelled(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
     return postings.join(classes, postings.fp == classes.node, "left").select(*postings.columns, F.coalesce("component", "fp").alias("c"))
 
 
-#: What a place of a set allows: shared shingles before it and after it.
-BEFORE, AFTER = "pos - alone", "n - pos - 1"
+#: Shingles that a set has after a place of it.
+AFTER = "n - pos - 1"
 
 
-def _may_link(percent: int, x: str, y: str):
-    """Length and positional filter of two rows that share a posting, from least and most sizes and the shingles that
-    can match before and after it: those that only one set has never do."""
-    f = lambda side, c: F.col(f"{side}.{c}")
-    most = F.least(f(x, "before"), f(y, "before")) + 1 + F.least(f(x, "after"), f(y, "after"))
-    sizes = (percent * f(x, "small") <= 100 * f(y, "large")) & (percent * f(y, "small") <= 100 * f(x, "large"))
-    return sizes & (percent * (f(x, "small") + f(y, "small")) <= (100 + percent) * most)
+def _side(name: str) -> dict[str, Column]:
+    return {c: F.col(f"{name}.{c}") for c in ("small", "large", "after", "marks")}
+
+
+def _may_link(percent: int, x: Column | dict[str, Column], y: Column | dict[str, Column]) -> Column:
+    """Length and positional filter of two rows that share a posting, from least and most sizes and the shingles after
+    it. Two sets share nothing before their first common posting, so linked ones pass there at least."""
+    most = 1 + F.least(x["after"], y["after"])
+    sizes = (percent * x["small"] <= 100 * y["large"]) & (percent * y["small"] <= 100 * x["large"])
+    return sizes & (percent * (x["small"] + y["small"]) <= (100 + percent) * most)
+
+
+def _suffix_fits(percent: int, x: Column | dict[str, Column], y: Column | dict[str, Column]) -> Column:
+    """Suffix filter of two sets at their first common posting: they differ after it in as many shingles at least as
+    cells of their marks differ."""
+    apart = sum(F.bit_count(x["marks"][k].bitwiseXOR(y["marks"][k])) for k in range(MARKS))
+    return 2 * percent * (x["small"] + y["small"]) <= (100 + percent) * (2 + x["after"] + y["after"] - apart)
 
 
 def _leader_pairs(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of each posting's leader of this turn with the sets of other classes that share the posting."""
-    rows = postings.select("token", F.struct("fp", "c", F.col("n").alias("small"), F.col("n").alias("large"), F.expr(BEFORE).alias("before"), F.expr(AFTER).alias("after")).alias("x"))
-    leaders = rows.groupBy("token").agg(F.min_by("x", F.xxhash64("x.fp", F.lit(turn))).alias("l"), (F.min("x.c") < F.max("x.c")).alias("mixed")).where("mixed").drop("mixed")
-    met = rows.join(leaders, "token").where("x.c <> l.c").where(_may_link(percent, "x", "l"))
+    rows = postings.select("token", F.struct("fp", "c", F.col("n").alias("small"), F.col("n").alias("large"), F.expr(AFTER).alias("after"), "marks").alias("x"))
+    # first the set with least before the place, which is nearest to what all have in common, then any
+    order = F.struct((F.col("x.small") - F.col("x.after") if turn == 0 else F.lit(0)).alias("before"), F.xxhash64("x.fp", "token", F.lit(turn)).alias("hash"))
+    leaders = rows.groupBy("token").agg(F.min_by("x", order).alias("l"), (F.min("x.c") < F.max("x.c")).alias("mixed")).where("mixed").drop("mixed")
+    met = rows.join(leaders, "token").where("x.c <> l.c").where(_may_link(percent, _side("x"), _side("l")) & _suffix_fits(percent, _side("x"), _side("l")))
     return met.select(F.least("x.fp", "l.fp").alias("a"), F.greatest("x.fp", "l.fp").alias("b")).distinct()
 
 
@@ -229,10 +250,10 @@ def _apart_pairs(postings: DataFrame, percent: int) -> DataFrame:
     mixed = postings.groupBy("token").agg((F.min("c") < F.max("c")).alias("mixed")).where("mixed").select("token")
     both = F.reduce(F.collect_list("prior"), F.first("prior"), F.array_intersect)
     lists = postings.join(mixed, "token", "left_semi").groupBy("token", "c", F.pmod("fp", F.lit(64)).alias("part")).agg(
-        F.collect_list(F.struct("fp", "n", "prior")).alias("m"), both.alias("prior"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.expr(BEFORE)).alias("before"), F.max(F.expr(AFTER)).alias("after"))
-    met = lists.alias("x").join(lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _may_link(percent, "x", "y") & ~F.arrays_overlap("x.prior", "y.prior"))
-    rows = met.select(F.explode("x.m").alias("x"), F.col("y.m").alias("m")).select("x", F.explode("m").alias("y"))
-    rows = rows.where(f"{percent} * greatest(x.n, y.n) <= 100 * least(x.n, y.n)").where(~F.arrays_overlap("x.prior", "y.prior"))
+        F.collect_list(F.struct("fp", F.col("n").alias("small"), F.col("n").alias("large"), F.expr(AFTER).alias("after"), "prior", "marks")).alias("m"), both.alias("prior"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.expr(AFTER)).alias("after"))
+    met = lists.alias("x").join(lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.c") < F.col("y.c")) & _may_link(percent, _side("x"), _side("y")) & ~F.arrays_overlap("x.prior", "y.prior"))
+    fits = lambda y: _may_link(percent, _side("x"), y) & _suffix_fits(percent, _side("x"), y) & ~F.arrays_overlap(F.col("x.prior"), y["prior"])
+    rows = met.select(F.explode("x.m").alias("x"), F.col("y.m").alias("m")).select("x", F.explode(F.filter("m", fits)).alias("y"))
     return rows.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
