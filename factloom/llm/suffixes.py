@@ -2,8 +2,8 @@
 
 Two equal strings of ``length`` bytes have the same smallest hashed k-gram in the same place. So each run of windows
 with one smallest k-gram (an anchor) is a context, and repeats are found among the contexts of equal anchors. Shards of
-anchors first tell which occur twice; only their contexts are sent on. A shard of contexts builds one suffix order of
-its distinct contexts, takes the Burrows-Wheeler transform and keeps what the run-compressed index keeps: the suffixes
+anchors first tell which occur twice. Equal contexts are counted before texts move, and one of each is sent on, if its anchor has
+others. A shard of contexts builds one suffix order of them, takes the Burrows-Wheeler transform and keeps what the run-compressed index keeps: the suffixes
 at the two ends of each run, with the longest matches to their neighbours beyond the run. Everywhere else the match of
 a place is that of the place before less one, so matching statistics are streamed from the samples in one pass.
 Documents that are copies as a whole need no index: all of their bytes are repeated.
@@ -181,34 +181,26 @@ def _repeated_runs(docs: DataFrame, length: int, text_col: str) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(count, "fp long, first long, windows long, anchor long")
 
 
+def _places(texts: DataFrame, length: int) -> DataFrame:
+    """(fp, first, windows, anchor, context) of each of the ``runs`` of ``texts``."""
+    rows = texts.select("fp", F.col("text").cast("binary").alias("data"), F.explode("runs").alias("r")).select("fp", "data", "r.first", "r.windows", "r.anchor")
+    context = F.substring("data", (F.col("first") + 1).cast("int"), (F.col("windows") + F.lit(length - 1)).cast("int"))
+    return rows.select("fp", "first", "windows", "anchor", context.alias("context"))
+
+
 def fingerprint(data: bytes) -> int:
     return int.from_bytes(hashlib.sha256(data).digest()[:7], "big")
 
 
 def _marked(contexts: DataFrame, length: int) -> DataFrame:
-    """(fp, spans) from (shard, fp, first, anchor, context)."""
+    """(fp, spans) from (shard, fp, first, anchor, context), with the contexts of an anchor all distinct."""
 
     def mark(table: pa.Table) -> pa.Table:
-        groups: dict[int, dict[bytes, list[int]]] = {}
-        for row, (anchor, context) in enumerate(zip(table["anchor"].to_pylist(), table["context"].to_pylist())):
-            groups.setdefault(anchor, {}).setdefault(context, []).append(row)
-        spans: list[list[tuple[int, int]]] = [[] for _ in range(table.num_rows)]
-        index, rows = [], []
-        for group in groups.values():
-            for context, own in group.items():
-                if len(own) > 1:
-                    for r in own:
-                        spans[r] = [(0, len(context))]
-                if len(group) > 1:
-                    index.append(context)
-                    rows.append(own)
-        if index:
-            flags = repeated_windows(index, length)
-            at = 0
-            for context, own in zip(index, rows):
-                if len(own) == 1:
-                    spans[own[0]] = _spans(np.flatnonzero(flags[at : at + len(context) - length + 1]), length)
-                at += len(context) + 1
+        contexts = table["context"].to_pylist()
+        flags, at, spans = repeated_windows(contexts, length), 0, []
+        for context in contexts:
+            spans.append(_spans(np.flatnonzero(flags[at : at + len(context) - length + 1]), length))
+            at += len(context) + 1
         found = [[{"a": f + a, "b": f + b} for a, b in s] for f, s in zip(table["first"].to_pylist(), spans)]
         out = pa.table({"fp": table["fp"], "spans": pa.array(found, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))})
         return out.filter(pa.array([bool(s) for s in found], pa.bool_()))
@@ -235,11 +227,20 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     wanted = runs.groupBy("fp").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("runs"))
     wanted = texts.select(fp.alias("fp"), F.col("first").alias(id_col), "copies").where(F.col(id_col).isNotNull()).join(wanted, "fp").drop("copies")
     affected = common.written(docs.join(F.broadcast(wanted) if n_runs <= BROADCAST_ANCHORS else wanted, id_col).dropDuplicates(["fp"]), "affected")
-    shards = max(common.shards(spark), n_runs >> 12)
-    contexts = affected.select("fp", F.col("text").cast("binary").alias("data"), F.explode("runs").alias("r")).select(
-        F.pmod(F.xxhash64("r.anchor"), F.lit(shards)).alias("shard"), "fp", F.col("r.first").alias("first"), F.col("r.anchor").alias("anchor"),
-        F.substring("data", (F.col("r.first") + 1).cast("int"), (F.col("r.windows") + F.lit(length - 1)).cast("int")).alias("context"))
-    spans = _marked(contexts, length).groupBy("fp").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    places = common.written(_places(affected, length).withColumn("key", F.xxhash64("context")).withColumn("place", F.xxhash64("fp", "first")).drop("context"), "places")
+    # a context met in several places is repeated there as a whole; one place of each goes to the index
+    equal = places.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("chosen"))
+    places = common.written(places.join(equal, ["anchor", "key"]).select("fp", "first", "windows", "anchor", "times", (F.col("place") == F.col("chosen")).alias("chosen")), "places")
+    whole = places.where("times > 1").select("fp", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows") + F.lit(length - 1)).alias("b"))).alias("spans"))
+    chosen = places.where("chosen")
+    varied = chosen.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("anchor")
+    chosen = common.written(chosen.join(varied, "anchor", "left_semi").select("fp", "first", "windows", "anchor"), "chosen")
+    n_chosen = chosen.count()
+    chosen = chosen.groupBy("fp").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("runs"))
+    shards = max(common.shards(spark), n_chosen >> 12)
+    contexts = _places(affected.drop("runs").join(F.broadcast(chosen) if n_chosen <= BROADCAST_ANCHORS else chosen, "fp"), length)
+    contexts = contexts.select(F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "fp", "first", "anchor", "context")
+    spans = _marked(contexts, length).union(whole).groupBy("fp").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
