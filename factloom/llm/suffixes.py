@@ -227,11 +227,15 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     wanted = runs.groupBy("fp").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("runs"))
     wanted = texts.select(fp.alias("fp"), F.col("first").alias(id_col), "copies").where(F.col(id_col).isNotNull()).join(wanted, "fp").drop("copies")
     affected = common.written(docs.join(F.broadcast(wanted) if n_runs <= BROADCAST_ANCHORS else wanted, id_col).dropDuplicates(["fp"]), "affected")
-    places = common.written(_places(affected, length).withColumn("key", F.xxhash64("context")).withColumn("place", F.xxhash64("fp", "first")).drop("context"), "places")
+    places = common.written(_places(affected, length).withColumn("key", F.xxhash64("context")).drop("context"), "places")
+    place = F.xxhash64("fp", "first")
     # a context met in several places is repeated there as a whole; one place of each goes to the index
-    equal = places.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("chosen"))
-    places = common.written(places.join(equal, ["anchor", "key"]).select("fp", "first", "windows", "anchor", "times", (F.col("place") == F.col("chosen")).alias("chosen")), "places")
-    whole = places.where("times > 1").select("fp", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows") + F.lit(length - 1)).alias("b"))).alias("spans"))
+    equal = places.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("least")).where("times > 1")
+    # written, so that a context met very often is split among the tasks of the join
+    equal = common.written(equal.select("anchor", "key", "least"), "equal")
+    places = places.join(equal, ["anchor", "key"], "left").select("fp", "first", "windows", "anchor", F.col("least").isNotNull().alias("twice"), F.coalesce(place == F.col("least"), F.lit(True)).alias("chosen"))
+    places = common.written(places, "places")
+    whole = places.where("twice").select("fp", F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows") + F.lit(length - 1)).alias("b"))).alias("spans"))
     chosen = places.where("chosen")
     varied = chosen.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select("anchor")
     chosen = common.written(chosen.join(varied, "anchor", "left_semi").select("fp", "first", "windows", "anchor"), "chosen")
