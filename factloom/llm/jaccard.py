@@ -27,7 +27,7 @@ LEADER_ROUNDS = 2
 PRIOR = 8
 #: Words of 64 parity cells by which the suffix filter compares what follows a common posting.
 MARKS = 4
-#: Ids of candidate documents are broadcast up to this number (16 bytes each) and joined by a shuffle beyond it.
+#: Ids of candidate documents are broadcast up to this number (24 bytes each, keys of their texts with them) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
 
@@ -46,8 +46,9 @@ def _fingerprints(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False) -> DataFrame:
-    """(id, n, fp, fp2): size and fingerprints of each row's shingle set, and with ``with_set`` its sorted hashes."""
+def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False, with_key: bool = False) -> DataFrame:
+    """(id, n, fp, fp2): size and fingerprints of each row's shingle set, and with ``with_set`` its sorted hashes, with
+    ``with_key`` the ``text_key`` of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,11 +60,18 @@ def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col
                 if with_set:
                     first = np.cumsum(counts) - counts
                     out.append(pa.array([values[i : i + c].tobytes() for i, c in zip(first, counts)], pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, [id_col, "n", "fp", "fp2", "hashes"][: len(out)])
+                if with_key:
+                    out.append(batch.column(2).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays(out, [id_col, "n", "fp", "fp2", *["hashes"] * with_set, *["key"] * with_key])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n long, fp long, fp2 long" + ", hashes binary" * with_set
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary")).mapInArrow(run, schema)
+    schema = f"`{id_col}` {kind}, n long, fp long, fp2 long" + ", hashes binary" * with_set + ", key long" * with_key
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"), *[text_key(text_col)] * with_key).mapInArrow(run, schema)
+
+
+def text_key(text_col: str) -> Column:
+    """A hash by which a text is fetched again, as ids may be null or stand for several texts."""
+    return F.xxhash64(F.col(text_col).cast("string"))
 
 
 def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str) -> DataFrame:
@@ -266,14 +274,16 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col), F.col(text_col))
-    info = common.written(shingle_sets(docs, n_words, id_col, text_col), "sets")
+    info = common.written(shingle_sets(docs, n_words, id_col, text_col, with_key=True), "sets")
     total = info.agg(F.sum("n")).first()[0] or 0
     postings = common.written(_postings(docs, n_words, percent, total, text_col), "postings")
     wanted = postings.select("fp").distinct()
-    first = info.where("n > 0").groupBy("fp").agg(F.min(id_col).alias("first"))
-    wanted = common.written(first.join(wanted, "fp", "left_semi").select(F.col("first").alias(id_col)).where(F.col(id_col).isNotNull()), "wanted")
+    # the row of the smallest id, and one without an id where there is no other
+    first = info.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key")).alias("f")).select("fp", F.col("f.id").alias("first"), "f.key")
+    wanted = common.written(first.join(wanted, "fp", "left_semi").select(F.col("first").alias("__first"), F.col("key").alias("__key")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = common.written(shingle_sets(docs.join(ids, id_col, "left_semi"), n_words, id_col, text_col, with_set=True).dropDuplicates(["fp"]).select("fp", "hashes"), "hashes")
+    chosen = docs.join(ids, (text_key(text_col) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
+    sets = common.written(shingle_sets(chosen, n_words, id_col, text_col, with_set=True).dropDuplicates(["fp"]).select("fp", "hashes"), "hashes")
     classes, checked, links = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
         apart = _labelled(postings, classes)

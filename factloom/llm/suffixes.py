@@ -210,11 +210,12 @@ def _marked(contexts: DataFrame, length: int) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row, and with ``keep_text`` its remaining text as kept
-    (null where nothing is removed; a character that a cut goes through is dropped).
+    (null where nothing is removed; a character that a cut goes through is dropped) and the sha of its text.
 
     A byte goes if a string of ``length`` bytes that covers it also begins anywhere else in the texts of ``docs``, in
     the same text included; matches don't cross texts, and all are judged on the input. Null texts count as empty;
-    shorter texts stay; equal rows are copies of each other. Texts are told apart by their SHA-256.
+    shorter texts stay; equal rows are copies of each other. Texts are told apart by their SHA-256, never by their ids:
+    ids may be null or stand for several texts.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
@@ -225,8 +226,11 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     runs = common.written(_repeated_runs(docs, length, "text"), "runs")
     n_runs = runs.count()
     wanted = runs.groupBy("fp").agg(F.collect_list(F.struct("first", "windows", "anchor")).alias("runs"))
-    wanted = texts.select(fp.alias("fp"), F.col("first").alias(id_col), "copies").where(F.col(id_col).isNotNull()).join(wanted, "fp").drop("copies")
-    affected = common.written(docs.join(F.broadcast(wanted) if n_runs <= BROADCAST_ANCHORS else wanted, id_col).dropDuplicates(["fp"]), "affected")
+    wanted = texts.select(fp.alias("fp"), F.col("first").alias("__first")).join(wanted, "fp")
+    # fetched by their own digest; the smallest id, null if there is none, only spares the copies
+    fetched = docs.withColumn("__fp", F.conv(F.substring(F.sha2(data.cast("binary"), 256), 1, 14), 16, 10).cast("long"))
+    fetched = fetched.join(F.broadcast(wanted) if n_runs <= BROADCAST_ANCHORS else wanted, (F.col("__fp") == F.col("fp")) & F.col(id_col).eqNullSafe(F.col("__first")))
+    affected = common.written(fetched.select("fp", "text", "runs").dropDuplicates(["fp"]), "affected")
     places = common.written(_places(affected, length).withColumn("key", F.xxhash64("context")).drop("context"), "places")
     place = F.xxhash64("fp", "first")
     # a context met in several places is repeated there as a whole; one place of each goes to the index
@@ -263,17 +267,18 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     done = common.written(done, "cut")
     copied = texts.where(f"copies > 1 and n_bytes >= {length}").select(F.col("sha").alias("__sha"), F.lit(True).alias("copied"))
     rows = info.join(copied, info.sha == F.col("__sha"), "left")
-    whole = rows.where("copied").select(id_col, "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit("").alias("kept"))
+    whole = rows.where("copied").select(id_col, "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit("").alias("kept"), "sha")
     rest = rows.where("copied is null").withColumn("__fp", fp).join(done, F.col("__fp") == done.fp, "left")
-    rest = rest.select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
+    rest = rest.select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept", "sha")
     out = whole.unionByName(rest)
-    return out if keep_text else out.drop("kept")
+    return out if keep_text else out.drop("kept", "sha")
 
 
 def cleaned(docs: DataFrame, length: int = 200) -> DataFrame:
     """``docs`` with repeats cut out of their texts and n_chars set anew; a text with nothing left goes."""
-    result = without_repeats(docs, length, keep_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"), F.lit(True).alias("__cut")).dropDuplicates(["__id"])
-    rows = docs.join(result, docs.doc_id.eqNullSafe(F.col("__id")), "left").withColumn("text", F.when(F.col("__cut"), F.coalesce("__kept", F.lit(""))).otherwise(F.col("text")))
+    result = without_repeats(docs, length, keep_text=True).where("n_removed > 0").select(F.col("sha").alias("__sha"), F.col("kept").alias("__kept"), F.lit(True).alias("__cut")).dropDuplicates(["__sha"])
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    rows = docs.join(result, sha == F.col("__sha"), "left").withColumn("text", F.when(F.col("__cut"), F.coalesce("__kept", F.lit(""))).otherwise(F.col("text")))
     rows = rows.where("__cut is null or length(text) > 0")
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))

@@ -45,3 +45,12 @@ def test_families_equal_brute_force(spark, monkeypatch, rounds):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 3, 80).collect()}
     assert got == _brute(texts, 3, 80)
     assert 4 < len(set(got.values())) < len(got)
+
+
+def test_sets_without_an_id_link_and_bridge(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda a, b: " ".join([*(f"x{i}" for i in range(a)), *base[a : 60 - b], *(f"y{i}" for i in range(b))])
+    # 1 and 2 are apart, and each is near the text between them, which has no id; 4 stands for two texts
+    rows = [(1, near(5, 0)), (None, near(0, 0)), (2, near(0, 5)), (3, "all other words"), (4, "z " + near(0, 40)), (4, "v u t s r q p o n m"), (5, "v u t s r q p o n m l")]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 4)]

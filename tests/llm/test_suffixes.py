@@ -46,3 +46,15 @@ def test_empty_table_and_cleaned(spark):
     docs = spark.createDataFrame([(1, "head " + common), (2, common + " tail"), (3, common), (4, common), (5, None)], "doc_id long, text string")
     kept = {r.doc_id: r.text for r in suffixes.cleaned(docs).collect()}
     assert set(kept) == {1, 2, 5} and "x1 y2 x1" not in kept[1] + kept[2]
+
+
+def test_texts_without_an_id_and_ids_of_two_texts(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = word(260), word(260), word(300)
+    rows = [(1, word(50) + a), (None, a + word(70)), (2, word(30) + b), (2, word(900) + b + word(5)), (None, word(400)), (3, word(20) + c), (None, c + word(10)), (3, word(600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[1:] for r in suffixes.without_repeats(docs).collect())
+    assert got == sorted(brute([t for _, t in rows], 200))
+    want = Counter((i, k[3]) for (i, _), k in zip(rows, brute([t for _, t in rows], 200)))
+    assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in suffixes.cleaned(docs).collect()) == want
