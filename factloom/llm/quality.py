@@ -7,25 +7,45 @@ from pyspark.sql import functions as F
 
 from . import common, kneser_ney
 
-#: Trusted documents that the model learns from, and as many again that set the thresholds, at most.
+#: Trusted documents that the model learns from, at most, shared evenly by the languages; all others set thresholds.
 SAMPLE = 8000
+#: Values from which a language has a threshold of its own; with fewer it is never stricter than that of all.
+LEAST = 200
+#: Trusted ids are broadcast up to this number and joined by a shuffle beyond it.
+BROADCAST_IDS = 1_000_000
 ORDER = 3
 QUANTILE = 0.985
 SEED = 17
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, lang, half) of at most 2 * ``sample`` trusted documents, half 1 to train on and half 0 for thresholds.
+def _share(counts: list[int], sample: int) -> int:
+    """The most that each may have so that no more than ``sample`` are taken in all."""
+    left, counts = sample, sorted(counts)
+    for i, c in enumerate(counts):
+        if c * (len(counts) - i) > left:
+            return left // (len(counts) - i)
+        left -= c
+    return sample
 
-    Trusted: labelled quality 1 and not toxic, with no other label; those with the smallest seeded hashes are taken.
-    This bound is on labelled rows alone.
+
+def trusted_ids(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+    """Ids of the at most ``sample`` trusted documents to train on, and of all other trusted ones, for thresholds.
+
+    Trusted: labelled quality 1 and not toxic, with no other label. About half of each language's, by a seeded hash,
+    may be trained on; of those each language gives the ones of smallest hash, as many as an even share has.
     """
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0 and doc_id is not null")
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    ids = trusted.select("doc_id").join(docs.select("doc_id").distinct(), "doc_id").orderBy(order, "doc_id").limit(2 * sample)
-    ids = ids.select("doc_id", (F.row_number().over(Window.orderBy(order, "doc_id")) % 2).alias("half"))
-    # at most 2 * sample ids, so they can be broadcast
-    return common.written(docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id").select("text", "lang", "half"), "trusted")
+    ids = trusted.select("doc_id").join(docs.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id")
+    ids = common.written(ids.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")), "trusted")
+    able = ids.where("pmod(h, 2) = 1")
+    counts = able.groupBy("lang").count()
+    share = _share([r["count"] for r in counts.collect()], sample)  # a number a language
+    # hashes far above the share-th smallest needn't be sorted
+    low = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("count") < F.lit(2 * share + 100)
+    near = able.join(F.broadcast(counts.withColumnRenamed("lang", "__lang")), F.col("lang").eqNullSafe(F.col("__lang"))).where(low)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    train = common.written(ranked.where(F.col("rank") <= share).select("doc_id"), "train-ids")
+    return train, common.written(ids.join(F.broadcast(train), "doc_id", "left_anti").select("doc_id"), "held-out-ids")
 
 
 def with_perplexity(docs: DataFrame, model: kneser_ney.Model) -> DataFrame:
@@ -35,10 +55,13 @@ def with_perplexity(docs: DataFrame, model: kneser_ney.Model) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, most): the quantile of log_ppl in each language, and with lang null that of all rows."""
-    rows = scored.select("lang", F.round("log_ppl", 4).alias("v"))
-    each = rows.where("lang is not null").groupBy("lang").agg(F.percentile("v", F.lit(quantile)).alias("most"))
-    return each.unionByName(rows.agg(F.percentile("v", F.lit(quantile)).alias("most")).select(F.lit(None).cast("string").alias("lang"), "most"))
+    """(lang, most): the quantile of log_ppl in each language, that of all rows at least where it has fewer than
+    ``LEAST``, and with lang null that of all rows."""
+    rows = common.written(scored.select("lang", F.round("log_ppl", 4).alias("v")), "held-out")
+    rest = rows.agg(F.percentile("v", F.lit(quantile)).alias("rest"))
+    each = rows.where("lang is not null").groupBy("lang").agg(F.percentile("v", F.lit(quantile)).alias("own"), F.count("v").alias("n"))
+    each = each.crossJoin(F.broadcast(rest)).select("lang", F.when(F.col("n") >= LEAST, F.col("own")).otherwise(F.greatest("own", "rest")).alias("most"))
+    return each.unionByName(rest.select(F.lit(None).cast("string").alias("lang"), F.col("rest").alias("most")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
@@ -48,11 +71,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sam
     unseen languages take the threshold of all; without any trusted text everything with words is kept. Other columns
     pass through, repeated rows are classified alike, null texts count as empty.
     """
-    chosen = trusted_sample(docs, labels, sample)
+    train, held_out = trusted_ids(docs, labels, sample)
     # a model of at most ``sample`` documents, so few shards; each is joined to every block of documents in turn
-    model = kneser_ney.train(chosen.where("half = 1"), order, shards=8)
-    limits = thresholds(with_perplexity(chosen.where("half = 0").withColumn("doc_id", F.lit(0)), model), quantile)
-    limits = common.written(limits, "thresholds")  # one row a language of the bounded sample
+    model = kneser_ney.train(docs.select("doc_id", "text").join(F.broadcast(train), "doc_id", "left_semi"), order, shards=8)
+    ids = F.broadcast(held_out) if held_out.count() <= BROADCAST_IDS else held_out
+    rest = docs.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi")
+    limits = common.written(thresholds(with_perplexity(rest, model), quantile), "thresholds")  # one row a language
     own = F.broadcast(limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.col("most").alias("__own")))
     rest = limits.where("lang is null").agg(F.max("most").alias("__rest"))
     rows = with_perplexity(docs, model).join(own, F.col("lang") == F.col("__lang"), "left").crossJoin(F.broadcast(rest))
