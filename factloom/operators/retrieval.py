@@ -10,11 +10,12 @@ from .graph import dot
 DOC_PATH = r"store/([0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})"
 
 
-def top_k(vectors: DataFrame, question: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest rows to one question vector, ties to the smaller id. The question is one row."""
-    rows = vectors.crossJoin(F.broadcast(question.select(F.col("embedding").alias("__q")).limit(1))).withColumn("score", F.round(dot("embedding", "__q"), 6))
-    best = rows.orderBy(F.desc("score"), "vec_id").limit(k).select("vec_id", "score")
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
+def top_k(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+    """(question_id, vec_id, score, rank): the ``k`` nearest rows to each of ``questions``, ties to the smaller id. Each
+    block of rows sends on its own nearest only (Spark limits ranked groups before the shuffle)."""
+    asked = questions.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("__q"))
+    rows = vectors.crossJoin(asked).select("question_id", "vec_id", F.round(dot("embedding", "__q"), 6).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
 def rerank(hits: DataFrame, score: Column, group: str, top: int | None) -> DataFrame:

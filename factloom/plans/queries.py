@@ -337,7 +337,14 @@ def type_overrides(spark, d):
 @query("select vec_id, round(list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as score, cast(row_number() over (order by round(list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) desc, vec_id) as integer) as rank from embeddings qualify rank <= 30")
 def vector_topk(spark, d):
     v = table(spark, d, "embeddings")
-    return R.top_k(v, v.where("vec_id = 0"), 30)
+    return R.top_k(v, v.where("vec_id = 0"), 30).select("vec_id", "score", "rank")
+
+
+@query("""with s as (select q.vec_id as question_id, e.vec_id, round(list_inner_product(e.embedding::double[], q.embedding::double[]), 6) as score from embeddings e, embeddings q where q.vec_id % 100 = 0)
+select *, cast(row_number() over (partition by question_id order by score desc, vec_id) as integer) as rank from s qualify rank <= 30""")
+def vector_topk_all(spark, d):
+    v = table(spark, d, "embeddings")
+    return R.top_k(v, v.where("vec_id % 100 = 0"), 30)
 
 
 @query("select user_id, event_id, cast(row_number() over (partition by user_id order by value desc, event_id) as integer) as rank from events qualify rank <= 20")
@@ -396,4 +403,9 @@ def llm_json_parse(spark, d):
 
 @query()
 def fold_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"), T.fold("source").alias("source"))
+    return table(spark, d, "documents").select("doc_id", T.slug("text").alias("slug"), T.fold("source").alias("source"), T.normal_name("text").alias("normal"))
+
+
+@query()
+def customer_names(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.slug("c_name").alias("slug"), T.fold("c_name").alias("folded"), T.normal_name("c_name").alias("normal"))
