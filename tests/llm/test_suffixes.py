@@ -30,9 +30,13 @@ def corpus(rng, alphabet, n):
     return texts + texts[-3:]
 
 
-@pytest.mark.parametrize("seed,alphabet,length", [(1, "ab", 200), (2, "abcdefgh é\n", 200), (3, "abc ", 70), (4, "ab", 30)])
-def test_equals_brute_force(spark, monkeypatch, seed, alphabet, length):
+@pytest.mark.parametrize("seed,alphabet,length,many", [(1, "ab", 200, 16), (2, "abcdefgh é\n", 200, 2), (3, "abc ", 70, 1), (4, "ab", 30, 10**6)])
+def test_equals_brute_force(spark, monkeypatch, seed, alphabet, length, many):
     monkeypatch.setattr(suffixes, "PIECE", 256)
+    monkeypatch.setattr(suffixes, "BLOCK", 300)
+    monkeypatch.setattr(suffixes, "MANY_IN_BLOCK", many)
+    monkeypatch.setattr(suffixes, "MANY", 4 * many)
+    monkeypatch.setattr(suffixes, "INDEX_CONTEXTS", 20)
     texts = corpus(random.Random(seed), alphabet, 30)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int")
     rows = suffixes.without_repeats(docs, length).orderBy("doc_id").collect()
