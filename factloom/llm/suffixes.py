@@ -9,7 +9,8 @@ twice is repeated as a whole, and one place of each different context of an anch
 index of a few thousand contexts keeps the Burrows-Wheeler runs, the suffixes sampled at their ends and the longest
 matches across each end. Everywhere else the match of a place is that of the place before less one, so matching
 statistics are streamed from the samples in one pass. Anchors with very many different contexts, as at the ends of a
-passage that many documents share, would make one index too large: their windows are counted one by one instead.
+passage that many documents share, would make one index too large: hashes of their windows are counted instead, dealt
+over all shards in the same way.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ BLOCK = 1 << 18
 MANY_IN_BLOCK, MANY = 16, 1024
 #: Bytes of text a shard of anchors answers for, and contexts an index has, about.
 SHARD_BYTES, INDEX_CONTEXTS = 1 << 26, 1 << 12
-#: What a shard answers for an entry: nothing, repeated as a whole, to be indexed, both, or windows to be counted.
-WHOLE, INDEXED, BOTH, COUNTED = 1, 2, 3, 4
+#: Windows a block of contexts counts at once.
+BLOCK_WINDOWS = 1 << 20
+#: What a shard answers for an entry, as bits: repeated as a whole, to be indexed, windows to be counted.
+WHOLE, INDEXED, COUNTED = 1, 2, 4
 _INVERSE = np.uint64(pow(int(words._ODD[0]), -1, 2**64))
 _inverse = np.ones(1, np.uint64)
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
@@ -192,7 +195,7 @@ def _marked(docs: DataFrame, length: int, shards: int) -> DataFrame:
             first = np.flatnonzero(np.diff(anchor[pick], prepend=~anchor[pick[:1]]))
             different = np.diff(np.append(first, len(pick)))
             if (many := np.repeat(different, different) > MANY_IN_BLOCK).any():
-                content[many[entry]] = 0
+                content[(many & (count == 1))[entry]] = 0  # so many that they are known to be compared by windows
                 entry, pick, count = _entries(anchor, content, shard)
             shas = b"".join(s for s, _ in held)
             task = TaskContext.get()
@@ -233,9 +236,9 @@ def _marked(docs: DataFrame, length: int, shards: int) -> DataFrame:
             anchor_of = np.cumsum(new_anchor)[starts] - 1
             different = np.bincount(anchor_of)
             many = (different > MANY) | (np.bincount(anchor_of, c[starts] == 0) > 0)
-            flag = np.where(places > 1, WHOLE, 0) + np.where(different[anchor_of] > 1, INDEXED, 0)
-            flag = np.where(many[anchor_of], COUNTED, flag)[group]
-            flag[(flag == BOTH) & ~new] = WHOLE  # one place of each context is enough for the index
+            flag = np.where(places > 1, WHOLE, 0) + np.where(different[anchor_of] > 1, np.where(many[anchor_of], COUNTED, INDEXED), 0)
+            flag = np.where(c[starts] == 0, COUNTED, flag)[group]
+            flag[(flag & WHOLE > 0) & ~new] = WHOLE  # one place of each context is enough for comparing
             flags = np.empty(len(a), np.uint8)
             flags[order] = flag
             at = np.cumsum(sizes) - sizes
@@ -260,8 +263,8 @@ def _marked(docs: DataFrame, length: int, shards: int) -> DataFrame:
         flag = flags[entry]
         leads = np.zeros(len(entry), bool)
         leads[np.unique(entry, return_index=True)[1]] = True
-        whole = (flag == WHOLE) | (flag == BOTH)
-        compared = (flag == INDEXED) | (flag == COUNTED) | ((flag == BOTH) & leads)
+        whole = flag & WHOLE > 0
+        compared = (flag >= INDEXED) & (leads | ~whole)
         joined = np.zeros(len(whole), bool)  # a repeated run right after another one of the same text
         joined[1:] = whole[1:] & whole[:-1] & (doc[1:] == doc[:-1])
         begins = np.flatnonzero(whole & ~joined)
@@ -275,7 +278,7 @@ def _marked(docs: DataFrame, length: int, shards: int) -> DataFrame:
 
         spans = lists(begins, ("a", first[begins]), ("b", first[ends] + windows[ends] + length - 1))
         at = np.flatnonzero(compared)
-        runs = lists(at, ("first", first[at]), ("windows", windows[at]), ("anchor", anchors[entry[at]].view(np.int64)), ("many", flag[at] == COUNTED))
+        runs = lists(at, ("first", first[at]), ("windows", windows[at]), ("anchor", anchors[entry[at]].view(np.int64)), ("many", flag[at] & COUNTED > 0))
         shas = pa.array([about["shas"][32 * k : 32 * k + 32] for k in range(len(per_doc))], pa.binary())
         return pa.table([shas, pa.array(full), spans, runs], ["sha", "full", "spans", "runs"]).filter(pa.array(touched))
 
@@ -298,20 +301,68 @@ def _indexed(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.groupBy("shard").applyInArrow(mark, "sha binary, spans array<struct<a:long,b:long>>")
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
-    """(sha, spans) from contexts of anchors with very many of them: each window is counted by itself, so an anchor is
-    spread over all tasks."""
-    rows = contexts.select("sha", "first", "anchor", "context", F.explode(F.sequence(F.lit(1), (F.octet_length("context") - F.lit(length - 1)).cast("int"))).alias("at"))
-    rows = rows.select("sha", (F.col("first") + F.col("at") - 1).alias("start"), F.xxhash64("anchor", F.substring("context", F.col("at"), F.lit(length))).alias("key"), F.crc32(F.substring("context", F.col("at"), F.lit(length))).alias("key2"))
-    twice = rows.groupBy("key", "key2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "key2")
-    starts = rows.join(twice, ["key", "key2"], "left_semi").groupBy("sha").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+def _counted(contexts: DataFrame, length: int, shards: int) -> DataFrame:
+    """(sha, spans) from the (sha, first, anchor, context) of anchors with very many contexts: hashes of windows are
+    counted, each once a block and shard, so one met everywhere costs a number a block."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number = [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            keys, entry, count = np.unique(np.concatenate([k for _, _, k in held]), return_inverse=True, return_counts=True)
+            bounds = np.searchsorted(((keys >> np.uint64(44)) * np.uint64(shards)) >> np.uint64(20), np.arange(shards + 1, dtype=np.uint64))
+            shas, task = b"".join(s for s, _, _ in held), TaskContext.get()
+            block = int.from_bytes(hashlib.sha256(shas + f"{task.partitionId() if task else 0}-{number}".encode()).digest()[:8], "big") >> 1
+            rows = [(s, block, packing.pack_sorted(keys[own]), packing.pack(count[own]), *[None] * 4) for s in np.flatnonzero(np.diff(bounds)).tolist() for own in (slice(bounds[s], bounds[s + 1]),)]
+            rows.append((block % shards, block, None, None, shas, packing.pack(np.array([len(k) for _, _, k in held])), packing.pack(np.array([f for _, f, _ in held])), packing.pack(entry)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"a": a, "b": b} for a, b in _spans(np.array(s, np.int64), length)] for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, _SPANS)], ["sha", "spans"])
+            for sha, first, anchor, context in zip(*(c.to_pylist() for c in batch.columns)):
+                buf = np.frombuffer(context, np.uint8)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words._PLAIN[buf] * words.powers(len(buf)), dtype=np.uint64)])
+                salt = np.uint64(anchor % 2**64)
+                held.append((sha, first, words.mix(words.mix((total[length:] - total[:-length]) * _inverses(len(buf))[: len(buf) - length + 1]) + salt)))
+                n += len(held[-1][2])
+                if n >= BLOCK_WINDOWS:
+                    yield flush()
+                    n, number = 0, number + 1
+        if held:
+            yield flush()
 
-    return starts.mapInArrow(joined, "sha binary, spans array<struct<a:long,b:long>>")
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        out = [(r["shard"], r["block"], None, None, *(r[c] for c in directory)) for r in rows if r["shas"] is not None]
+        rows = [r for r in rows if r["shas"] is None]
+        if rows:
+            keys = [packing.unpack_sorted(r["keys"]) for r in rows]
+            distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
+            twice = np.bincount(group, np.concatenate([packing.unpack(r["counts"]) for r in rows]), len(distinct))[group] > 1
+            at = np.cumsum([0, *map(len, keys)])
+            out += [(r["shard"], r["block"], np.packbits(twice[i : i + len(k)]).tobytes(), packing.pack(np.array([len(k)])), *[None] * 4) for r, k, i in zip(rows, keys, at.tolist())]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds.values())], list(kinds))
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        about = next(r for r in rows if r["shas"] is not None)
+        answers = sorted((r for r in rows if r["shas"] is None), key=lambda r: r["shard"])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(r["keys"], np.uint8), count=int(packing.unpack(r["counts"])[0])) for r in answers]).astype(bool)
+        windows, firsts, entry = (packing.unpack(about[c]).astype(np.int64) for c in directory[1:])
+        if entry.max() + 1 != len(twice):
+            raise RuntimeError("a block of contexts was not answered as it was sent")
+        flags, at, found = twice[entry], 0, []
+        for first, n in zip(firsts.tolist(), windows.tolist()):
+            found.append([{"a": first + a, "b": first + b} for a, b in _spans(np.flatnonzero(flags[at : at + n]), length)])
+            at += n
+        shas = pa.array([about["shas"][32 * k : 32 * k + 32] for k in range(len(firsts))], pa.binary())
+        return pa.table({"sha": shas, "spans": pa.array(found, _SPANS)}).filter(pa.array([bool(s) for s in found], pa.bool_()))
+
+    directory = ("shas", "windows", "firsts", "entries")
+    kinds = {"shard": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "counts": pa.binary()} | dict.fromkeys(directory, pa.binary())
+    sent = contexts.select("sha", "first", "anchor", "context").mapInArrow(send, _sql(kinds))
+    answered = sent.groupBy("shard").applyInArrow(answer, _sql(kinds))
+    return answered.groupBy("block").applyInArrow(gather, "sha binary, spans array<struct<a:long,b:long>>")
 
 
 def _cut(affected: DataFrame, keep_text: bool) -> DataFrame:
@@ -361,7 +412,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     n_indexed = affected.agg(F.sum(F.size(F.filter("runs", lambda r: ~r["many"])))).first()[0] or 0
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(common.shards(docs.sparkSession), n_indexed // INDEX_CONTEXTS)))
     spans = _indexed(contexts.where("not many").select(shard.alias("shard"), "sha", "first", "context"), length)
-    spans = spans.union(_counted(contexts.where("many"), length)).groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("found"))
+    spans = spans.union(_counted(contexts.where("many"), length, common.shards(docs.sparkSession))).groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("found"))
     cut = affected.where("not full").select("sha", "text", "spans").hint("merge").join(spans, "sha", "left")
     cut = cut.select("sha", "text", F.concat("spans", F.coalesce("found", F.expr("cast(array() as array<struct<a:long,b:long>>)"))).alias("spans")).where("size(spans) > 0")
     full = marked.where("full").select("sha").distinct()
