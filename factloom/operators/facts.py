@@ -52,15 +52,26 @@ def detect_for_new(new: DataFrame, facts: DataFrame, predicates: DataFrame) -> D
     peers = facts.select(*GROUP, F.col("id").alias("peer"), F.col("canonical_value").alias("other"))
     met = with_contract(new, predicates).where("not allow_multi").join(peers, GROUP).where("peer <> id and other <> canonical_value")
     found = met.groupBy("id", *GROUP).agg(F.collect_set("peer").alias("peers"))
-    return found.select(content_id(*GROUP).alias("conflict_id"), F.col("id").alias("fact_id"), F.array_sort(F.array_union("peers", F.array("id"))).alias("competing_fact_ids"))
+    return found.select(content_id(*GROUP).alias("conflict_id"), *GROUP, F.col("id").alias("fact_id"), F.array_sort(F.array_union("peers", F.array("id"))).alias("competing_fact_ids"))
 
 
 def rerun_conflicts(detected: DataFrame, stored: DataFrame) -> DataFrame:
-    """Detected conflicts with the status and members already stored; stored ones no longer detected are forgotten."""
-    old = stored.select("id", F.col("competing_fact_ids").alias("__old"), F.col("status").alias("__status"))
+    """Detected conflicts with the status, members and, where ``stored`` has them, resolutions already stored; stored
+    ones no longer detected are forgotten."""
+    kept = ["resolution"] if "resolution" in stored.columns else []
+    old = stored.select("id", F.col("competing_fact_ids").alias("__old"), F.col("status").alias("__status"), *kept)
     rows = detected.join(old, "id", "left")
     members = F.array_sort(F.array_union("competing_fact_ids", F.coalesce("__old", F.array().cast("array<string>"))))
-    return rows.select("id", *GROUP, members.alias("competing_fact_ids"), F.coalesce("__status", "status").alias("status"))
+    return rows.select("id", *GROUP, members.alias("competing_fact_ids"), F.coalesce("__status", "status").alias("status"), *kept)
+
+
+def with_new_conflicts(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """``stored`` conflicts and those of ``detect_for_new``: members are united, a stored status stays, others open."""
+    new = found.groupBy(F.col("conflict_id").alias("id")).agg(*(F.first(c).alias(c) for c in GROUP), F.array_sort(F.array_distinct(F.flatten(F.collect_list("competing_fact_ids")))).alias("new"))
+    rows = stored.select("id", *(F.col(c).alias(f"__{c}") for c in GROUP), F.col("competing_fact_ids").alias("old"), "status").join(new, "id", "full")
+    none = F.array().cast("array<string>")
+    members = F.array_sort(F.array_union(F.coalesce("old", none), F.coalesce("new", none)))
+    return rows.select("id", *(F.coalesce(f"__{c}", c).alias(c) for c in GROUP), members.alias("competing_fact_ids"), F.coalesce("status", F.lit("open")).alias("status"))
 
 
 def supersede(facts: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -79,29 +90,105 @@ def as_of(facts: DataFrame, day: Column) -> DataFrame:
     return facts.where((F.col("valid_from").isNull() | (F.col("valid_from") <= day)) & (F.col("valid_to").isNull() | (F.col("valid_to") >= day)))
 
 
+def replacement_chains(corrections: DataFrame) -> DataFrame:
+    """(place, old_doc, new_doc) of the source corrections (document_id, replaced_by) that name a successor, in order
+    of their ids."""
+    rows = corrections.where(F.coalesce("replaced_by", F.lit("")) != "")
+    return rows.select(F.col("document_id").alias("place"), F.col("document_id").alias("old_doc"), F.col("replaced_by").alias("new_doc"))
+
+
 def replacements(facts: DataFrame, chains: DataFrame, dates: DataFrame, predicates: DataFrame) -> DataFrame:
-    """(old_id, new_id, valid_to): facts of replaced documents, the last fact of the new document for the same subject
-    and single-valued predicate, and the day before the new one begins, or before its document's date."""
-    new = keep_last(facts, ["source_doc_id", *GROUP]).select(F.col("source_doc_id").alias("new_doc"), *GROUP, F.col("id").alias("new_id"), F.col("valid_from").alias("new_from"), F.col("canonical_value").alias("new_value"))
-    old = with_contract(facts, predicates).where("not allow_multi").select(F.col("source_doc_id").alias("old_doc"), *GROUP, F.col("id").alias("old_id"), F.col("canonical_value").alias("old_value"))
-    pairs = old.join(chains, "old_doc").join(new, ["new_doc", *GROUP]).where("old_id <> new_id").join(dates, F.col("new_doc") == F.col("document_id"), "left")
-    return pairs.select("old_id", "new_id", "old_value", "new_value", F.coalesce(F.date_sub("new_from", 1), F.date_sub("document_date", 1)).alias("valid_to"))
+    """(place, seq, old_id, new_id, old_doc, new_doc, valid_to): each fact of a replaced document with the last fact of
+    the new document for the same subject and predicate. valid_to is what the old fact is to end with, the day before
+    the new one begins or before its document's date, and null where its predicate doesn't vary or it has an end."""
+    new = keep_last(facts, ["source_doc_id", *GROUP]).select(F.col("source_doc_id").alias("new_doc"), *GROUP, F.col("id").alias("new_id"), F.col("valid_from").alias("new_from"))
+    old = with_contract(facts, predicates).select("seq", F.col("source_doc_id").alias("old_doc"), *GROUP, F.col("id").alias("old_id"), "valid_to", "time_varying")
+    pairs = old.join(chains, "old_doc").join(new, ["new_doc", *GROUP]).join(dates, F.col("new_doc") == F.col("document_id"), "left")
+    end = F.coalesce(F.date_sub("new_from", 1), F.date_sub("document_date", 1))
+    return pairs.select("place", "seq", "old_id", "new_id", "old_doc", "new_doc", F.when(F.col("time_varying") & F.col("valid_to").isNull(), end).alias("valid_to"))
+
+
+def with_replaced_ends(facts: DataFrame, replaced: DataFrame) -> DataFrame:
+    """``facts`` with the ends that replacements give them; of several for a fact the last chain's, a given end stays."""
+    ends = replaced.where("valid_to is not null").groupBy("old_id").agg(F.max_by("valid_to", F.struct("place", "seq")).alias("__end"))
+    return facts.join(ends, facts.id == ends.old_id, "left").withColumn("valid_to", F.coalesce("valid_to", "__end")).drop("__end", "old_id")
 
 
 def resolve_replaced(conflicts: DataFrame, replaced: DataFrame) -> DataFrame:
-    """Open conflicts that hold an old and its new fact become resolved_temporally, the new fact winning."""
+    """Open conflicts that hold an old and its new fact become resolved_temporally, with the winner, loser and source
+    documents of the first such pair in the order of chains and facts."""
     members = conflicts.where("status = 'open'").select("id", F.explode("competing_fact_ids").alias("member"))
     both = members.join(replaced, F.col("member") == F.col("old_id")).join(members.select(F.col("id").alias("__id"), F.col("member").alias("__m")), (F.col("id") == F.col("__id")) & (F.col("new_id") == F.col("__m")))
-    winners = both.groupBy("id").agg(F.max("new_id").alias("winner_fact_id"))
-    return conflicts.join(winners, "id", "left").withColumn("status", F.when(F.col("winner_fact_id").isNotNull(), F.lit("resolved_temporally")).otherwise(F.col("status")))
+    pair = F.struct(F.col("new_id").alias("winner_fact_id"), F.col("old_id").alias("loser_fact_id"), F.lit("replaced_by").alias("source"), F.col("old_doc").alias("old_doc_id"), F.col("new_doc").alias("new_doc_id"))
+    first = both.groupBy("id").agg(F.min_by(pair, F.struct("place", "seq")).alias("resolution"))
+    return conflicts.join(first, "id", "left").withColumn("status", F.when(F.col("resolution").isNotNull(), F.lit("resolved_temporally")).otherwise(F.col("status")))
 
 
 def conflict_details(conflicts: DataFrame, facts: DataFrame, all_claims: DataFrame) -> DataFrame:
-    """(conflict_id, fact_id, canonical_value, n_claims) of members that exist."""
+    """(conflict_id, fact_id, canonical_value, claims) of each member: members that aren't there have no value, and
+    claims are sorted ids, none if there are none."""
     members = conflicts.select(F.col("id").alias("conflict_id"), F.explode("competing_fact_ids").alias("fact_id"))
-    counts = all_claims.groupBy("fact_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = members.join(facts.select(F.col("id").alias("fact_id"), "canonical_value"), "fact_id").join(counts, "fact_id", "left")
-    return rows.select("conflict_id", "fact_id", "canonical_value", F.coalesce("n", F.lit(0)).cast("long").alias("n_claims"))
+    own = all_claims.groupBy("fact_id").agg(F.array_sort(F.collect_set("id")).alias("claims"))
+    rows = members.join(facts.select(F.col("id").alias("fact_id"), "canonical_value"), "fact_id", "left").join(own, "fact_id", "left")
+    return rows.select("conflict_id", "fact_id", "canonical_value", F.coalesce("claims", F.array().cast("array<string>")).alias("claims"))
+
+
+#: Fixed value: what an id looks like.
+ID = "^[0-9a-f]{64}$"
+
+
+def by_id(table: DataFrame, *ids: str) -> DataFrame:
+    """The rows with these ids; the filter reaches the Parquet scan. Whatever isn't a SHA-256 in lower case has none."""
+    good = [i for i in ids if len(i) == 64 and not set(i) - set("0123456789abcdef")]
+    return table.where(F.col("id").isin(good)) if good else table.limit(0)
+
+
+def of_subject(facts: DataFrame, subject: str, predicate: str | None = None) -> DataFrame:
+    rows = facts.where(F.col("subject_id") == subject)
+    return rows if predicate is None else rows.where(F.col("predicate") == predicate)
+
+
+def claims_of(all_claims: DataFrame, fact_id: str) -> DataFrame:
+    return all_claims.where(F.col("fact_id") == fact_id)
+
+
+def conflicts_with(conflicts: DataFrame, fact_id: str) -> DataFrame:
+    return conflicts.where(F.array_contains("competing_fact_ids", fact_id))
+
+
+def fact_details(facts: DataFrame, all_claims: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Each fact with the sorted ids of its claims and of the conflicts that hold it."""
+    own = all_claims.groupBy("fact_id").agg(F.array_sort(F.collect_set("id")).alias("claims"))
+    held = conflicts.select(F.col("id").alias("__conflict"), F.explode("competing_fact_ids").alias("__fact")).groupBy("__fact").agg(F.array_sort(F.collect_set("__conflict")).alias("conflicts"))
+    rows = facts.join(own, facts.id == own.fact_id, "left").drop("fact_id").join(held, F.col("id") == F.col("__fact"), "left").drop("__fact")
+    return rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("claims", "conflicts")})
+
+
+def entity_snapshot(facts: DataFrame, entities: DataFrame, day: Column | None = None) -> DataFrame:
+    """(entity_id, n_facts, facts) of each of ``entities`` (entity_id): its facts' sorted ids, those valid on ``day`` if
+    one is given; an entity without facts has an empty list."""
+    rows = as_of(facts, day) if day is not None else facts
+    own = rows.groupBy("subject_id").agg(F.array_sort(F.collect_set("id")).alias("facts"))
+    out = entities.join(own, entities.entity_id == own.subject_id, "left").select("entity_id", F.coalesce("facts", F.array().cast("array<string>")).alias("facts"))
+    return out.select("entity_id", F.size("facts").cast("long").alias("n_facts"), "facts")
+
+
+def totals(facts: DataFrame, all_claims: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """One row: how many facts, claims and conflicts there are, and how many of the latter are open."""
+    one = lambda t, n: t.agg(F.count(F.lit(1)).alias(n))
+    held = conflicts.agg(F.count(F.lit(1)).alias("conflicts"), F.count_if(F.col("status") == "open").alias("open_conflicts"))
+    return one(facts, "facts").crossJoin(F.broadcast(one(all_claims, "claims"))).crossJoin(F.broadcast(held))  # one row each
+
+
+def registered(predicates: DataFrame, order: str = "seq") -> DataFrame:
+    """The contract of each predicate; the last registration of a name holds."""
+    return keep_last(predicates, ["predicate"], order)
+
+
+def confidence_category(value: Column) -> Column:
+    """Old numeric confidences as categories; what is none stays as it is."""
+    number = value.try_cast("double")
+    return F.when(number.isNull(), value).when(number == 1.0, "deterministic").when(number >= 0.5, "llm_high").otherwise("llm_low")
 
 
 def page(conflicts: DataFrame, status: str, limit: int) -> DataFrame:

@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..session import kept
+
+#: Types whose names may be merged, and types that say little (the last two are index nodes themselves).
+CLUSTERABLE = ("person", "organization", "location", "concept", "document")
+LOW_SIGNAL = ("amount", "date", "identifier")
+INDEX_TYPES = ("entity_profile", "catalog_index")
+MERGE_THRESHOLD = 0.85
+SHOWN_DOCUMENTS, SHOWN_MEMBER_DOCUMENTS, SHOWN_ENTITIES = 20, 8, 40
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """Each edge once, from its smaller to its larger end."""
@@ -28,17 +38,144 @@ def diagnosis(nodes: DataFrame, edges: DataFrame, membership: DataFrame) -> Data
     return by_type.join(docs, "entity_type", "left").withColumn("documents", F.coalesce("documents", F.lit(0)).cast("long"))
 
 
+def top_by_degree(nodes: DataFrame, edges: DataFrame, n: int = 40) -> DataFrame:
+    """The ``n`` nodes of highest degree, ties by name (a top-k report)."""
+    return degrees(nodes, edges).orderBy(F.desc("degree"), "name").limit(n)
+
+
+def isolation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: entities, how many have edges and how many are isolated."""
+    return degrees(nodes, edges).agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.col("degree") > 0).alias("with_edges"), F.count_if(F.col("degree") == 0).alias("isolated"))
+
+
+def document_dates(docs: DataFrame) -> DataFrame:
+    """(document_id, document_date) of the documents whose date is an ISO date; others are left out."""
+    day = F.when(F.col("document_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date("document_date", "yyyy-MM-dd"))
+    return docs.where(F.coalesce("document_id", F.lit("")) != "").select("document_id", day.alias("document_date")).where("document_date is not null")
+
+
+def lenient_date(raw: Column) -> Column:
+    """The day of an ISO date or date and time; null where it is none."""
+    return F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}(T.*)?$"), F.try_to_date(F.substring(raw, 1, 10), "yyyy-MM-dd"))
+
+
+def membership(nodes: DataFrame) -> DataFrame:
+    """(name, document_id) of nodes (name, document_ids) with ids as an array."""
+    return nodes.select("name", F.explode(F.array_distinct("document_ids")).alias("document_id"))
+
+
 def sourced_prefix(membership: DataFrame) -> DataFrame:
     """'[sourced: d1, d2] ' of each name from its documents' distinct dates, ascending."""
     days = F.array_sort(F.collect_set(F.col("document_date").cast("string")))
     return membership.where("document_date is not null").groupBy("name").agg(F.concat(F.lit("[sourced: "), F.array_join(days, ", "), F.lit("] ")).alias("prefix"))
 
 
-def normal_type(raw: Column, legal: list[str]) -> tuple[Column, Column]:
-    """(type, original): trimmed and lower-cased; one that isn't legal becomes 'concept' and is kept as original."""
-    t = F.lower(F.trim(raw))
-    known = t.isin(legal)
-    return F.when(known, t).otherwise("concept"), F.when(~F.coalesce(known, F.lit(False)) & (F.trim(raw) != ""), raw)
+def with_sources(records: DataFrame, dates: DataFrame, key: str = "name") -> DataFrame:
+    """Records (key, description, document_ids as an array) with the prefix of their documents' dates before the
+    description, and ``annotated``. One that has a prefix already, or no dated document, stays as it is."""
+    rows = records.select(F.col(key).alias("name"), F.explode(F.array_distinct("document_ids")).alias("document_id")).join(dates, "document_id")
+    prefix = sourced_prefix(rows).withColumnRenamed("name", "__name")
+    out = records.join(prefix, records[key] == F.col("__name"), "left")
+    annotated = F.col("prefix").isNotNull() & ~F.coalesce("description", F.lit("")).startswith("[sourced:")
+    text = F.when(annotated, F.concat("prefix", F.coalesce("description", F.lit("")))).otherwise(F.col("description"))
+    return out.withColumns({"description": text, "annotated": annotated}).drop("prefix", "__name")
+
+
+def without_source_prefix(description: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(description), r"^\[sourced:[^\]]*\]", ""))
+
+
+def with_document_ids(records: DataFrame, path_ids: Column) -> DataFrame:
+    """Records with document_ids, '<SEP>'-joined, from their paths."""
+    return records.withColumn("document_ids", T.joined_ids(path_ids))
+
+
+def normal_type(raw: Column, legal: list[str]) -> tuple[Column, Column, Column]:
+    """(type, original, remapped): trimmed and lower-cased; one that isn't legal becomes 'concept', and what it was,
+    unless empty, is the original."""
+    t = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    known = t.isin([x.lower() for x in legal])
+    return F.when(known, t).otherwise("concept"), F.when(~known & (t != ""), t), ~known
+
+
+def is_index_node(name: Column) -> Column:
+    return name.startswith("Profile: ") | name.startswith("Catalog: ")
+
+
+def document_line(document_id: Column, filename: Column, day: Column, context: Column) -> Column:
+    """'  - /store/<id>/content.md (name, date=..., context=a/b)' with what is known."""
+    bits = F.concat_ws(", ", F.when(filename != "", filename), F.when(day.cast("string") != "", F.concat(F.lit("date="), day.cast("string"))), F.when(F.size(context) > 0, F.concat(F.lit("context="), F.array_join(context, "/"))))
+    return F.concat(F.lit("  - /store/"), document_id, F.lit("/content.md"), F.when(bits != "", F.concat(F.lit(" ("), bits, F.lit(")"))).otherwise(""))
+
+
+def _indexed(nodes: DataFrame, docs: DataFrame, hidden: tuple[str, ...]) -> DataFrame:
+    """(name, entity_type, document_id, line, at) of the nodes that say something, with each of their stored documents."""
+    line = document_line(F.col("document_id"), F.coalesce("original_filename", F.lit("")), F.coalesce("document_date", F.lit("")), F.coalesce("doc_context", F.array().cast("array<string>")))
+    shown = nodes.where(~F.coalesce("entity_type", F.lit("")).isin([*LOW_SIGNAL, *INDEX_TYPES, *hidden]) & ~is_index_node(F.col("name")))
+    rows = shown.select("name", F.coalesce("entity_type", F.lit("")).alias("entity_type"), F.posexplode("document_ids").alias("at", "document_id"))
+    return rows.join(docs.select("document_id", line.alias("line")), "document_id")
+
+
+def profile_nodes(nodes: DataFrame, docs: DataFrame, least: int = 2, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """An index node (name, entity_type, description, source_id, document_ids) for each entity of ``least`` stored
+    documents or more: the first 20 by id, a line each, and how many more there are."""
+    d = F.array_sort(F.collect_list(F.struct("document_id", "line")))
+    rows = _indexed(nodes, docs, hidden).groupBy("name", "entity_type").agg(d.alias("d"), F.array_sort(F.collect_list(F.struct("at", "document_id"))).alias("o")).where(F.size("d") >= least)
+    lines = F.transform(F.slice("d", 1, SHOWN_DOCUMENTS), lambda x: x["line"])
+    more = F.when(F.size("d") > SHOWN_DOCUMENTS, F.array(F.concat(F.lit("  \u2026and "), (F.size("d") - SHOWN_DOCUMENTS).cast("string"), F.lit(" more.")))).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.concat(F.lit("Profile of "), "name", F.lit(" (type: "), "entity_type", F.lit(").")), F.concat(F.lit("Appears in "), F.size("d").cast("string"), F.lit(" documents:")))
+    return rows.select(F.concat(F.lit("Profile: "), "name").alias("name"), F.lit("entity_profile").alias("entity_type"), F.array_join(F.concat(head, lines, more), "\n").alias("description"),
+                       F.col("o")[0]["document_id"].alias("source_id"), F.transform("o", lambda x: x["document_id"]).alias("document_ids"))
+
+
+def catalog_nodes(nodes: DataFrame, docs: DataFrame, least: int = 2, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """An index node for each type of ``least`` entities and documents or more, a line an entity with its first 8
+    documents."""
+    rows = _indexed(nodes, docs, hidden)
+    path = F.transform(F.slice(F.array_sort(F.collect_list("document_id")), 1, SHOWN_MEMBER_DOCUMENTS), lambda d: F.concat(F.lit("/store/"), d, F.lit("/content.md")))
+    members = rows.groupBy("entity_type", "name").agg(F.concat(F.lit("  - "), "name", F.lit(" ["), F.array_join(path, ", "), F.lit("]")).alias("line"))
+    members = members.groupBy("entity_type").agg(F.array_sort(F.collect_list(F.struct("name", "line"))).alias("m"))
+    own = rows.groupBy("entity_type").agg(F.array_sort(F.collect_set("document_id")).alias("d"))
+    both = members.join(own, "entity_type").where((F.size("m") >= least) & (F.size("d") >= least))
+    head = F.array(F.concat(F.lit("Catalog of "), "entity_type", F.lit(" entities across the corpus.")), F.concat(F.size("m").cast("string"), F.lit(" entities found across "), F.size("d").cast("string"), F.lit(" documents:")))
+    return both.select(F.concat(F.lit("Catalog: "), "entity_type").alias("name"), F.lit("catalog_index").alias("entity_type"), F.array_join(F.concat(head, F.transform("m", lambda x: x["line"])), "\n").alias("description"), F.col("d")[0].alias("source_id"), F.col("d").alias("document_ids"))
+
+
+def index_plan(nodes: DataFrame, docs: DataFrame, least_docs: int = 2, least_entities: int = 2, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """Profiles, then catalogs, each by name (kind, name order): what is to replace the index nodes there are."""
+    both = profile_nodes(nodes, docs, least_docs, hidden).withColumn("kind", F.lit(0)).unionByName(catalog_nodes(nodes, docs, least_entities, hidden).withColumn("kind", F.lit(1)))
+    return both.orderBy("kind", "name")
+
+
+def upserted(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``stored`` with the rows of ``new`` in place of those of equal keys."""
+    return stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def with_index_nodes(nodes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``nodes`` without the index nodes they have and with those of the plan."""
+    return nodes.where(~is_index_node(F.col("name"))).unionByName(plan.drop("kind"), allowMissingColumns=True)
+
+
+def summaries(docs: DataFrame, nodes: DataFrame, extras: DataFrame | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk_id, full_doc_id, file_path, content) of each document: name, date, id, quality, context, its first 40
+    telling entities by name and, from ``extras`` (document_id, at, line), its highlights."""
+    telling = nodes.where(~F.coalesce("entity_type", F.lit("")).isin([*LOW_SIGNAL, *hidden])).select("name", F.explode(F.array_distinct("document_ids")).alias("document_id"))
+    names = telling.groupBy("document_id").agg(F.slice(F.array_sort(F.collect_list("name")), 1, SHOWN_ENTITIES).alias("names"))
+    rows = docs.where(F.coalesce("document_id", F.lit("")) != "").join(names, "document_id", "left")
+    if extras is not None:
+        rows = rows.join(extras.groupBy("document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: F.concat(F.lit("  - "), x["line"])).alias("lines")), "document_id", "left")
+    else:
+        rows = rows.withColumn("lines", F.lit(None).cast("array<string>"))
+    known = lambda c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", "unknown").otherwise(F.col(c).cast("string"))
+    name = known("original_filename")
+    content = F.concat_ws(
+        "\n", F.concat(F.lit("Document: "), name), F.concat(F.lit("Filename tokens: "), F.translate(name, "_-", "  ")), F.concat(F.lit("Document date: "), known("document_date")),
+        F.concat(F.lit("Document ID: "), "document_id"), F.concat(F.lit("Extraction quality: "), known("extraction_quality")),
+        F.when(F.size("doc_context") > 0, F.concat(F.lit("Document context: "), F.array_join("doc_context", ", "))),
+        F.when(F.size("names") > 0, F.concat(F.lit("Key entities: "), F.array_join("names", ", "))),
+        F.when(F.size("lines") > 0, F.concat(F.lit("Structured highlights:\n"), F.array_join("lines", "\n"))))
+    return rows.select(F.concat(F.lit("summary-"), "document_id").alias("chunk_id"), F.col("document_id").alias("full_doc_id"), F.concat(F.lit("/store/"), "document_id", F.lit("/content.md")).alias("file_path"), content.alias("content"))
 
 
 def profiles(membership: DataFrame, least: int, shown: int = 20) -> DataFrame:
@@ -57,25 +194,53 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def alias_edges(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) of entities of one type with cosine at or above ``threshold``; vectors have unit length. The type
-    is an equi-key, so the join is dealt by it."""
-    left = vectors.select(F.col("name").alias("a"), "entity_type", F.col("embedding").alias("__x"))
-    right = vectors.select(F.col("name").alias("b"), "entity_type", F.col("embedding").alias("__y"))
-    rows = left.join(right, "entity_type").where("a < b").withColumn("score", F.round(dot("__x", "__y"), 4))
-    return rows.where(F.col("score") >= threshold).select("a", "b", "score")
+def alias_edges(entities: DataFrame, threshold: float = MERGE_THRESHOLD, types: tuple[str, ...] | None = CLUSTERABLE) -> DataFrame:
+    """(a, b, score) of entities (id, name, entity_type, embedding of unit length) of one type with lexically equal
+    names and a cosine of ``threshold`` or more.
+
+    All words of the name with fewer are in the other, so a pair is met at the rarest of them, by an equi-join on type
+    and word; no two entities without a word in common are ever compared.
+    """
+    rows = entities if types is None else entities.where(F.col("entity_type").isin(list(types)))
+    rows = rows.select("id", "entity_type", T.normal_name("name").alias("n")).where("n <> ''")
+    words = rows.select("id", "entity_type", "n", F.explode(F.array_distinct(F.split("n", " "))).alias("word"))
+    counted = words.join(words.groupBy("entity_type", "word").agg(F.count(F.lit(1)).alias("df")), ["entity_type", "word"])
+    rare = counted.groupBy("id", "entity_type", "n").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    few = rare.select(F.col("id").alias("x"), F.col("n").alias("nx"), "entity_type", "word")
+    met = few.join(words.select(F.col("id").alias("y"), F.col("n").alias("ny"), "entity_type", "word"), ["entity_type", "word"])
+    met = met.where((F.col("x") != F.col("y")) & (F.size(F.split("nx", " ")) <= F.size(F.split("ny", " "))) & T.equal_normal_names(F.col("nx"), F.col("ny")))
+    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    vectors = entities.select("id", "embedding")
+    both = met.join(vectors.withColumnsRenamed({"id": "a", "embedding": "__x"}), "a").join(vectors.withColumnsRenamed({"id": "b", "embedding": "__y"}), "b")
+    return both.withColumn("score", F.round(dot("__x", "__y"), 4)).where(F.col("score") >= threshold).select("a", "b", "score")
 
 
 def ambiguous(edges: DataFrame) -> DataFrame:
-    """Nodes with two neighbours that are no neighbours of each other."""
+    """Nodes with two neighbours that are no neighbours of each other: those in fewer triangles than all pairs of their
+    neighbours would make. Triangles are found from their end of lowest degree, so a hub doesn't pair its neighbours."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    ranked = edges.select("a", "b").join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
+    low = F.struct("da", "a") < F.struct("db", "b")
+    out = ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
+    wedges = out.join(out.withColumnRenamed("v", "w"), "u").where("v < w")
+    closed = wedges.join(edges.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
+    triangles = closed.select(F.explode(F.array("u", "v", "w")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("t"))
+    rows = degree.join(triangles, "a", "left")
+    return rows.where(F.coalesce("t", F.lit(0)) < F.col("d") * (F.col("d") - 1) / 2).select(F.col("a").alias("name"))
+
+
+def ambiguous_groups(edges: DataFrame) -> DataFrame:
+    """(members): each ambiguous node with all its neighbours, sorted, every such group once."""
     both = edges.select("a", "b").union(edges.select("b", "a"))
-    wedges = both.select(F.col("a").alias("name"), F.col("b").alias("x")).join(both.select(F.col("a").alias("name"), F.col("b").alias("y")), "name").where("x < y")
-    return wedges.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select("name").distinct()
+    rows = both.join(ambiguous(edges).withColumnRenamed("name", "a"), "a")
+    return rows.groupBy("a").agg(F.array_sort(F.array_append(F.collect_list("b"), F.first("a"))).alias("members")).select("members").distinct()
 
 
 def alias_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, cluster): the smallest name among a node and its neighbours once ambiguous nodes are out, as what is left
     is transitive; ambiguous nodes stand alone."""
+    edges = kept(edges)
     bad = ambiguous(edges)
     both = edges.select("a", "b").union(edges.select("b", "a"))
     safe = both.join(bad.select(F.col("name").alias("a")), "a", "left_anti").join(bad.select(F.col("name").alias("b")), "b", "left_anti")
@@ -83,23 +248,59 @@ def alias_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(least, nodes.name == least.a, "left").select("name", F.least("name", F.coalesce("m", "name")).alias("cluster"))
 
 
-def merged(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """One node a cluster: the first type by name, all distinct documents, and how many nodes it was."""
-    rows = nodes.join(clusters, "name")
-    return rows.groupBy("cluster").agg(F.min_by("entity_type", "name").alias("entity_type"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("document_ids")))).alias("document_ids"), F.count(F.lit(1)).alias("members"))
-
-
 def canonical(names: Column) -> Column:
     """The longest name, ties to the smallest first character, then to the first in order."""
     ranked = F.transform(names, lambda n, i: F.struct((-F.length(n)).alias("l"), F.substring(n, 1, 1).alias("c"), i.alias("i"), n.alias("n")))
     return F.array_min(ranked)["n"]
 
 
+def merge_plan(clusters: DataFrame) -> DataFrame:
+    """(canonical, sources) of each cluster (name, cluster) of two names or more."""
+    rows = clusters.groupBy("cluster").agg(F.array_sort(F.collect_list("name")).alias("names")).where(F.size("names") > 1)
+    return rows.select(canonical(F.col("names")).alias("canonical"), "names").select("canonical", F.array_remove("names", F.col("canonical")).alias("sources"))
+
+
+def merged(nodes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``nodes`` (name, entity_type, description, document_ids) after the merges of ``plan`` (canonical, sources) whose
+    canonical node is there: the canonical node keeps its type, has all descriptions, its own first, and all distinct
+    documents. Sources that are gone already change nothing."""
+    there = plan.join(nodes.select(F.col("name").alias("canonical")), "canonical", "left_semi")
+    moves = there.select("canonical", F.posexplode("sources").alias("at", "source"))
+    rows = nodes.join(moves, nodes.name == moves.source, "left").withColumn("target", F.coalesce("canonical", "name")).withColumn("at", F.coalesce("at", F.lit(-1)))
+    own = F.array_sort(F.collect_list(F.struct("at", "name", "entity_type", "description", "document_ids")))
+    rows = rows.groupBy("target").agg(own.alias("m"))
+    texts = F.filter(F.transform("m", lambda x: x["description"]), lambda t: t.isNotNull() & (t != ""))
+    return rows.select(F.col("target").alias("name"), F.col("m")[0]["entity_type"].alias("entity_type"), F.array_join(texts, "<SEP>").alias("description"),
+                       F.array_distinct(F.flatten(F.transform("m", lambda x: x["document_ids"]))).alias("document_ids"), F.size("m").cast("long").alias("members"))
+
+
+def moved_edges(edges: DataFrame, plan: DataFrame) -> DataFrame:
+    """``edges`` (src, tgt) with merged ends in place of their sources; loops go, each pair is left once."""
+    moves = plan.select("canonical", F.explode("sources").alias("source"))
+    for end in ("src", "tgt"):
+        edges = edges.join(moves, edges[end] == moves.source, "left").withColumn(end, F.coalesce("canonical", end)).drop("canonical", "source")
+    return undirected(edges.where("src <> tgt"))
+
+
 def last_override(overrides: DataFrame) -> DataFrame:
     """The override of each name from the latest bucket."""
     return overrides.withColumn("__n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("bucket")))).where("__n = 1").drop("__n")
 
 
+def with_types(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``nodes`` with the types that overrides (name, bucket, new_type) give them; the latest bucket wins."""
+    last = last_override(overrides).select("name", "new_type")
+    return nodes.join(last, "name", "left").withColumn("entity_type", F.coalesce("new_type", "entity_type")).drop("new_type")
+
+
+def type_buckets(nodes: DataFrame, fallback: str = "concept") -> DataFrame:
+    """(bucket, names): nodes of the fallback type, and those of them that had another; empty ones are left out."""
+    rows = nodes.where(F.col("entity_type") == fallback)
+    remapped = rows.where(F.coalesce("original_entity_type", F.lit("")) != "")
+    both = rows.select(F.lit("concept_fallback").alias("bucket"), "name").union(remapped.select(F.lit("remapped_singletons"), "name"))
+    return both.groupBy("bucket").agg(F.array_sort(F.collect_list("name")).alias("names"))
+
+
 def type_changes(nodes: DataFrame, overrides: DataFrame) -> DataFrame:
     """(name, old_type, new_type, outcome): missing nodes warn, equal types are skipped."""
     rows = last_override(overrides).join(nodes.select("name", F.col("entity_type").alias("old_type")), "name", "left")

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What descriptions begin with, the first that fits, and the category it stands for.
+CATEGORIES = (
+    ("SOLDE", "balance"), ("VIR SEPA RECU", "transfer_in"), ("VIR CPTE A CPTE RECU", "transfer_in"), ("VIR RECU", "transfer_in"),
+    ("VIR SCT INST RECU", "transfer_in"), ("VIR CPTE A CPTE EMIS", "transfer_out"), ("VIR SCT INST EMIS", "transfer_out"),
+    ("VIR SEPA EMIS", "transfer_out"), ("VIR EMIS", "transfer_out"), ("VIR", "transfer_out"), ("CARTE", "card_payment"),
+    ("PRLV", "direct_debit"), ("CHEQUE", "cheque"), ("COMMISSION", "fee"), ("FRAIS", "fee"), ("AGIOS", "fee"),
+    ("INTERETS", "interest"), ("DEPOT", "deposit"), ("RETRAIT", "withdrawal"),
+)
+
 
 def french_number(raw: Column) -> Column:
     """'1 209,10' as a decimal; null where it is none."""
-    return F.replace(F.regexp_replace(raw, "[\\s  ]", ""), F.lit(","), F.lit(".")).try_cast("decimal(18,2)")
+    bare = F.replace(F.regexp_replace(raw, r"^\s+|\s+$|[ \x{A0}]", ""), F.lit(","), F.lit("."))
+    return F.when(bare.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), bare.try_cast("decimal(18,2)"))
 
 
-def category(description: Column, rules: list[tuple[str, str]], default: str = "other") -> Column:
-    """The category of the first prefix in ``rules`` that the description begins with."""
+def category(description: Column, rules: tuple[tuple[str, str], ...] = CATEGORIES, default: str = "other") -> Column:
+    """The category of the first prefix in ``rules`` that the description, without blanks and asterisks before it,
+    begins with."""
+    text = F.upper(F.regexp_replace(F.coalesce(description, F.lit("")), r"^\s*\**\s*", ""))
     out = F
     for prefix, name in rules:
-        out = out.when(F.upper(description).startswith(prefix.upper()), F.lit(name))
+        out = out.when(text.startswith(prefix.upper()), F.lit(name))
     return out.otherwise(default)
 
 
@@ -28,6 +40,11 @@ def direction(debit: Column) -> Column:
     return F.when(debit.isNotNull(), "debit").otherwise("credit")
 
 
+def amount(debit: Column, credit: Column) -> Column:
+    """The amount without its sign."""
+    return F.coalesce(debit, credit)
+
+
 def spend(transactions: DataFrame, *keys: str) -> DataFrame:
     """Sum and number of amounts by the keys, in decimals."""
     return transactions.groupBy(*keys).agg(F.sum("amount").cast("decimal(38,2)").alias("total"), F.count(F.lit(1)).alias("n"))

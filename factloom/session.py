@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 BATCH = 1000
 _shipped: set[str] = set()
@@ -26,3 +26,14 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(path))
         _shipped.add(app)
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in spark.checkpoint.dir, for tables that a plan uses several times; a folder of this machine
+    serves local sessions only."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return df.checkpoint()

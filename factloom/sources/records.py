@@ -18,6 +18,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType, key: str = "i
     return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").select(*schema.fieldNames())
 
 
+def refused(rows: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
+    """The ids that can't be appended, (key, reason): those the store has and those that occur again in ``rows``."""
+    there = rows.select(key).distinct().join(stored.select(key).distinct(), key, "left_semi").withColumn("reason", F.lit("stored"))
+    again = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key, F.lit("repeated").alias("reason"))
+    return there.unionByName(again.join(there.select(key), key, "left_anti"))
+
+
 def append_new(spark: SparkSession, rows: DataFrame, path: str, schema: StructType, key: str = "id") -> DataFrame:
     """The rows whose id the store at ``path`` doesn't have; these can be appended."""
     return rows.join(read_jsonl(spark, path, schema, key).select(key), key, "left_anti")
@@ -35,3 +42,19 @@ def read_store(spark: SparkSession, root: str) -> DataFrame:
     folder = F.regexp_extract("p", r"/([^/]+)/[^/]+$", 1)
     rows = content.select(folder.alias("document_id"), "content_md").join(about.select(folder.alias("document_id"), "metadata"), "document_id")
     return rows.where(~F.col("document_id").startswith(".tmp-"))
+
+
+def read_folder(spark: SparkSession, folder: str, names_only: bool = False) -> DataFrame:
+    """(path, is_file, hash, size) of the files right in a folder, in order of their paths, whatever their type."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    rows = files.select("path", F.lit(True).alias("is_file"), *([] if names_only else [F.sha2("content", 256).alias("hash")]), F.col("length").alias("size"))
+    return rows.orderBy("path")
+
+
+def document_maps(store: DataFrame) -> DataFrame:
+    """(document_id, original_filename, document_date, doc_context, extraction_quality) from the metadata of a store, for
+    looking up names and dates; documents whose metadata don't parse or have no id are left out."""
+    about = F.try_parse_json("metadata")
+    field = lambda k, t="string": F.try_variant_get(about, f"$.{k}", t).alias(k)
+    rows = store.select(field("document_id"), field("original_filename"), field("document_date"), field("doc_context", "array<string>"), field("extraction_quality"))
+    return rows.where(F.coalesce("document_id", F.lit("")) != "")
