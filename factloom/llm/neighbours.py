@@ -10,7 +10,9 @@ its own walls. Equal vectors are hashed once, with as many of their smallest ids
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,9 @@ BUCKET = 32
 #: neighbours to be met by then.
 SAMPLE = 128
 RECALL = 0.97
+#: Sets of walls that are tried before buckets are made wider; vectors of a bucket beyond which it is split, and vectors
+#: (once a table) a task holds, about; queries answered by a full scan at once.
+MOST_SETS, HOT, HELD, SCANNED = 8192, 1 << 14, 1 << 16, 512
 
 
 def perturbations(k: int, most: int) -> list[tuple[int, ...]]:
@@ -118,7 +123,9 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
 
     Vectors that are null, zero or hold a null or a component that isn't finite take no part, nor do those of another
     length than most; rows without an id neither. Rows equal in id and vector count once. Up to ``BUCKET`` vectors all
-    are candidates. A bucket holds distinct vectors only.
+    are candidates. A bucket holds distinct vectors only; one with very many is dealt over several tasks, which its
+    queries all visit. Queries that meet too few vectors are answered by a scan of all. An empty table gives an empty
+    result; other columns are not looked at.
     """
     spark = table.sparkSession
     v = F.col(vector_col).cast("array<double>")
@@ -147,19 +154,21 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
     distinct = common.written(packed.groupBy("v").agg(smallest.alias("ids"), F.max(F.size("asked") > 0).alias("queried"), F.max("norm").alias("norm")), "distinct")
     n, norm = distinct.agg(F.count(F.lit(1)), F.max("norm")).first()
-    width = max(0, round(math.log2(max(n, 1) / BUCKET) / 1.5))
-    hashes = Tables(dim, width, tables)
     queries = distinct.where("queried").select("v")
-    visited = _sets(hashes, distinct, queries, norm, dim, k)
-    shards = common.shards(spark)
+    hashes, visited = _hashes(distinct, queries, n, norm, dim, k, tables)
+    shards = max(common.shards(spark), n * tables // HELD)
+    split = _split_buckets(distinct, hashes, norm, dim, n)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, _ = hashes.cells(_unit(_matrix(batch.column(0), dim), norm))
             bucket = hashes.bucket(cell)
+            own = np.array([zlib.crc32(v.as_py()) for v in batch.column(0)], np.uint64)
             for t in range(tables):
                 b = bucket[:, t]
-                yield pa.RecordBatch.from_arrays([pa.array((b % np.uint64(shards)).astype(np.int32)), pa.array(b.view(np.int64)), batch.column(0), batch.column(1)], ["shard", "bucket", "v", "ids"])
+                parts = np.array([split.get(x, 1) for x in b.tolist()], np.uint64) if split else np.uint64(1)
+                shard = (b + own % parts) % np.uint64(shards)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(b.view(np.int64)), batch.column(0), batch.column(1)], ["shard", "bucket", "v", "ids"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +177,12 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
                 probes = hashes.probes(_query_unit(_matrix(part, dim)), visited).reshape(len(part), -1)
                 out = []
                 for v, p in zip(part.to_pylist(), probes):
-                    shard = (p % np.uint64(shards)).astype(np.int64)
+                    p = np.unique(p)
+                    more = [(b, np.arange(split[b], dtype=np.uint64)) for b in p.tolist() if b in split] if split else []
+                    extra = [(np.full(len(j) - 1, b, np.uint64), j[1:]) for b, j in more]
+                    offset = np.concatenate([np.zeros(len(p), np.uint64), *(j for _, j in extra)])
+                    p = np.concatenate([p, *(b for b, _ in extra)])
+                    shard = ((p + offset) % np.uint64(shards)).astype(np.int64)
                     by = np.argsort(shard, kind="stable")
                     at_shard, first = np.unique(shard[by], return_index=True)
                     out += [(int(s), v, own.tobytes()) for s, own in zip(at_shard, np.split(p[by], first[1:]))]
@@ -192,9 +206,10 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
             met: list[list[np.ndarray]] = [[] for _ in range(len(q))]
             for b, own in owners.items():
                 rough = q[own] @ x[members[b]].T
-                top = np.argpartition(-rough, keep, axis=1)[:, : keep + 1] if rough.shape[1] > keep + 1 else np.broadcast_to(np.arange(rough.shape[1]), rough.shape)
-                for r, c in zip(own, top):
-                    met[r].append(members[b][c])
+                for r, s in zip(own, rough):
+                    # all that could be among the best, however the sums were rounded, so that ties are told by ids
+                    least = np.partition(s, len(s) - keep)[len(s) - keep] if len(s) > keep else s.min()
+                    met[r].append(members[b][s >= least - 1e-9 * max(1.0, abs(least))])
             for r, parts in enumerate(met):
                 if parts:
                     c = np.concatenate(parts)
@@ -205,34 +220,84 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     found = distinct.select("v", "ids").mapInArrow(index, "shard int, bucket long, v binary, ids array<long>").groupBy("shard").cogroup(
         queries.repartition(shards).mapInArrow(ask, "shard int, q binary, buckets binary").groupBy("shard")).applyInArrow(search, "q binary, found array<struct<s:double,i:long>>")
     merged = found.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep).alias("found"))
+    merged = common.written(queries.join(merged, queries.v == merged.q, "left").select(F.col("v").alias("q"), "found"), "found")
+    few = merged.where(f"found is null or size(found) < {keep}").select("q")
+    if hashes.k and few.limit(1).count():
+        merged = merged.join(few, "q", "left_anti").unionByName(_scanned(distinct, few, dim, keep))
     asked = packed.where(F.size("asked") > 0).select("v", F.explode("asked").alias("query_id")).distinct()
     answers = asked.join(merged, asked.v == merged.q, "left").select("query_id", F.posexplode(F.slice(F.filter("found", lambda f: f["i"] != F.col("query_id")), 1, k)).alias("p", "f"))
     return answers.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.i").alias("vec_id"), (-F.col("f.s")).alias("score"))
 
 
-def _sets(hashes: Tables, distinct: DataFrame, queries: DataFrame, norm: float, dim: int, k: int) -> list[tuple[int, ...]]:
-    """As many perturbation sets as meet ``RECALL`` of the exact neighbours of a sample of queries."""
-    sets = perturbations(hashes.k, 3**hashes.k if hashes.k < 9 else 8192)
+def _hashes(distinct: DataFrame, queries: DataFrame, n: int, norm: float, dim: int, k: int, tables: int) -> tuple[Tables, list[tuple[int, ...]]]:
+    """Projections and the sets of walls to visit that meet ``RECALL`` of a sample's neighbours: where ``MOST_SETS`` don't,
+    buckets get wider by a projection less, down to one bucket."""
+    width = max(0, round(math.log2(max(n, 1) / BUCKET) / 1.5))
     sample = [bytes(r["v"]) for r in queries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()]
-    if hashes.k == 0 or not sample:
-        return sets
     q = np.frombuffer(b"".join(sample), np.float64).reshape(-1, dim)
+    best = _nearest_of(distinct, q, k) if width and len(q) else []
+    while True:
+        hashes = Tables(dim, width, tables)
+        sets = perturbations(width, 3**width if width < 9 else MOST_SETS)
+        if not width or not best:
+            return hashes, sets
+        probes, needed = hashes.probes(_query_unit(q), sets), []
+        for i, x in best:
+            for b in hashes.bucket(hashes.cells(_unit(x, norm))[0]):
+                hit = probes[i] == b[:, None]
+                needed.append(int(np.where(hit.any(1), hit.argmax(1), len(sets)).min()))
+        most = int(np.quantile(needed, RECALL, method="higher"))
+        if most < len(sets):
+            return hashes, sets[: most + 1]
+        width -= 1
+
+
+def _split_buckets(distinct: DataFrame, hashes: Tables, norm: float, dim: int, n: int) -> dict[int, int]:
+    """Parts of the buckets with more than ``HOT`` vectors, or a ten-thousandth of all; there can't be more than some ten
+    thousand of them."""
+    most = max(HOT, n * hashes.tables // 10_000)
+    if n <= most:
+        return {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, c = np.unique(hashes.bucket(hashes.cells(_unit(_matrix(batch.column(0), dim), norm))[0]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(c)], ["bucket", "n"])
+
+    rows = distinct.select("v").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(f"n > {most}").collect()
+    return {r["bucket"] % 2**64: -(-r["n"] // most) for r in rows}
+
+
+def _nearest_of(distinct: DataFrame, q: np.ndarray, k: int) -> list[tuple[int, np.ndarray]]:
+    """(number, its ``k`` nearest vectors) of each of a few queries, among all."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                scores = q @ _matrix(batch.column(0), dim).T
+                scores = q @ _matrix(batch.column(0), q.shape[1]).T
                 m = min(k, batch.num_rows)
                 top = np.argpartition(-scores, m - 1, axis=1)[:, :m]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.arange(len(q)), m)), pa.array(np.take_along_axis(scores, top, 1).ravel()), batch.column(0).take(pa.array(top.ravel()))], ["q", "s", "v"])
 
     best = distinct.select("v").mapInArrow(exact, "q long, s double, v binary").groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v")), False), 1, k).alias("b")).collect()
-    probes, needed = hashes.probes(_query_unit(q), sets), []
-    for row in best:
-        x = np.frombuffer(b"".join(bytes(b["v"]) for b in row["b"]), np.float64).reshape(-1, dim)
-        bucket = hashes.bucket(hashes.cells(_unit(x, norm))[0])
-        for b in bucket:
-            hit = probes[row["q"]] == b[:, None]
-            needed.append(int(np.where(hit.any(1), hit.argmax(1), len(sets)).min()))
-    return sets[: int(np.quantile(needed, RECALL, method="higher")) + 1]
+    return [(r["q"], np.frombuffer(b"".join(bytes(b["v"]) for b in r["b"]), np.float64).reshape(-1, q.shape[1])) for r in best]
+
+
+def _scanned(distinct: DataFrame, few: DataFrame, dim: int, keep: int) -> DataFrame:
+    """(q, found) of the vectors ``few`` by comparing them with all, ``SCANNED`` at a time."""
+    out, rows = None, few.orderBy("q").toLocalIterator()
+    while part := [bytes(r["q"]) for r in itertools.islice(rows, SCANNED)]:
+        q = np.frombuffer(b"".join(part), np.float64).reshape(-1, dim)
+
+        def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, part: list[bytes] = part) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, ids = _matrix(batch.column(0), dim), batch.column(1).to_pylist()
+                found = [[{"s": s, "i": i} for s, i in _best(_exact(row, x), ids, keep)] for row in q] if len(x) else []
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))], ["q", "found"])
+
+        met = distinct.select("v", "ids").mapInArrow(run, "q binary, found array<struct<s:double,i:long>>")
+        met = common.written(met.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep).alias("found")), "scanned")
+        out = met if out is None else out.unionByName(met)
+    return out

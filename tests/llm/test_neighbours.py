@@ -41,3 +41,33 @@ def test_recall_and_ties(spark, n, copies):
 
 def test_empty(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def answers(table, **kw):
+    got: dict = {}
+    for r in neighbours.nearest(table, **kw).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    return got
+
+
+def test_distinct_vectors_that_tie_come_by_their_ids(spark, monkeypatch):
+    # 45 different vectors of one inner product with the query, in any order
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(int(i), [1.0, float(rng.uniform(-1, 1)), float(i)]) for i in rng.permutation(np.arange(1, 46))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert answers(table, every=100)[0] == list(range(1, 21))
+    monkeypatch.setattr(neighbours, "BUCKET", 1000)
+    assert answers(table, every=100)[0] == list(range(1, 21))
+
+
+def test_split_buckets_and_scans_give_all(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((900, 8))
+    x[:600] = x[0] + rng.normal(0, 1e-3, (600, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(list(range(900)), x, 20, 20)
+    monkeypatch.setattr(neighbours, "HOT", 40)
+    monkeypatch.setattr(neighbours, "SCANNED", 7)
+    got = answers(table)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
