@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,28 +19,30 @@ BLOCK_TOKENS = 1 << 21
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write one flat file of 16-bit ids a partition, each document followed by END, and return (file, ordinal, id)
-    of the documents, written beside them. A null text is a document without tokens. A task that runs again writes the
-    same file anew under another name and renames it.
+    of the documents, written beside them. A null text is a document without tokens.
+
+    Every attempt of a task writes a file of its own name and says so in its rows; Spark commits the rows of one attempt,
+    and files that no row names are no part of the result, so lost or repeated tasks change nothing.
     """
     folder_at = folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .bpe import public_bpe
 
-        bpe, ordinal, task = public_bpe(tokenizer), 0, TaskContext.get()
-        name = f"part-{task.partitionId():06d}.tokens"
+        encode, ordinal, task = public_bpe(tokenizer).whole.encode_to_numpy, 0, TaskContext.get()
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex}.tokens"
         fs, path = common.filesystem(f"{folder_at}/{name}")
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        attempt = f"{path}.{task.taskAttemptId()}.tmp"
-        with fs.open_output_stream(attempt) as out:
+        with fs.open_output_stream(path) as out:
             for batch in batches:
-                end = np.array([END], "<u2").tobytes()
                 for text in batch.column(1):
-                    out.write(bpe.encode(text.as_py() or "").astype("<u2").tobytes() + end)
+                    ids = np.append(encode(text.as_py() or ""), END)
+                    if ids.max() > 0xFFFF:
+                        raise ValueError("ids beyond 16 bits")
+                    out.write(ids.astype("<u2").tobytes())
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)], ["file", "ordinal", id_col])
                 ordinal += n
-        fs.move(attempt, path)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"file string, ordinal long, `{id_col}` {kind}")
@@ -94,9 +97,12 @@ def count_tokens(files: DataFrame, end: int = END, block_tokens: int = BLOCK_TOK
     return whole.unionByName(rest)
 
 
-def count_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens) of each row of ``docs``, through flat token files in the shared folder. Null ids stay null."""
+def count_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(id, n_tokens) of each row of ``docs``, through flat token files in the shared folder. Null ids stay null, null
+    texts have no tokens, repeated rows are counted each, an empty table gives an empty result, and other columns are
+    not looked at."""
     spark = docs.sparkSession
     folder = common.fresh_path(spark, "tokens")
     listed = write_token_files(docs, folder, tokenizer, id_col)
-    return listed.join(count_tokens(token_files(spark, folder)), ["file", "ordinal"]).select(id_col, "n_tokens")
+    files = token_files(spark, folder).join(listed.select("file").distinct(), "file", "left_semi")
+    return listed.join(count_tokens(files, block_tokens=block_tokens), ["file", "ordinal"]).select(id_col, "n_tokens")
