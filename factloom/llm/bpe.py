@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-A text is halved until a half fits a leaf; neighbours are joined by scanning anew from the last match boundary of the
+Every text is halved until a half fits a leaf of some hundred characters; neighbours are joined by scanning anew from the last match boundary of the
 left half that its end can't have influenced, piece by piece, until a boundary coincides with one of the right half:
 the pattern looks only forward, so everything beyond is then the same. A single piece too long for a leaf is halved
 as bytes: the window around a seam is re-encoded and doubled until both of its outer token pairs are pairs that the
-encoder itself keeps, which is what makes a token sequence the encoding of its bytes.
+encoder itself keeps, which is what makes a token sequence the encoding of its bytes. Decoding halves the ids and
+concatenates up the tree.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import bisect
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,29 +24,44 @@ from pyspark.sql import functions as F
 
 #: Characters the pattern can look at beyond the end of a match (a contraction's two letters, and one more).
 LOOKAHEAD = 3
+#: Characters of a leaf, bytes of a leaf of one piece, ids of a leaf of decoding, and pieces whose ids a worker keeps.
+LEAF, PIECE_LEAF, IDS_LEAF, CACHED = 512, 1 << 10, 1 << 10, 1 << 18
 
 
 class TreeBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = 1 << 15, piece_leaf: int = 1 << 10):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = LEAF, piece_leaf: int = PIECE_LEAF, ids_leaf: int = IDS_LEAF):
         import regex
         import tiktoken
 
         self.table = {i: b for b, i in ranks.items()}
         self.whole = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.single = self.whole._encode_single_piece
-        self.pattern, self.leaf, self.piece_leaf = regex.compile(pattern), leaf, piece_leaf
+        self.pattern, self.leaf, self.piece_leaf, self.ids_leaf = regex.compile(pattern), leaf, piece_leaf, ids_leaf
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of ``text``; texts within a leaf go to the library at once."""
-        if len(text) <= self.leaf:
-            return np.asarray(self.whole.encode_to_numpy(text), "<u4")
-        return np.array([i for piece in self._tree(text, 0, len(text))[1] for i in piece], "<u4")
+        """Ids of ``text``."""
+        return np.fromiter((i for piece in self._tree(text, 0, len(text))[1] for i in piece), "<u4") if text else np.zeros(0, "<u4")
+
+    def _ids(self, piece: str) -> list[int]:
+        """Ids of a match; those of short ones are kept, as words occur again."""
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.piece(piece.encode())
+            if len(piece) <= 32:
+                if len(self.known) >= CACHED:
+                    self.known.clear()
+                self.known[piece] = ids
+        return ids
 
     def _tree(self, text: str, a: int, b: int) -> tuple[list[int], list[list[int]]]:
         """Starts and ids of the matches of ``text[a:b]``, taken as a whole text."""
         if b - a <= self.leaf:
-            found = [m.span() for m in self.pattern.finditer(text, a, b)]
-            return [s for s, _ in found], [self.piece(text[s:e].encode()) for s, e in found]
+            pieces = self.pattern.findall(text, a, b)
+            starts = list(accumulate(map(len, pieces), initial=a))
+            if starts.pop() != b:  # the pattern leaves gaps
+                starts = [m.start() for m in self.pattern.finditer(text, a, b)]
+            return starts, list(map(self._ids, pieces))
         middle = (a + b) // 2
         return self._join(text, self._tree(text, a, middle), self._tree(text, middle, b), a, middle, b)
 
@@ -57,7 +74,7 @@ class TreeBpe:
             if s >= middle and (k := bisect.bisect_left(right[0], s)) < len(right[0]) and right[0][k] == s:
                 return starts + right[0][k:], ids + right[1][k:]
             starts.append(s)
-            ids.append(self.piece(text[s:e].encode()))
+            ids.append(self._ids(text[s:e]))
         return starts, ids
 
     def piece(self, data: bytes) -> list[int]:
@@ -79,19 +96,22 @@ class TreeBpe:
                 return left[:a] + window + right[b:]
             k *= 2
 
-    def decode(self, ids) -> bytes:
-        """Concatenation is the tree's join here, so one pass over the leaves does it."""
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of ``ids``: halves decoded and concatenated, up from leaves."""
+        if len(ids) <= self.ids_leaf:
+            return b"".join(map(self.table.__getitem__, ids.tolist()))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 @lru_cache(2)
-def public_bpe(name: str = "byte_bpe_50k.tiktoken", leaf: int = 1 << 15) -> TreeBpe:
+def public_bpe(name: str = "byte_bpe_50k.tiktoken") -> TreeBpe:
     """The tokenizer of a public rank file, once for each Python worker."""
     import public_tokenizers
 
     with open(public_tokenizers.path(name), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return TreeBpe(ranks, public_tokenizers.PATTERN, leaf)
+    return TreeBpe(ranks, public_tokenizers.PATTERN)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -16,19 +17,50 @@ def random_texts(seed, n, alphabet="ab c\n'sé7!  Th"):
 
 def test_tree_equals_the_library():
     whole = bpe.public_bpe()
-    small = bpe.TreeBpe({b: i for i, b in whole.table.items()}, whole.pattern.pattern, leaf=7, piece_leaf=5)
-    for text in random_texts(1, 150):
-        ids = small.encode(text)
-        assert ids.tolist() == whole.whole.encode_ordinary(text)
-        assert small.decode(ids) == text.encode()
+    small = bpe.TreeBpe({b: i for i, b in whole.table.items()}, whole.pattern.pattern, leaf=7, piece_leaf=5, ids_leaf=3)
+    for text in random_texts(1, 150) + ["word " * 3000, "\n\n  x" * 500]:
+        for tree in (small, whole):
+            ids = tree.encode(text)
+            assert ids.tolist() == whole.whole.encode_ordinary(text)
+            assert tree.decode(ids) == text.encode()
+
+
+def test_encoded_documents(spark):
+    rows = [(1, "it's a test", 5), (1, "it's a test", 5), (None, "é" * 2000, 6), (2, None, 7), (3, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, t, _ in rows:
+        ids = bpe.public_bpe().whole.encode_ordinary(t or "")
+        want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())))
+    order = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted((tuple(r) for r in bpe.encode_documents(docs).collect()), key=order) == sorted(want, key=order)
+    assert bpe.encode_documents(docs.limit(0)).count() == 0
 
 
 def test_flat_files_give_the_counts(spark, monkeypatch):
     texts = [None, "", *random_texts(2, 40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     whole = bpe.public_bpe().whole
-    got = {r.doc_id: r.n_tokens for r in token_counts.count_documents(docs).collect()}
-    assert got == {i: len(whole.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    for block in (3, 64, token_counts.BLOCK_TOKENS):
+        got = {r.doc_id: r.n_tokens for r in token_counts.count_documents(docs, block_tokens=block).collect()}
+        assert got == {i: len(whole.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert token_counts.count_documents(docs.limit(0)).count() == 0
+
+
+def test_files_of_lost_attempts_and_unfinished_documents(spark, tmp_path):
+    ids = [5, 6, token_counts.END, token_counts.END, 7, 8, 9]
+    np.array(ids, "<u2").tofile(tmp_path / "a.tokens")
+    (tmp_path / "empty.tokens").touch()
+    for block in (1, 2, 3, 100):
+        got = token_counts.count_tokens(token_counts.token_files(spark, f"file://{tmp_path}"), block_tokens=block)
+        assert sorted((r.file, r.ordinal, r.start, r.n_tokens) for r in got.collect()) == [("a.tokens", 0, 0, 2), ("a.tokens", 1, 3, 0), ("a.tokens", 2, 4, 3)]
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string").coalesce(1)
+    listed = token_counts.write_token_files(docs, f"file://{tmp_path}/t")
+    name = listed.first().file
+    (tmp_path / "t" / "part-000000-77-lost.tokens").write_bytes(b"\1\0" * 9)
+    files = token_counts.token_files(spark, f"file://{tmp_path}/t").join(listed.select("file").distinct(), "file", "left_semi")
+    assert {r.file for r in token_counts.count_tokens(files).collect()} == {name}
 
 
 def brute_model(train, order):
