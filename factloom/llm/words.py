@@ -73,14 +73,19 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + lengths.astype(np.uint64) * _ODD[1]), counts
 
 
+def combined(columns: list[np.ndarray]) -> np.ndarray:
+    """Hash of the values in each row of ``columns``, the same as ``gram_hashes`` has for them in a row."""
+    total = columns[0] * _ODD[2]
+    for k, c in enumerate(columns[1:], 1):
+        total += c * _ODD[2 + k]
+    return mix(total + _ODD[40] * np.uint64(len(columns)))
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of ``n`` neighbouring values of ``h``, whichever documents they are in."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    total = h[: len(h) - n + 1] * _ODD[2]
-    for k in range(1, n):
-        total += h[k : len(h) - n + 1 + k] * _ODD[2 + k]
-    return mix(total + _ODD[40] * np.uint64(n))
+    return combined([h[k : len(h) - n + 1 + k] for k in range(n)])
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:

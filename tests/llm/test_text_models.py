@@ -137,3 +137,28 @@ def test_near_duplicates_equal_brute_force(spark):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
     assert got == {i: (len(s), find(i)) for i, s in enumerate(sets)}
     assert np.unique([c for _, c in got.values()]).size == jaccard.one_of_each(docs).count()
+
+
+def test_corpus_scores(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "BLOCK_TOKENS", 50)
+    monkeypatch.setattr(kneser_ney, "SMALL", 1)
+    import zlib
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(["a", "B", "cc", "d"], k=rng.randint(0, 12))), 1.5) for i in range(60)] + [(7, None, 0.0), (None, "a a", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double").repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    count = Counter(w for i, t, _ in rows if not held(i) for w in [*(t or "").lower().split(), "</s>"])
+    total = sum(count.values())
+    got = kneser_ney.score_corpus(docs).collect()
+    want = []
+    for i, t, _ in rows:
+        tokens = [*(t or "").lower().split(), "</s>"]
+        base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (len(count) + 1))) for w in tokens)
+        want.append((str(i), held(i), len(tokens), sum(count[w] > 0 for w in tokens), total, round(base, 6)))
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == sorted(want)
+    assert all(r.score < 0 for r in got)
+    none = kneser_ney.score_corpus(docs.limit(0))
+    assert none.count() == 0
+    untrained = kneser_ney.score(docs, kneser_ney.train(docs.limit(0), 3))
+    assert {r.n_known for r in untrained.collect()} == {0}
