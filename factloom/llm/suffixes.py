@@ -399,8 +399,13 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     info = common.written(docs.select(id_col, F.octet_length("text").cast("long").alias("n_bytes"), "sha"), "texts")
     total = info.agg(F.sum("n_bytes")).first()[0] or 0
     marked = common.written(_marked(docs, length, max(common.shards(docs.sparkSession), total // SHARD_BYTES)), "marked")
-    # a text is wanted to be cut, or to lend an index one of its contexts; of copies the one with the smallest id
-    wanted = marked.where("not full or size(runs) > 0").groupBy("sha").agg(F.max("full").alias("full"), F.first("spans").alias("spans"), F.flatten(F.collect_list(F.expr("case when size(runs) > 0 then runs end"))).alias("runs"))
+    # a text is wanted to be cut, or to lend an index its contexts; one that occurs again is repeated as a whole
+    runs = marked.select("sha", F.explode("runs").alias("r")).distinct().groupBy("sha").agg(F.collect_list("r").alias("runs"))
+    wanted = marked.groupBy("sha").agg((F.max("full") | (F.count(F.lit(1)) > 1)).alias("full"), F.first("spans").alias("spans")).join(runs, "sha", "left")
+    wanted = common.written(wanted, "wanted")
+    full = wanted.where("full").select("sha")
+    wanted = wanted.where("not full or runs is not null").withColumn("runs", F.coalesce("runs", F.expr("cast(array() as array<struct<first:long,windows:long,anchor:long,many:boolean>>)")))
+    # of copies the one with the smallest hashed id is fetched
     place = info.join(wanted.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.min(F.xxhash64(id_col)).alias("of"))
     wanted = wanted.join(place, "sha").withColumnRenamed("sha", "__sha")
     texts = docs.select("sha", F.xxhash64(id_col).alias("__of"), "text").hint("merge")
@@ -415,7 +420,6 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     spans = spans.union(_counted(contexts.where("many"), length, common.shards(docs.sparkSession))).groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("found"))
     cut = affected.where("not full").select("sha", "text", "spans").hint("merge").join(spans, "sha", "left")
     cut = cut.select("sha", "text", F.concat("spans", F.coalesce("found", F.expr("cast(array() as array<struct<a:long,b:long>>)"))).alias("spans")).where("size(spans) > 0")
-    full = marked.where("full").select("sha").distinct()
     nothing = F.sha2(F.lit(b""), 256)
     done = full.select("sha", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), nothing.alias("kept_sha256"), F.lit("").alias("kept"), F.lit(True).alias("all"))
     done = common.written(_cut(cut, keep_text).withColumn("all", F.lit(False)).unionByName(done).withColumnRenamed("sha", "__sha"), "cut")

@@ -38,6 +38,8 @@ def test_equals_brute_force(spark, monkeypatch, seed, alphabet, length, many):
     monkeypatch.setattr(suffixes, "MANY", 4 * many)
     monkeypatch.setattr(suffixes, "INDEX_CONTEXTS", 20)
     texts = corpus(random.Random(seed), alphabet, 30)
+    texts += texts[6:16] + texts[6:9] * 3
+    random.Random(seed).shuffle(texts)  # copies fall in the same and in other blocks
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int")
     rows = suffixes.without_repeats(docs, length).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in rows] == brute(texts, length)
