@@ -8,14 +8,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH = 1000
+BATCH, BATCH_BYTES = 1000, 32 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's sources to the executors, once for each application, and have Arrow batches of at most
-    BATCH rows, as whole texts are in them."""
+    BATCH rows and BATCH_BYTES, as whole texts are in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
