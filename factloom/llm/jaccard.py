@@ -2,7 +2,8 @@
 
 Documents with equal shingle sets are one set from the start. Shards of hashed shingles count in how many sets each
 occurs and send back those of two sets or more; a shingle of one set alone can't match, so it ranks first and takes
-up prefix places without a posting. A set posts the rest of its prefix. Sets that share a posting are candidates
+up prefix places without a posting. Shingles of a large share of all texts rank last without being counted, and what
+would be counted is dealt by shingle and set. A set posts the rest of its prefix. Sets that share a posting are candidates
 while the length, positional and suffix filters allow enough overlap, and are verified on their sets, once a pair.
 Candidates first meet one leader a posting; sets linked by then needn't meet again, so a large group of near copies
 costs its size and not its square, and what is left apart meets in full.
@@ -27,6 +28,8 @@ LEADER_ROUNDS = 2
 PRIOR = 8
 #: Words of 64 parity cells by which the suffix filter compares what follows a common posting.
 MARKS = 4
+#: A shingle is frequent if a 64th of the texts of some blocks have it, and these are a 64th of all texts, and so many, at least.
+SHARE, FREQUENT = 64, 4096
 #: Ids of candidate documents are broadcast up to this number (24 bytes each, keys of their texts with them) and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 
@@ -46,15 +49,48 @@ def _fingerprints(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False, with_key: bool = False) -> DataFrame:
+def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False, with_key: bool = False, with_common: bool = False) -> DataFrame:
     """(id, n, fp, fp2): size and fingerprints of each row's shingle set, and with ``with_set`` its sorted hashes, with
-    ``with_key`` the ``text_key`` of its text."""
+    ``with_key`` the ``text_key`` of its text. With ``with_common`` the last row of each block has in ``common`` the
+    hashes of the shingles that a 64th of the block's texts have (two at least) and their numbers of texts."""
+
+    def frequent(sets: list[np.ndarray], n_texts: int) -> dict[str, list[int]]:
+        values, times = np.unique(np.concatenate(sets), return_counts=True)
+        many = times >= max(2, n_texts / SHARE)
+        return {"shingles": values[many].view(np.int64).tolist(), "texts": times[many].tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not with_common:
+            yield from sets(batches, lambda values, counts: None)
+            return
+        held, n_texts, waiting = [], 0, None
+
+        def gather(values: np.ndarray, counts: np.ndarray) -> None:
+            nonlocal n_texts
+            held.append(values)
+            n_texts += int((counts > 0).sum())
+
+        def ended(batch: pa.RecordBatch, found: dict[str, list[int]] | None) -> pa.RecordBatch:
+            column = pa.array([None] * (batch.num_rows - 1) + [found], pa.struct([("shingles", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))]))
+            return pa.RecordBatch.from_arrays([*batch.columns, column], [*batch.schema.names, "common"])
+
+        for batch in sets(batches, gather):
+            if waiting is not None:
+                yield ended(waiting, None)
+            waiting = batch
+            if sum(map(len, held)) >= BLOCK:
+                yield ended(waiting, frequent(held, n_texts))
+                waiting, n_texts = None, 0
+                held.clear()
+        if waiting is not None:
+            yield ended(waiting, frequent(held, n_texts))
+
+    def sets(batches: Iterator[pa.RecordBatch], also) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = words.as_bytes(batch.column(1))
             for a, b in words.slices(texts):
                 values, counts = words.shingle_sets(texts[a:b], n_words)
+                also(values, counts)
                 fp, fp2 = _fingerprints(values, counts)
                 out = [batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(fp), pa.array(fp2)]
                 if with_set:
@@ -65,7 +101,7 @@ def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays(out, [id_col, "n", "fp", "fp2", *["hashes"] * with_set, *["key"] * with_key])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n long, fp long, fp2 long" + ", hashes binary" * with_set + ", key long" * with_key
+    schema = f"`{id_col}` {kind}, n long, fp long, fp2 long" + ", hashes binary" * with_set + ", key long" * with_key + ", common struct<shingles:array<long>,texts:array<long>>" * with_common
     return docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary"), *[text_key(text_col)] * with_key).mapInArrow(run, schema)
 
 
@@ -74,14 +110,29 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
 
-def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str) -> DataFrame:
+def frequent_shingles(info: DataFrame, n_texts: int) -> np.ndarray:
+    """Hashes of shingles that a 64th of ``n_texts`` texts have by the blocks' own counts. A shingle of a 32nd of all
+    texts is among them where blocks have 128 texts or more; they are 64 times a text's mean number of shingles at most, however
+    many texts there are, so they can be sent to all tasks."""
+    pairs = info.where("common is not null").select(F.explode(F.arrays_zip("common.shingles", "common.texts")).alias("p"))
+    least = max(FREQUENT, -(-n_texts // SHARE))
+    found = pairs.groupBy(F.col("p.shingles").alias("shingle")).agg(F.sum("p.texts").alias("texts")).where(F.col("texts") >= least)
+    return np.sort(np.array([r.shingle for r in found.select("shingle").collect()], np.int64).view(np.uint64))
+
+
+def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str, frequent: np.ndarray) -> DataFrame:
     """(token, fp, n, pos, prior, marks): the prefix places of each set that other sets have too. Shingles that no
-    other set has take the first places of a set; ``prior`` are up to PRIOR tokens just before this one, ``marks`` the
+    other set has take the first places of a set, ``frequent`` ones the last; ``prior`` are up to PRIOR tokens just before this one, ``marks`` the
     parities of the hashed tokens after it in 64 * MARKS cells."""
     spark = docs.sparkSession
     shards = max(common.shards(spark), total >> 20)
     # ranks need counts of shingles only up to rare collisions, so as many bits do as keep those rare
     drop = np.uint64(64 - min(64, max(32, int(total).bit_length() + 12)))
+    frequent, last = np.unique(frequent >> drop), np.uint64(max(1, int(total)))
+
+    def is_frequent(values: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(frequent, values)
+        return frequent[np.minimum(at, len(frequent) - 1)] == values if len(frequent) else np.zeros(len(values), bool)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -95,10 +146,12 @@ def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col:
             values, owner = values[order] >> drop, owner[order]
             top = np.uint64(64) - drop
             shard = ((values >> (top - np.uint64(20))) * np.uint64(shards)) >> np.uint64(20)
-            bounds = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+            if len(at := np.flatnonzero(is_frequent(values))):
+                shard[at] = words.mix(words.mix(values[at]) ^ fp.view(np.uint64)[owner[at]]) % np.uint64(shards)
+            by, bounds = packing.by_shard(shard, shards)
             rows = []
             for s in np.flatnonzero(np.diff(bounds)):
-                own = slice(bounds[s], bounds[s + 1])
+                own = by[bounds[s] : bounds[s + 1]]
                 present, local = np.unique(owner[own], return_inverse=True)
                 rows.append((int(s), packing.pack_sorted(values[own]), packing.pack(local), fp[present].tobytes(), packing.pack(counts[present])))
             held.clear()
@@ -132,7 +185,7 @@ def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col:
         token, fp, size = token[new], fp[new], size[new]
         starts = np.flatnonzero(np.diff(token, prepend=~token[:1]))
         df = np.diff(np.append(starts, len(token)))
-        df = np.repeat(df, df)
+        df = np.where(is_frequent(token), last, np.repeat(df, df).astype(np.uint64))
         token, fp, size, df = (x[df > 1] for x in (token, fp, size, df))
         to = (words.mix(fp.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
         by, bounds = packing.by_shard(to, shards)
@@ -274,9 +327,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col), F.col(text_col))
-    info = common.written(shingle_sets(docs, n_words, id_col, text_col, with_key=True), "sets")
-    total = info.agg(F.sum("n")).first()[0] or 0
-    postings = common.written(_postings(docs, n_words, percent, total, text_col), "postings")
+    info = common.written(shingle_sets(docs, n_words, id_col, text_col, with_key=True, with_common=True), "sets")
+    total, n_texts = info.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    postings = common.written(_postings(docs, n_words, percent, total or 0, text_col, frequent_shingles(info, n_texts)), "postings")
     wanted = postings.select("fp").distinct()
     # the row of the smallest id, and one without an id where there is no other
     first = info.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key")).alias("f")).select("fp", F.col("f.id").alias("first"), "f.key")

@@ -30,9 +30,10 @@ def _brute(texts: dict[int, str], n_words: int, percent: int) -> dict[int, int]:
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("rounds", [0, 1])
-def test_families_equal_brute_force(spark, monkeypatch, rounds):
+@pytest.mark.parametrize("rounds, frequent", [(0, 4096), (1, 4096), (1, 20), (0, 1)])
+def test_families_equal_brute_force(spark, monkeypatch, rounds, frequent):
     monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     rng, texts = random.Random(5), {}
     for _ in range(4):
         base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 90]))]
@@ -54,3 +55,12 @@ def test_sets_without_an_id_link_and_bridge(spark):
     rows = [(1, near(5, 0)), (None, near(0, 0)), (2, near(0, 5)), (3, "all other words"), (4, "z " + near(0, 40)), (4, "v u t s r q p o n m"), (5, "v u t s r q p o n m l")]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 4)]
+
+
+def test_frequent_shingles_are_those_of_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", 50)
+    text = "concat_ws(' ', if(id % 3 = 0, 'one of these', 'no'), transform(sequence(1, 9000), k -> concat('w', id, 'x', k)))"
+    info = jaccard.shingle_sets(spark.range(0, 300, 1, 1).selectExpr("id as doc_id", f"{text} as text"), 1, with_common=True).persist()
+    assert len(jaccard.frequent_shingles(info, 300)) == 4
+    assert len(jaccard.frequent_shingles(info.where("n < 0"), 0)) == 0
+    assert info.count() == 300 and info.where("common is not null").count() == 3  # 2.7 M shingles in blocks of 2 ** 20
