@@ -21,7 +21,10 @@ _WAYS = (
     (_FLAGS + r"(\d{1,2})\s+(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\s+(\d{4})", (1, 2, 3)),
 )
 _DISQUALIFIED = _FLAGS + r"\b(?:" + "|".join(NOT_ISSUED) + r")\b"
-_MARK = _FLAGS + "(?:" + "|".join(ISSUED) + ")"
+#: Most places are left at their first letter, without trying each word.
+_MARK = _FLAGS + "(?=[" + "".join(sorted({w[0] for w in ISSUED})) + "])(?:" + "|".join(ISSUED) + ")"
+#: What every date has; a text without it is searched no further.
+_YEAR = r"(?U)\d{4}"
 
 
 def month_number(name: Column) -> Column:
@@ -39,9 +42,10 @@ def day_of(year: Column, month: Column, day: Column) -> Column:
 def matches(text: Column, pattern: str) -> Column:
     """Every match of ``pattern``, as {at, before, text}: where it is (from 0) and what precedes it, up to LOOK_BACK
     characters. Splitting at the pattern gives what is between its matches, so the two alternate."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    step = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("text"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.expr("cast(array() as array<struct<at:int,before:string,text:string>>)").alias("found"))
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("text"))
+    step = F.filter(both, lambda s: s["text"].isNotNull())  # the last gap has no match after it
+    none = F.expr("cast(array() as array<struct<at:int,before:string,text:string>>)")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("found"))
 
     def add(acc: Column, s: Column) -> Column:
         before = F.right(F.concat(acc["before"], s["gap"]), F.lit(LOOK_BACK))
@@ -49,7 +53,7 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct((at + F.length(s["text"])).alias("at"), F.right(F.concat(before, s["text"]), F.lit(LOOK_BACK)).alias("before"),
                         F.array_append(acc["found"], F.struct(at.alias("at"), before.alias("before"), s["text"].alias("text"))).alias("found"))
 
-    return F.aggregate(step, start, add)["found"]
+    return F.when(text.rlike(pattern), F.aggregate(step, start, add)["found"]).otherwise(none)
 
 
 def _dated(text: Column, way: int) -> Column:
@@ -65,14 +69,15 @@ def _dated(text: Column, way: int) -> Column:
 
 def candidates(text: Column) -> Column:
     """The dates in ``text`` as {at, way, day}; those with a word of NOT_ISSUED in the characters before are left out."""
-    return F.concat(*(_dated(text, way) for way in range(len(_WAYS))))
+    none = F.expr("cast(array() as array<struct<at:int,way:int,day:date>>)")
+    return F.when(text.rlike(_YEAR), F.concat(*(_dated(text, way) for way in range(len(_WAYS))))).otherwise(none)
 
 
 def announced_date(text: Column) -> Column:
     """The first date within SPAN characters after a word of ISSUED, of the first such word that has one."""
     ends = F.transform(matches(text, _MARK), lambda m: m["at"] + F.length(m["text"]))
     days = F.transform(ends, lambda e: F.array_min(candidates(F.substring(text, e + 1, F.lit(SPAN))))["day"])
-    return F.get(F.array_compact(days), F.lit(0))
+    return F.when(text.rlike(_YEAR), F.get(F.array_compact(days), F.lit(0)))
 
 
 def filename_date(name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,10 @@ def french_number(raw: Column) -> Column:
 def category(description: Column, rules: tuple[tuple[str, str], ...] = CATEGORIES, default: str = "other") -> Column:
     """The category of the first prefix in ``rules`` that the description, without blanks and asterisks before it,
     begins with."""
-    text = F.upper(F.regexp_replace(F.coalesce(description, F.lit("")), r"^\s*\**\s*", ""))
-    out = F
-    for prefix, name in rules:
-        out = out.when(text.startswith(prefix.upper()), F.lit(name))
-    return out.otherwise(default)
+    begins = "|".join(re.escape(prefix.upper()) for prefix, _ in rules)
+    found = F.regexp_extract(F.upper(F.coalesce(description, F.lit(""))), rf"^\s*+\**+\s*+({begins})", 1)
+    names = {prefix.upper(): name for prefix, name in reversed(rules)}
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[found], F.lit(default))
 
 
 def valid(debit: Column, credit: Column, description: Column) -> Column:

@@ -38,7 +38,7 @@ def period(text: Column) -> Column:
 def rib(text: Column) -> Column:
     """The account number with single blanks; null where there is none."""
     raw = F.regexp_extract(text, _RIB, 1)
-    return F.when(text.rlike(_RIB), F.trim(F.regexp_replace(raw, r"\s+", " ")))
+    return F.when(raw != "", F.trim(F.regexp_replace(raw, r"\s+", " ")))
 
 
 def day_in(raw: Column, during: Column) -> Column:
@@ -52,14 +52,19 @@ def day_in(raw: Column, during: Column) -> Column:
 
 def cells(row: Column) -> Column:
     """The trimmed cells of a table row, without its outer bars."""
-    return F.split(F.regexp_replace(F.regexp_replace(row, r"^\s*\|?\s*", ""), r"\s*\|?\s*$", ""), r"\s*\|\s*", -1)
+    trimmed = lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r"))
+    opened = F.when(trimmed(row).startswith("|"), F.substring(trimmed(row), F.lit(2), F.length(row))).otherwise(trimmed(row))
+    inner = F.when(opened.endswith("|"), F.substring(opened, F.lit(1), F.length(opened) - 1)).otherwise(opened)
+    return F.transform(F.split(inner, r"\|", -1), trimmed)
 
 
 def transactions(docs: DataFrame) -> DataFrame:
     """(source_doc_id, row, date, value_date, description, debit, credit, amount, direction, category, account_rib) of
     the statements ``docs`` (document_id, content): rows of tables whose header has date and debit, numbered from 0 in
     each document. Documents without a period have none, rows that don't parse are left out."""
-    about = docs.where(F.coalesce("document_id", F.lit("")) != "").select("document_id", period(F.col("content")).alias("during"), rib(F.col("content")).alias("rib"), "content").where("during is not null")
+    # the words of the period are taken from its own few characters, not from the whole text each
+    about = docs.where(F.coalesce("document_id", F.lit("")) != "").select("document_id", F.regexp_extract("content", _PERIOD, 0).alias("said"), rib(F.col("content")).alias("rib"), "content")
+    about = about.select("document_id", period(F.col("said")).alias("during"), "rib", "content").where("during is not null")
     lines = about.select("document_id", "during", "rib", F.posexplode(F.split("content", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", -1)).alias("at", "line"))
     order = Window.partitionBy("document_id").orderBy("at")
     lines = lines.withColumn("table", F.ltrim("line").startswith("|")).withColumn("run", F.sum((~F.col("table")).cast("int")).over(order)).where("table")
