@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, images, jaccard, kneser_ney, mixing, neighbours, quality, suffixes, token_counts, url_filters
+from . import backtracking, bpe, filter_audit, hard_negatives, images, jaccard, kneser_ney, mixing, neighbours, quality, suffixes, token_counts, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,9 +151,67 @@ def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.copies(images.media_of(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "image_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+with words as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+judged as (
+  select doc_id, part,
+    (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int as mask
+  from words),
+known as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+counted as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from judged left join known using (doc_id) group by part, mask),
+letter as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as v(l, b)),
+orders as (
+  select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+  from letter a, letter b, letter c, letter d, letter e where a.b + b.b + c.b + d.b + e.b = 31 and len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps as (select filter_order, step, bits[step] as f, coalesce(list_sum(bits[1 : step - 1]), 0)::int as before from orders, (select unnest(range(1, 6))::int as step)),
+sums as (
+  select part, filter_order, step, f,
+    sum(case when mask & (f | before) = 0 then n else 0 end)::bigint as kept, sum(case when mask & f <> 0 and mask & before = 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & f <> 0 and mask & before <> 0 then n else 0 end)::bigint as redundant, sum(case when mask = f then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & f <> 0 and mask & before = 0 then good else 0 end)::bigint as good_lost, sum(case when mask & f <> 0 and mask & before = 0 then toxic else 0 end)::bigint as toxic_lost
+  from counted, steps group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, f)::bigint as shapley from sums
+"""
+
+
+def op12_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtracking.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = r"""
+with rows as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.r, a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score
+  from rows a join rows b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select * from (select r, anchor_id, other_id as positive_id, score as positive_score, row_number() over (partition by r order by score desc, other_id) as place from scores where same)
+  where place <= 5)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from (
+  select anchor_id, positive_id, other_id as negative_id, positive_score, score as negative_score,
+    cast(row_number() over (partition by r, place order by score desc, other_id) as integer) as rank
+  from positives join (select r, other_id, score from scores where not same) using (r)
+  where 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score)
+where rank <= 3
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_nearest_neighbours, op4_suffix_dedup, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing, op10_image_copies)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_classifier, op3_nearest_neighbours, op4_suffix_dedup, op5_lm_scoring, op6_url_filters, op7_token_counts, op8_byte_bpe, op9_source_mixing, op10_image_copies,
+                                    op11_filter_audit, op12_backtracking_bpe, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op6_url_filters": OP6_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op6_url_filters": OP6_SQL, "op9_source_mixing": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_hard_negatives": OP13_SQL}
