@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -29,12 +30,22 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in spark.checkpoint.dir, for tables that a plan uses several times; a folder of this machine
-    serves local sessions only."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine serves local sessions only."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder, for tables that a plan uses several times."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
