@@ -255,31 +255,10 @@ def canonical(names: Column) -> Column:
 
 
 def merge_plan(clusters: DataFrame) -> DataFrame:
-    """(canonical, sources) of each cluster (name, cluster) of two names or more."""
+    """(op, canonical, sources) of each cluster (name, cluster) of two names or more; no two share a name, so any order of
+    the merges is good."""
     rows = clusters.groupBy("cluster").agg(F.array_sort(F.collect_list("name")).alias("names")).where(F.size("names") > 1)
-    return rows.select(canonical(F.col("names")).alias("canonical"), "names").select("canonical", F.array_remove("names", F.col("canonical")).alias("sources"))
-
-
-def merged(nodes: DataFrame, plan: DataFrame) -> DataFrame:
-    """``nodes`` (name, entity_type, description, document_ids) after the merges of ``plan`` (canonical, sources) whose
-    canonical node is there: the canonical node keeps its type, has all descriptions, its own first, and all distinct
-    documents. Sources that are gone already change nothing."""
-    there = plan.join(nodes.select(F.col("name").alias("canonical")), "canonical", "left_semi")
-    moves = there.select("canonical", F.posexplode("sources").alias("at", "source"))
-    rows = nodes.join(moves, nodes.name == moves.source, "left").withColumn("target", F.coalesce("canonical", "name")).withColumn("at", F.coalesce("at", F.lit(-1)))
-    own = F.array_sort(F.collect_list(F.struct("at", "name", "entity_type", "description", "document_ids")))
-    rows = rows.groupBy("target").agg(own.alias("m"))
-    texts = F.filter(F.transform("m", lambda x: x["description"]), lambda t: t.isNotNull() & (t != ""))
-    return rows.select(F.col("target").alias("name"), F.col("m")[0]["entity_type"].alias("entity_type"), F.array_join(texts, "<SEP>").alias("description"),
-                       F.array_distinct(F.flatten(F.transform("m", lambda x: x["document_ids"]))).alias("document_ids"), F.size("m").cast("long").alias("members"))
-
-
-def moved_edges(edges: DataFrame, plan: DataFrame) -> DataFrame:
-    """``edges`` (src, tgt) with merged ends in place of their sources; loops go, each pair is left once."""
-    moves = plan.select("canonical", F.explode("sources").alias("source"))
-    for end in ("src", "tgt"):
-        edges = edges.join(moves, edges[end] == moves.source, "left").withColumn(end, F.coalesce("canonical", end)).drop("canonical", "source")
-    return undirected(edges.where("src <> tgt"))
+    return rows.select(canonical(F.col("names")).alias("canonical"), "names").select(F.xxhash64("canonical").alias("op"), "canonical", F.array_remove("names", F.col("canonical")).alias("sources"))
 
 
 def last_override(overrides: DataFrame) -> DataFrame:

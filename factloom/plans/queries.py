@@ -14,6 +14,7 @@ from ..operators import documents as D
 from ..operators import evaluation as E
 from ..operators import facts as O
 from ..operators import graph as G
+from ..operators import merges
 from ..operators import money as M
 from ..operators import predicates as P
 from ..operators import retrieval as R
@@ -557,7 +558,8 @@ def apply_merge(spark, d):
     key = F.concat(F.lit("k"), "id")
     nodes = v.select("id", key.alias("name"), "entity_type", F.lit(None).cast("string").alias("description"), F.array(F.concat(F.lit("d"), F.col("id") % 7), F.concat(F.lit("d"), F.col("id") % 11)).alias("document_ids"))
     clusters = G.alias_clusters(v.select(F.col("id").alias("name")), e).select(F.concat(F.lit("k"), "name").alias("name"), "cluster")
-    return G.merged(nodes.drop("id"), G.merge_plan(clusters)).select("name", "entity_type", F.array_join(F.array_sort("document_ids"), ",").alias("document_ids"), "members")
+    nodes = nodes.drop("id")
+    return merges.merged(nodes, merges.moves(nodes, G.merge_plan(clusters))).select("name", "entity_type", F.array_join(F.array_sort("document_ids"), ",").alias("document_ids"), "members")
 
 
 @query("""with o as (select p_partkey as name, p_brand as bucket, p_type as new_type from part where p_partkey % 3 = 0 union all select p_partkey * 2, p_brand || 'z', 'steel' from part where p_partkey % 3 = 1),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import graph as G
+from factloom.operators import merges as M
 
 from .helpers import one, texts
 
@@ -62,10 +63,11 @@ def test_merges_and_edges(spark):
     plan = G.merge_plan(clusters)
     assert {r.canonical: r.sources for r in plan.collect()} == {"Zoe Martin": ["Zoe"], "Gone Too": ["Gone"]}
     nodes = spark.createDataFrame([("Zoe", "x", "short", ["d1", "d2"]), ("Zoe Martin", "person", "long", ["d2", "d3"]), ("Paul", "person", None, [])], "name string, entity_type string, description string, document_ids array<string>")
-    got = {r.name: r for r in G.merged(nodes, plan).collect()}
+    moved = M.moves(nodes, plan)
+    got = {r.name: r for r in M.merged(nodes, moved).collect()}
     assert set(got) == {"Zoe Martin", "Paul"} and got["Zoe Martin"].entity_type == "person" and got["Zoe Martin"].description == "long<SEP>short" and got["Zoe Martin"].document_ids == ["d2", "d3", "d1"]
     edges = spark.createDataFrame([("Zoe", "Paul"), ("Paul", "Zoe Martin"), ("Zoe", "Zoe Martin")], "src string, tgt string")
-    assert [tuple(r) for r in G.moved_edges(edges, plan).collect()] == [("Paul", "Zoe Martin")]
+    assert [tuple(r) for r in M.moved_edges(edges, moved).collect()] == [("Paul", "Zoe Martin")]
 
 
 def test_types(spark):
