@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import kept
 from .graph import dot
+from .vector_index import Index, search
 
 #: Fixed value: a version-4 id right under store/, at the beginning or after a slash, with a slash after it.
 DOC_PATH = r"(?:^|/)store/([0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})/"
@@ -47,10 +49,14 @@ def hit_documents(document_ids_field: Column, file_path: Column, full_doc_id: Co
 
 
 def retained(hits: DataFrame, expected: DataFrame) -> DataFrame:
-    """(question, prefix, seen): whether a hit's file name begins with the expected prefix, both in normal form C."""
-    names = hits.withColumn("__name", T.composed("file_name"))
-    met = expected.withColumn("__prefix", T.composed("prefix")).join(names, (F.col("question") == F.col("q")) & F.col("__name").startswith(F.col("__prefix")), "left")
-    return met.groupBy("question", "prefix").agg(F.max(F.col("__name").isNotNull()).alias("seen"))
+    """(question, prefix, seen): whether a hit's file name begins with the expected prefix, both in normal form C. Names
+    are cut to the lengths of their question's prefixes, so that equal beginnings are joined."""
+    wanted = expected.withColumn("__prefix", T.composed("prefix"))
+    lengths = wanted.groupBy(F.col("question").alias("q")).agg(F.collect_set(F.length("__prefix")).alias("__lengths"))
+    names = hits.select("q", T.composed("file_name").alias("__name")).distinct().join(lengths, "q").select("q", "__name", F.explode("__lengths").alias("__n"))
+    cut = names.where(F.length("__name") >= F.col("__n")).select("q", F.substring("__name", F.lit(1), F.col("__n")).alias("__cut")).distinct()
+    met = wanted.join(cut, (F.col("question") == F.col("q")) & (F.col("__prefix") == F.col("__cut")), "left")
+    return met.groupBy("question", "prefix").agg(F.max(F.col("__cut").isNotNull()).alias("seen"))
 
 
 def with_filenames(cited: DataFrame, names: DataFrame) -> DataFrame:
@@ -94,3 +100,14 @@ def with_references(answer: Column, refs: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.coalesce(answer, F.lit("")), REFERENCES_BLOCK, ""), r"\s+\z", "")
     lines = F.transform(refs, lambda r: F.concat(F.lit("- ["), r["reference_id"], F.lit("] "), F.coalesce(F.concat(F.lit("/store/"), r["doc_id"], F.lit("/content.md")), r["file_path"])))
     return F.when(F.size(refs) == 0, body).otherwise(F.concat(body, F.lit("\n\n### References\n\n"), F.array_join(lines, "\n")))
+
+
+def trace_questions(stages: dict[str, tuple[Index, DataFrame]], questions: DataFrame, score: Column, expected: DataFrame, names: DataFrame, top_k: int = 30, rerank_top_k: int = 20,
+                    reranked: str = "chunks_vdb") -> DataFrame:
+    """(stage, question, prefix, seen): which expected documents the ``top_k`` hits of each vector stage (an index and
+    its records vec_id, document_ids, file_path, full_doc_id) hold, and then the best ``rerank_top_k`` of the stage
+    ``reranked`` by ``score``, the relevance of a hit as the reranker gave it, over its columns, question_id and rank."""
+    hits = {s: kept(search(index, questions, top_k).join(records, "vec_id")) for s, (index, records) in stages.items()}
+    hits["rerank"] = rerank(hits[reranked].withColumn("idx", F.col("rank")).drop("score", "rank"), score, "question_id", rerank_top_k)
+    documents = {s: h.select(F.col("question_id").alias("question"), F.explode(hit_documents(F.col("document_ids"), F.col("file_path"), F.col("full_doc_id"))).alias("document_id")).distinct() for s, h in hits.items()}
+    return trace(documents, expected, names)

@@ -19,6 +19,7 @@ from ..operators import money as M
 from ..operators import predicates as P
 from ..operators import retrieval as R
 from ..operators import statements as S
+from ..operators import vector_index
 from ..session import kept
 
 FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -581,7 +582,7 @@ def vector_topk(spark, d):
 select *, cast(row_number() over (partition by question_id order by score desc, vec_id) as integer) as rank from s qualify rank <= 30""")
 def vector_topk_all(spark, d):
     v = table(spark, d, "embeddings")
-    return R.top_k(v, v.where("vec_id % 100 = 0"), 30)
+    return vector_index.search(vector_index.build(v), v.where("vec_id % 100 = 0"), 30)
 
 
 @query("select user_id, event_id, cast(row_number() over (partition by user_id order by value desc, event_id) as integer) as rank from events qualify rank <= 20")
