@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .running import with_sum_before
 
 #: Phrases (folded) by which an answer says that it lacks evidence.
 ABSTENTION_MARKERS = (
@@ -160,5 +161,4 @@ def cost_summary(calls: DataFrame) -> DataFrame:
 
 def within_budget(calls: DataFrame, budget: float, order: str, group: str | None = None) -> DataFrame:
     """The calls made while what was spent before them is below ``budget``, in order, within each ``group``."""
-    w = Window.partitionBy(*([group] if group else [F.lit(1)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent_before", F.coalesce(F.sum("cost").over(w), F.lit(0.0))).where(F.col("spent_before") < budget)
+    return with_sum_before(calls, "cost", order, group, "spent_before").where(F.col("spent_before") < budget)

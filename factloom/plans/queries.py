@@ -14,6 +14,7 @@ from ..operators import documents as D
 from ..operators import evaluation as E
 from ..operators import facts as O
 from ..operators import graph as G
+from ..operators import intervals
 from ..operators import merges
 from ..operators import money as M
 from ..operators import predicates as P
@@ -122,8 +123,16 @@ def facts_as_of(spark, d):
 select cast(day as varchar) as day, predicate, count(*) as n from closed, days where valid_from <= day and (valid_to is null or valid_to >= day) group by day, predicate""")
 def as_of_grid(spark, d):
     days = spark.sql("select explode(array(date '2024-01-05', date '2024-01-15', date '2024-01-25')) as day")
-    rows = O.supersede(facts(spark, d), predicates(spark)).crossJoin(F.broadcast(days))  # three given days
-    return O.as_of(rows, F.col("day")).groupBy(F.col("day").cast("string").alias("day"), "predicate").agg(F.count(F.lit(1)).alias("n"))
+    rows = intervals.counts(O.supersede(facts(spark, d), predicates(spark)), days, ["predicate"])
+    return rows.select(F.col("day").cast("string").alias("day"), "predicate", "n")
+
+
+@query(FACTS + _SUPERSEDED + """, days as (select cast(d as date) as day from generate_series(date '2020-01-01', date '2029-12-01', interval 1 month) t(d))
+select cast(day as varchar) as day, subject_id, count(*) as n from closed, days where valid_from <= day and (valid_to is null or valid_to >= day) group by day, subject_id""")
+def as_of_subjects(spark, d):
+    days = spark.sql("select explode(sequence(date '2020-01-01', date '2029-12-01', interval 1 month)) as day")  # ten years of months
+    rows = intervals.counts(O.supersede(facts(spark, d), predicates(spark)), days, ["subject_id"])
+    return rows.select(F.col("day").cast("string").alias("day"), "subject_id", "n")
 
 
 def _replaced(spark, d):
@@ -692,6 +701,14 @@ def cost_budget(spark, d):
     return E.within_budget(priced, 0.02, "o_orderkey", "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost"), 8).alias("cost"))
 
 
+@query("""with k as (select o_orderkey, o_orderkey % 1000 + 1 as cost from orders), r as (select *, coalesce(sum(cost) over (order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as spent from k)
+select o_orderkey, cast(spent as bigint) as spent_before from r where spent < (select sum(cost) // 2 from k)""")
+def budget_over_all(spark, d):
+    calls = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 1000 + 1).alias("cost"))
+    half = calls.agg(F.sum("cost")).head()[0] // 2
+    return E.within_budget(calls, half, "o_orderkey").select("o_orderkey", F.col("spent_before").cast("long").alias("spent_before"))
+
+
 def _source_corrections(spark, d):
     n = F.col("doc_id")
     docs = table(spark, d, "documents")
