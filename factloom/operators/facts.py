@@ -124,13 +124,23 @@ def resolve_replaced(conflicts: DataFrame, replaced: DataFrame) -> DataFrame:
     return conflicts.join(first, "id", "left").withColumn("status", F.when(F.col("resolution").isNotNull(), F.lit("resolved_temporally")).otherwise(F.col("status")))
 
 
+def _records(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the other columns of each key's rows as records, sorted by id."""
+    others = [c for c in rows.columns if c not in ("id", key)]
+    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", *others))).alias(name))
+
+
+def _or_none(name: str, of: DataFrame) -> Column:
+    return F.coalesce(name, F.array().cast(of.schema[name].dataType)).alias(name)
+
+
 def conflict_details(conflicts: DataFrame, facts: DataFrame, all_claims: DataFrame) -> DataFrame:
     """(conflict_id, fact_id, canonical_value, claims) of each member: members that aren't there have no value, and
-    claims are sorted ids, none if there are none."""
+    claims are records sorted by id, none if there are none."""
     members = conflicts.select(F.col("id").alias("conflict_id"), F.explode("competing_fact_ids").alias("fact_id"))
-    own = all_claims.groupBy("fact_id").agg(F.array_sort(F.collect_set("id")).alias("claims"))
+    own = _records(all_claims, "fact_id", "claims")
     rows = members.join(facts.select(F.col("id").alias("fact_id"), "canonical_value"), "fact_id", "left").join(own, "fact_id", "left")
-    return rows.select("conflict_id", "fact_id", "canonical_value", F.coalesce("claims", F.array().cast("array<string>")).alias("claims"))
+    return rows.select("conflict_id", "fact_id", "canonical_value", _or_none("claims", own))
 
 
 #: Fixed value: what an id looks like.
@@ -157,11 +167,13 @@ def conflicts_with(conflicts: DataFrame, fact_id: str) -> DataFrame:
 
 
 def fact_details(facts: DataFrame, all_claims: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Each fact with the sorted ids of its claims and of the conflicts that hold it."""
-    own = all_claims.groupBy("fact_id").agg(F.array_sort(F.collect_set("id")).alias("claims"))
-    held = conflicts.select(F.col("id").alias("__conflict"), F.explode("competing_fact_ids").alias("__fact")).groupBy("__fact").agg(F.array_sort(F.collect_set("__conflict")).alias("conflicts"))
-    rows = facts.join(own, facts.id == own.fact_id, "left").drop("fact_id").join(held, F.col("id") == F.col("__fact"), "left").drop("__fact")
-    return rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("claims", "conflicts")})
+    """Each fact with the records of its claims and of the conflicts that hold it, sorted by id. A conflict's members are
+    left to ``conflict_details``: each of its facts would repeat them all."""
+    own = _records(all_claims, "fact_id", "claims").withColumnRenamed("fact_id", "__fact")
+    about = conflicts.select(F.explode(F.array_distinct("competing_fact_ids")).alias("__fact"), *(c for c in conflicts.columns if c != "competing_fact_ids"))
+    held = _records(about, "__fact", "conflicts")
+    rows = facts.join(own, facts.id == own["__fact"], "left").drop("__fact").join(held, facts.id == held["__fact"], "left").drop("__fact")
+    return rows.withColumns({"claims": _or_none("claims", own), "conflicts": _or_none("conflicts", held)})
 
 
 def entity_snapshot(facts: DataFrame, entities: DataFrame, day: Column | None = None) -> DataFrame:

@@ -186,31 +186,21 @@ def _claimed(spark, d):
     return f, O.claims(f.where("seq % 3 <> 0"), F.lit("row"), "events"), O.detect_conflicts(f, predicates(spark))
 
 
-@query(FACTS + _DETECTED + _CLAIMS + " select d.id as conflict_id, f.id as fact_id, f.canonical_value, coalesce(c.id, '') as claims from (select id, unnest(members) as m from detected) d join facts f on f.id = d.m left join claims c on c.fact_id = f.id")
+_CLAIM = lambda c: F.concat_ws("/", c["id"], c["source_doc_id"], c["source_location"], c["extractor"])
+_CONFLICT = lambda c: F.concat_ws("/", c["id"], c["subject_id"], c["predicate"], c["status"])
+_CLAIM_SQL = "coalesce(c.id || '/' || f.source_doc_id || '/row/events', '') as claims"
+
+
+@query(FACTS + _DETECTED + _CLAIMS + f" select d.id as conflict_id, f.id as fact_id, f.canonical_value, {_CLAIM_SQL} from (select id, unnest(members) as m from detected) d join facts f on f.id = d.m left join claims c on c.fact_id = f.id")
 def conflict_detail(spark, d):
     f, c, k = _claimed(spark, d)
-    return O.conflict_details(k, f, c).withColumn("claims", JOINED("claims"))
+    return O.conflict_details(k, f, c).withColumn("claims", JOINED(F.transform("claims", _CLAIM)))
 
 
-@query(FACTS + _DETECTED + _CLAIMS + """, held as (select id, unnest(members) as m from detected)
-select f.id, f.canonical_value, coalesce(c.id, '') as claims, coalesce(h.id, '') as conflicts from facts f left join claims c on c.fact_id = f.id left join held h on h.m = f.id""")
+@query(FACTS + _DETECTED + _CLAIMS + f""", held as (select id, subject_id || '/' || predicate || '/open' as about, unnest(members) as m from detected)
+select f.id, f.canonical_value, {_CLAIM_SQL}, coalesce(h.id || '/' || h.about, '') as conflicts from facts f left join claims c on c.fact_id = f.id left join held h on h.m = f.id""")
 def fact_detail(spark, d):
-    return O.fact_details(*_claimed(spark, d)).select("id", "canonical_value", JOINED("claims").alias("claims"), JOINED("conflicts").alias("conflicts"))
-
-
-ONE = "sha256('user:1|view')"
-
-
-@query(FACTS + " select id, seq, canonical_value from facts where id = (select min(id) from facts where subject_id = 'user:1')")
-def fact_lookup(spark, d):
-    f = facts(spark, d)
-    key = O.of_subject(f, "user:1").agg(F.min("id")).first()[0]  # one id, as a caller has it
-    return (O.by_id(f, key) if key else f.limit(0)).select("id", "seq", "canonical_value")
-
-
-@query(FACTS + " select id, seq, predicate, canonical_value from facts where subject_id = 'user:1' and predicate = 'view'")
-def subject_facts(spark, d):
-    return O.of_subject(facts(spark, d), "user:1", "view").select("id", "seq", "predicate", "canonical_value")
+    return O.fact_details(*_claimed(spark, d)).select("id", "canonical_value", JOINED(F.transform("claims", _CLAIM)).alias("claims"), JOINED(F.transform("conflicts", _CONFLICT)).alias("conflicts"))
 
 
 @query(FACTS + _SUPERSEDED + """, who as (select distinct 'user:' || c_custkey as entity_id from customer),
@@ -227,11 +217,6 @@ def store_totals(spark, d):
     return O.totals(*_claimed(spark, d))
 
 
-@query(FACTS + _DETECTED + " select id, count(*) over () as total from detected order by id limit 100")
-def conflict_page(spark, d):
-    return O.page(O.detect_conflicts(facts(spark, d), predicates(spark)), "open", 100).select("id", "total")
-
-
 @query(FACTS + " select predicate, time_varying, allow_multi, count(*) as n from known group by all")
 def predicate_contract(spark, d):
     return O.with_contract(facts(spark, d), predicates(spark)).groupBy("predicate", "time_varying", "allow_multi").agg(F.count(F.lit(1)).alias("n"))

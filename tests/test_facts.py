@@ -88,8 +88,8 @@ def test_lookups_and_details(spark, contract):
     assert O.of_subject(f, "s").count() == 2 and O.of_subject(f, "s", "phone").count() == 0
     assert O.claims_of(claims, a).count() == 1 and O.claims_of(claims, b).count() == 0
     assert [x.id for x in O.conflicts_with(conflicts, b).collect()] == [k] and O.conflicts_with(conflicts, c).count() == 0
-    got = {x.id: (len(x.claims), x.conflicts) for x in O.fact_details(f, claims, conflicts).collect()}
-    assert got == {a: (1, [k]), b: (0, [k]), c: (1, [])}
+    got = {x.id: (len(x.claims), [(r.id, r.status) for r in x.conflicts]) for x in O.fact_details(f, claims, conflicts).collect()}
+    assert got == {a: (1, [(k, "open")]), b: (0, [(k, "open")]), c: (1, [])}
     gone = conflicts.withColumn("competing_fact_ids", F.array_append("competing_fact_ids", F.lit("gone")))
     assert {x.fact_id: (x.canonical_value, len(x.claims)) for x in O.conflict_details(gone, f, claims).collect()} == {a: ("A", 1), b: ("B", 0), "gone": (None, 0)}
     who = spark.createDataFrame([("s",), ("nobody",)], "entity_id string")
