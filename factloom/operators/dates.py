@@ -1,10 +1,16 @@
-"""Dates of documents from their text and file name, in built-in functions alone."""
+"""Dates of documents from their text, which is searched batch by batch, and from their file name."""
 
 from __future__ import annotations
 
+import datetime
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DateType, IntegerType, StructField, StructType
 
+from ..functions.scan import matches
 from .documents import head_and_tail
 
 #: French months, words that announce a date of issue, and words before dates that are none of issue.
@@ -14,22 +20,16 @@ ISSUED = (r"émise?\s+le", r"emise?\s+le", r"date\s*[:\-]", "dated", r"signé\s+
           r"issued(?:\s+on)?", r"generated\s+on", r"fait\s+(?:[aà]|le)")
 NOT_ISSUED = (r"n[ée]e?", "naissance", "born", "depuis", r"jusqu[' ]?au?", "expir", r"valid\s+(?:from|until)", "birth", r"mari[ée]s?", "married")
 SPAN, LOOK_BACK = 60, 40
-_FLAGS = "(?iuU)"
 #: Day, month and year of each way to write a date, by the numbers of their groups.
 _WAYS = (
     (r"(\d{4})-(\d{1,2})-(\d{1,2})", (3, 2, 1)), (r"(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})", (1, 2, 3)), (r"(\d{4})/(\d{1,2})/(\d{1,2})", (3, 2, 1)),
-    (_FLAGS + r"(\d{1,2})\s+(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\s+(\d{4})", (1, 2, 3)),
+    (r"(\d{1,2})\s+(" + "|".join(sorted(MONTHS, key=len, reverse=True)) + r")\s+(\d{4})", (1, 2, 3)),
 )
-_DISQUALIFIED = _FLAGS + r"\b(?:" + "|".join(NOT_ISSUED) + r")\b"
-#: Most places are left at their first letter, without trying each word.
-_MARK = _FLAGS + "(?=[" + "".join(sorted({w[0] for w in ISSUED})) + "])(?:" + "|".join(ISSUED) + ")"
+_FOUND = [(re.compile(pattern, re.IGNORECASE), groups) for pattern, groups in _WAYS]
+_DISQUALIFIED = re.compile(r"\b(?:" + "|".join(NOT_ISSUED) + r")\b", re.IGNORECASE)
+_MARK = re.compile("|".join(ISSUED), re.IGNORECASE)
 #: What every date has; a text without it is searched no further.
-_YEAR = r"(?U)\d{4}"
-
-
-def month_number(name: Column) -> Column:
-    """1 to 12 for the name of a French month, as text; what is none stays."""
-    return F.coalesce(F.create_map(*(F.lit(x) for m, n in MONTHS.items() for x in (m, str(n))))[F.lower(name)], name)
+_YEAR = re.compile(r"\d{4}")
 
 
 def day_of(year: Column, month: Column, day: Column) -> Column:
@@ -39,45 +39,65 @@ def day_of(year: Column, month: Column, day: Column) -> Column:
     return F.when(F.year(found).between(1900, 2100), found)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern``, as {at, before, text}: where it is (from 0) and what precedes it, up to LOOK_BACK
-    characters. Splitting at the pattern gives what is between its matches, so the two alternate."""
-    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("text"))
-    step = F.filter(both, lambda s: s["text"].isNotNull())  # the last gap has no match after it
-    none = F.expr("cast(array() as array<struct<at:int,before:string,text:string>>)")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), none.alias("found"))
-
-    def add(acc: Column, s: Column) -> Column:
-        before = F.right(F.concat(acc["before"], s["gap"]), F.lit(LOOK_BACK))
-        at = acc["at"] + F.length(s["gap"])
-        return F.struct((at + F.length(s["text"])).alias("at"), F.right(F.concat(before, s["text"]), F.lit(LOOK_BACK)).alias("before"),
-                        F.array_append(acc["found"], F.struct(at.alias("at"), before.alias("before"), s["text"].alias("text"))).alias("found"))
-
-    return F.when(text.rlike(pattern), F.aggregate(step, start, add)["found"]).otherwise(none)
-
-
-def _dated(text: Column, way: int) -> Column:
-    pattern, groups = _WAYS[way]
-
-    def dated(x: Column) -> Column:
-        d, m, y = (F.regexp_extract(x["text"], pattern, g) for g in groups)
-        day = F.when(~x["before"].rlike(_DISQUALIFIED), day_of(y, month_number(m), d))
-        return F.struct(x["at"].alias("at"), F.lit(way).alias("way"), day.alias("day"))
-
-    return F.filter(F.transform(matches(text, pattern), dated), lambda x: x["day"].isNotNull())
+def written_day(day: str, month: str, year: str) -> datetime.date | None:
+    """A date of the years 1900 to 2100 from its numbers or the name of its month."""
+    try:
+        found = datetime.date(int(year), int(MONTHS.get(month.lower(), month)), int(day))
+    except ValueError:
+        return None
+    return found if 1900 <= found.year <= 2100 else None
+
+
+def _dates(texts: list[str]) -> list[list[tuple[int, int, datetime.date]]]:
+    """(at, way, day) of the dates of each text; those with a word of NOT_ISSUED in the LOOK_BACK characters before are
+    left out."""
+    out: list[list] = [[] for _ in texts]
+    for way, (pattern, (d, m, y)) in enumerate(_FOUND):
+        for row, at, found in matches(texts, pattern):
+            day = written_day(found[d], found[m], found[y])
+            if day and not _DISQUALIFIED.search(texts[row][max(0, at - LOOK_BACK) : at]):
+                out[row].append((at, way, day))
+    return out
+
+
+def _dated(texts: pd.Series) -> tuple[list[int], list[str]]:
+    """The rows whose text has a year, and these texts."""
+    rows = [i for i, t in enumerate(texts) if t is not None and _YEAR.search(t)]
+    return rows, [texts.iloc[i] for i in rows]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("at", IntegerType()), StructField("way", IntegerType()), StructField("day", DateType())])))
+def _candidates(texts: pd.Series) -> pd.Series:
+    rows, dated = _dated(texts)
+    out: list[list] = [[] for _ in range(len(texts))]
+    for i, found in zip(rows, _dates(dated)):
+        out[i] = [{"at": at, "way": way, "day": day} for at, way, day in found]
+    return pd.Series(out)
+
+
+@F.pandas_udf(StructType([StructField("announced", DateType()), StructField("latest", DateType())]))
+def _scanned(texts: pd.Series) -> pd.DataFrame:
+    rows, dated = _dated(texts)
+    after = [(row, text[at + len(m[0]) :][:SPAN]) for row, at, m in matches(dated, _MARK) for text in (dated[row],)]
+    announced: list = [None] * len(texts)
+    for (row, _), found in zip(after, _dates([t for _, t in after])):
+        if found and announced[rows[row]] is None:
+            announced[rows[row]] = min(found)[2]
+    latest: list = [None] * len(texts)
+    for i, found in zip(rows, _dates(dated)):
+        latest[i] = max((day for _, _, day in found), default=None)
+    return pd.DataFrame({"announced": announced, "latest": latest}, dtype=object)
 
 
 def candidates(text: Column) -> Column:
     """The dates in ``text`` as {at, way, day}; those with a word of NOT_ISSUED in the characters before are left out."""
-    none = F.expr("cast(array() as array<struct<at:int,way:int,day:date>>)")
-    return F.when(text.rlike(_YEAR), F.concat(*(_dated(text, way) for way in range(len(_WAYS))))).otherwise(none)
+    return _candidates(text)
 
 
-def announced_date(text: Column) -> Column:
-    """The first date within SPAN characters after a word of ISSUED, of the first such word that has one."""
-    ends = F.transform(matches(text, _MARK), lambda m: m["at"] + F.length(m["text"]))
-    days = F.transform(ends, lambda e: F.array_min(candidates(F.substring(text, e + 1, F.lit(SPAN))))["day"])
-    return F.when(text.rlike(_YEAR), F.get(F.array_compact(days), F.lit(0)))
+def scanned(text: Column) -> Column:
+    """{announced, latest}: the first date within SPAN characters after a word of ISSUED, of the first such word that
+    has one, and the latest date."""
+    return _scanned(text)
 
 
 def filename_date(name: Column) -> Column:
@@ -88,11 +108,11 @@ def filename_date(name: Column) -> Column:
 
 def with_document_date(docs: DataFrame, text_col: str = "content", name_col: str = "original_filename") -> DataFrame:
     """``docs`` with document_date: the announced date in the head and tail of the text, else that of the file name,
-    else the latest in them. The window is a column of its own, as it is searched by each pattern."""
+    else the latest in them."""
     rows = docs.withColumn("__window", head_and_tail(F.coalesce(text_col, F.lit(""))))
-    rows = rows.withColumn("__announced", announced_date(F.col("__window")))
-    latest = F.array_max(F.transform(candidates(F.col("__window")), lambda c: c["day"]))
-    return rows.withColumn("document_date", F.coalesce("__announced", filename_date(F.coalesce(name_col, F.lit(""))), latest)).drop("__window", "__announced")
+    rows = rows.withColumn("__found", scanned(F.col("__window")))
+    named = filename_date(F.coalesce(name_col, F.lit("")))
+    return rows.withColumn("document_date", F.coalesce("__found.announced", named, "__found.latest")).drop("__window", "__found")
 
 
 def iso_date(raw: Column) -> Column:

@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+from decimal import ROUND_HALF_UP, Decimal
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import money
-from .dates import MONTHS, month_number
+from .dates import MONTHS
 from .facts import GROUP, content_id
+from .packs import extract_structured
 
 #: What rows that are no transactions begin with, and how kinds of documents are told.
 SKIPPED = ("SOLDE ", "TOTAL DES OPERATIONS")
 STATEMENT_NAME, STATEMENT_TEXT = r"(?i)^(?:RLV|releve)", "RELEVE DE COMPTE"
 EXTRACTOR = "pack:bank_statement@0.3.0"
 LOW_SIGNAL = ("transaction", "transaction_category", "account")
-_WORD = r"([A-Za-zéû]+)"
-_PERIOD = rf"(?iu)du\s+(\d{{1,2}})\s+{_WORD}\s+(\d{{4}})\s+au\s+(\d{{1,2}})\s+{_WORD}\s+(\d{{4}})"
-_RIB = r"(?m)RIB\s*:\s*([0-9 ]+?)(?=\s*$|\s+IBAN|\n)"
+_DAY = r"(\d{1,2})\s+([A-Za-zéû]+)\s+(\d{4})"
+_PERIOD = re.compile(rf"du\s+{_DAY}\s+au\s+{_DAY}", re.IGNORECASE)
+_RIB = re.compile(r"RIB\s*:\s*([0-9 ]+?)(?=\s*$|\s+IBAN|\n)", re.MULTILINE)
+_SEPARATOR, _DAY_MONTH = re.compile(":?-+:?"), re.compile(r"(\d{1,2})\.(\d{1,2})")
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
+_CENT, _LARGEST = Decimal("0.01"), Decimal(10) ** 16
+RECORD = "row int, date date, value_date date, description string, debit decimal(18,2), credit decimal(18,2), account_rib string"
 
 
 def kind(filename: Column, content: Column) -> Column:
@@ -24,60 +34,89 @@ def kind(filename: Column, content: Column) -> Column:
     return F.when(F.coalesce(filename, F.lit("")).rlike(STATEMENT_NAME) | F.contains(F.upper(F.substring(F.coalesce(content, F.lit("")), 1, 2000)), F.lit(STATEMENT_TEXT)), "bank_statement")
 
 
-def _written_day(text: Column, d: int) -> Column:
-    number = month_number(F.regexp_extract(text, _PERIOD, d + 1))
-    return F.when(F.lower(F.regexp_extract(text, _PERIOD, d + 1)).isin(list(MONTHS)), F.try_to_date(F.concat_ws("-", F.regexp_extract(text, _PERIOD, d + 2), F.lpad(number, 2, "0"), F.lpad(F.regexp_extract(text, _PERIOD, d), 2, "0")), "yyyy-MM-dd"))
+def _day(day: str, month: str, year: str) -> datetime.date | None:
+    try:
+        return datetime.date(int(year), MONTHS[month.lower()], int(day))
+    except (KeyError, ValueError):
+        return None
 
 
-def period(text: Column) -> Column:
-    """{start, end} of 'du 1 janvier 2024 au 31 janvier 2024'; null where one of the two is no date."""
-    start, end = _written_day(text, 1), _written_day(text, 4)
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+def period(text: str) -> tuple[datetime.date, datetime.date] | None:
+    """The two days of 'du 1 janvier 2024 au 31 janvier 2024'; None where one of them is none."""
+    found = _PERIOD.search(text)
+    days = found and (_day(*found.groups()[:3]), _day(*found.groups()[3:]))
+    return days if days and all(days) else None
 
 
-def rib(text: Column) -> Column:
-    """The account number with single blanks; null where there is none."""
-    raw = F.regexp_extract(text, _RIB, 1)
-    return F.when(raw != "", F.trim(F.regexp_replace(raw, r"\s+", " ")))
+def rib(text: str) -> str | None:
+    """The account number with single blanks."""
+    found = _RIB.search(text)
+    return found and " ".join(found[1].split()) or None
 
 
-def day_in(raw: Column, during: Column) -> Column:
+def day_in(raw: str, during: tuple[datetime.date, datetime.date]) -> datetime.date | None:
     """'DD.MM' as a date of the period: in a period over the turn of the year, months from its first on are of the
-    first year. Null where it is none."""
-    d, m = (F.regexp_extract(F.trim(raw), r"^(\d{1,2})\.(\d{1,2})$", k) for k in (1, 2))
-    start, end = during["start"], during["end"]
-    year = F.when((F.year(start) == F.year(end)) | (m.try_cast("int") >= F.month(start)), F.year(start)).otherwise(F.year(end))
-    return F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-
-
-def cells(row: Column) -> Column:
+    first year."""
+    found = _DAY_MONTH.fullmatch(raw)
+    if not found:
+        return None
+    d, m = map(int, found.groups())
+    start, end = during
+    try:
+        return datetime.date(start.year if start.year == end.year or m >= start.month else end.year, m, d)
+    except ValueError:
+        return None
+
+
+def amount(raw: str) -> Decimal | None:
+    """'1 209,10' as a decimal of two places; None where it is none or too large."""
+    bare = raw.strip().replace(" ", "").replace("\xa0", "").replace(",", ".")
+    number = Decimal(bare) if _NUMBER.fullmatch(bare) and bare.isascii() else None
+    return None if number is None or abs(number) >= _LARGEST else number.quantize(_CENT, ROUND_HALF_UP)
+
+
+def cells(row: str) -> list[str]:
     """The trimmed cells of a table row, without its outer bars."""
-    return F.split(F.regexp_replace(F.regexp_replace(row, r"^\s*\|?\s*", ""), r"\s*\|?\s*$", ""), r"\s*\|\s*", -1)
+    row = row.strip()
+    row = row[1:].lstrip() if row.startswith("|") else row
+    row = row[:-1] if row.endswith("|") else row
+    return [c.strip() for c in row.split("|")]
+
+
+def _body(table: list[list[str]]) -> list[list[str]]:
+    """The rows of a table that follow its header, which has date and debit."""
+    heads = (i for i, row in enumerate(table) if "ate" in (line := " ".join(row).lower()) and "ébit" in line)
+    return table[next(heads, len(table)) + 1 :]
+
+
+@F.udtf(returnType=RECORD, useArrow=False)
+class StatementRows:
+    """The transactions of a statement, numbered from 0: rows below the header of a table, as long as lines are rows,
+    that have a date of the period, a description and a debit or a credit. A text without a period has none, and rows
+    that don't parse are left out."""
+
+    def eval(self, content: str):
+        during = period(content) if content else None
+        if during is None:
+            return
+        account, n = rib(content), 0
+        for is_table, lines in groupby(content.splitlines(), lambda line: line.lstrip().startswith("|")):
+            rows = [c for c in map(cells, lines) if any(x and not _SEPARATOR.fullmatch(x) for x in c)] if is_table else []
+            for day, text, value_day, debit, credit in (r[:5] for r in _body(rows) if len(r) >= 5):
+                when, debit, credit = day_in(day, during), amount(debit), amount(credit)
+                one = (debit is None) != (credit is None)
+                if when and text and not text.upper().startswith(SKIPPED) and one and (debit if credit is None else credit) >= 0:
+                    yield n, when, day_in(value_day, during) or when, text, debit, credit, account
+                    n += 1
 
 
 def transactions(docs: DataFrame) -> DataFrame:
     """(source_doc_id, row, date, value_date, description, debit, credit, amount, direction, category, account_rib) of
-    the statements ``docs`` (document_id, content): rows of tables whose header has date and debit, numbered from 0 in
-    each document. Documents without a period have none, rows that don't parse are left out."""
-    # the words of the period are taken from its own few characters, not from the whole text each
-    about = docs.where(F.coalesce("document_id", F.lit("")) != "").select("document_id", F.regexp_extract("content", _PERIOD, 0).alias("said"), rib(F.col("content")).alias("rib"), "content")
-    about = about.select("document_id", period(F.col("said")).alias("during"), "rib", "content").where("during is not null")
-    lines = about.select("document_id", "during", "rib", F.posexplode(F.split("content", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", -1)).alias("at", "line"))
-    order = Window.partitionBy("document_id").orderBy("at")
-    lines = lines.withColumn("table", F.ltrim("line").startswith("|")).withColumn("run", F.sum((~F.col("table")).cast("int")).over(order)).where("table")
-    lines = lines.withColumn("c", cells(F.col("line"))).where(~F.forall("c", lambda x: (x == "") | x.rlike("^:?-+:?$")))
-    head = F.lower(F.array_join("c", " "))
-    lines = lines.withColumn("head", F.contains(head, F.lit("ate")) & F.contains(head, F.lit("ébit")))
-    before = Window.partitionBy("document_id", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lines.withColumn("below", F.max("head").over(before)).where("below and size(c) >= 5")
-    text = F.col("c")[1]
-    rows = rows.where(~F.startswith(F.upper(text), F.lit(SKIPPED[0])) & ~F.startswith(F.upper(text), F.lit(SKIPPED[1])) & (text != ""))
-    rows = rows.select("document_id", "at", "rib", text.alias("description"), day_in(F.col("c")[0], F.col("during")).alias("date"), day_in(F.col("c")[2], F.col("during")).alias("value_date"),
-                       money.french_number(F.col("c")[3]).alias("debit"), money.french_number(F.col("c")[4]).alias("credit"))
-    rows = rows.where(F.col("date").isNotNull() & money.valid(F.col("debit"), F.col("credit"), F.col("description")))
+    the statements ``docs`` (document_id, content), as ``StatementRows`` finds them."""
+    rows = extract_structured(docs.where(F.coalesce("document_id", F.lit("")) != "").select("document_id", "content"), StatementRows, "content")
     return rows.select(
-        F.col("document_id").alias("source_doc_id"), (F.row_number().over(order) - 1).alias("row"), "date", F.coalesce("value_date", "date").alias("value_date"), "description", "debit", "credit",
-        F.coalesce("debit", "credit").alias("amount"), money.direction(F.col("debit")).alias("direction"), money.category(F.col("description")).alias("category"), F.col("rib").alias("account_rib"))
+        F.col("document_id").alias("source_doc_id"), "row", "date", "value_date", "description", "debit", "credit",
+        F.coalesce("debit", "credit").alias("amount"), money.direction(F.col("debit")).alias("direction"), money.category(F.col("description")).alias("category"), "account_rib")
 
 
 def account_name(number: Column) -> Column:

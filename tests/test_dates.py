@@ -37,7 +37,7 @@ def plain_candidates(text):
     """The dates of a text by Python's own search."""
     out = []
     for way, (pattern, (d, m, y)) in enumerate(D._WAYS):
-        for found in re.finditer(pattern.replace("(?iuU)", "(?i)"), text):
+        for found in re.finditer("(?i)" + pattern, text):
             month = D.MONTHS.get(found[m].lower(), found[m])
             if re.search(r"(?i)\b(?:" + "|".join(D.NOT_ISSUED) + r")\b", text[max(0, found.start() - 40) : found.start()]):
                 continue
@@ -58,6 +58,17 @@ def test_candidates_equal_a_plain_search(spark):
     assert [sorted((c.at, c.way, c.day) for c in g) for g in got] == [sorted(plain_candidates(t)) for t, in rows]
 
 
+def test_a_batch_is_searched_as_its_texts_are(spark):
+    from factloom.functions.scan import matches
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ab \0", k=rng.randint(0, 6))) for _ in range(300)]
+    for pattern in ("a+b", "b", "a ?a"):
+        got = [(row, at, m[0]) for row, at, m in matches(texts, re.compile(pattern))]
+        assert got == [(i, m.start(), m[0]) for i, t in enumerate(texts) for m in re.finditer(pattern, t)]
+    assert not list(matches([], re.compile("a")))
+
+
 @pytest.mark.parametrize("raw,good", [("1980-02-28", True), ("1980-02-31", False), ("1899-01-01", False), ("2999-01-01", False), ("1980-2-3", False), (None, False)])
 def test_birthdates(spark, raw, good):
     assert one(spark, D.valid_birthdate(F.lit(raw).cast("string"))) is good
