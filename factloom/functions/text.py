@@ -31,8 +31,7 @@ def _composed(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def slug(names: pd.Series) -> pd.Series:
-    """Folded, other runs than letters and digits as one '_', 'unnamed' if nothing is left."""
+def _slug(names: pd.Series) -> pd.Series:
     return names.map(lambda s: re.sub(r"[^a-z0-9]+", "_", _bare(s or "").casefold()).strip("_") or "unnamed")
 
 
@@ -50,6 +49,13 @@ def _rest(text: Column | str, python) -> Column:
     return python(F.when(~plain(text), _col(text)))
 
 
+def slug(names: Column | str) -> Column:
+    """Folded, other runs than letters and digits as one '_', 'unnamed' if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(_col(names)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    known = F.coalesce(F.nullif(bare, F.lit("")), F.lit("unnamed"))
+    return F.when(_col(names).isNull() | plain(names), known).otherwise(_rest(names, _slug))
+
+
 BLANKS = r"^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
 
 

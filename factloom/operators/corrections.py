@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .documents import overlaid
+from .documents import overlaid, with_headers
 from .graph import canonical
 
 _NONE = "cast(array() as array<string>)"
@@ -33,6 +33,19 @@ def resolved_content(documents: DataFrame, corrections: DataFrame, bodies: DataF
     return rows.withColumn("content", overlaid(F.coalesce("body", "content"), F.col("replacements"))).drop("path", "body", "replacements")
 
 
+def prepared(documents: DataFrame, corrections: DataFrame, bodies: DataFrame, hints: Column) -> DataFrame:
+    """(document_id, file_path, body, overlaid, focused) of documents (document_id, content, metadata, tags) as they go to
+    extraction: metadata and content as corrected, and before the text the date of the metadata and the types that
+    ``hints``, over the corrected columns, names. ``overlaid`` tells whether another body was named, ``focused`` whether
+    there are types."""
+    rows = with_metadata_overlay(documents, corrections).drop("replaced_by")
+    rows = resolved_content(rows, corrections, bodies).withColumn("__types", hints)
+    named = corrections.select("document_id", (F.coalesce("override_path", F.lit("")) != "").alias("__named"))
+    rows = rows.join(named, "document_id", "left")
+    body = with_headers(F.coalesce("content", F.lit("")), F.col("metadata")["document_date"], F.col("__types"))
+    return rows.select("document_id", F.concat(F.lit("/store/"), "document_id", F.lit("/content.md")).alias("file_path"), body.alias("body"), F.coalesce("__named", F.lit(False)).alias("overlaid"), (F.size("__types") > 0).alias("focused"))
+
+
 def merged_doubts(stored: DataFrame, emitted: DataFrame) -> DataFrame:
     """Corrections (document_id, original_filename, status, doubts, overrides) after doubts (document_id,
     original_filename, doubts) were emitted anew: these replace the old ones, status and overrides stay, and a document

@@ -178,18 +178,6 @@ def summaries(docs: DataFrame, nodes: DataFrame, extras: DataFrame | None = None
     return rows.select(F.concat(F.lit("summary-"), "document_id").alias("chunk_id"), F.col("document_id").alias("full_doc_id"), F.concat(F.lit("/store/"), "document_id", F.lit("/content.md")).alias("file_path"), content.alias("content"))
 
 
-def profiles(membership: DataFrame, least: int, shown: int = 20) -> DataFrame:
-    """Entities of ``least`` documents or more, with the first ``shown`` of them and how many more there are."""
-    rows = membership.groupBy("name").agg(F.array_sort(F.collect_set("document_id")).alias("d")).where(F.size("d") >= least)
-    return rows.select("name", F.size("d").cast("long").alias("n_documents"), F.array_join(F.slice("d", 1, shown).cast("array<string>"), ",").alias("listing"), F.greatest(F.size("d") - shown, F.lit(0)).cast("long").alias("more"))
-
-
-def catalogs(membership: DataFrame, types: DataFrame, least: int) -> DataFrame:
-    """Types of ``least`` entities and documents or more."""
-    rows = membership.join(types, "name").groupBy("entity_type").agg(F.count_distinct("name").alias("entities"), F.count_distinct("document_id").alias("documents"))
-    return rows.where((F.col("entities") >= least) & (F.col("documents") >= least))
-
-
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

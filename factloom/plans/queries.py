@@ -748,11 +748,16 @@ def llm_json_parse(spark, d):
     return table(spark, d, "events").select("event_id", JOINED(T.json_objects(raw)).alias("objects"))
 
 
-@query()
+_BARE_SQL = "lower(strip_accents(replace({0}, 'ß', 'ss')))"
+_SLUG_SQL = "coalesce(nullif(trim(regexp_replace(" + _BARE_SQL + ", '[^a-z0-9]+', '_', 'g'), '_'), ''), 'unnamed')"
+_NORMAL_SQL = r"trim(regexp_replace(" + _BARE_SQL + r", '\s+', ' ', 'g'))"
+
+
+@query("select doc_id, " + _SLUG_SQL.format("coalesce(text, '')") + " as slug, " + _NORMAL_SQL.format("text") + " as normal, " + _SLUG_SQL.format("coalesce(source, '')") + " as source from documents")
 def fold_slug(spark, d):
     return table(spark, d, "documents").select("doc_id", T.slug("text").alias("slug"), T.fold("source").alias("source"), T.normal_name("text").alias("normal"))
 
 
-@query()
+@query("select c_custkey, " + _SLUG_SQL.format("coalesce(c_name, '')") + " as slug, " + _NORMAL_SQL.format("c_name") + " as normal, trim(" + _BARE_SQL.format("c_name") + ") as folded from customer")
 def customer_names(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.slug("c_name").alias("slug"), T.fold("c_name").alias("folded"), T.normal_name("c_name").alias("normal"))
