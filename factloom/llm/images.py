@@ -25,9 +25,9 @@ SCALES = (1.0, 0.75)
 #: Pixels a corner of one scale stands for: larger pictures have more.
 CORNER_PIXELS = 205
 RADIUS = 12
-#: Hamming tables, bits of their keys and of the further keys that split a bucket, members beyond which one is split in
-#: its task and over tasks, corners a block has and a task holds (once a table), about.
-TABLES, KEY_BITS, MORE_BITS, MEMBERS, HOT, BLOCK, HELD = 6, 24, 12, 192, 1 << 15, 1 << 17, 1 << 19
+#: Hamming tables, bits of their keys, members of a bucket compared at once, members beyond which one is met in parts,
+#: corners a block has and a task holds (once a table), about.
+TABLES, KEY_BITS, MEMBERS, HOT, BLOCK, HELD = 8, 20, 1 << 10, 1 << 14, 1 << 17, 1 << 19
 #: Bits of 256 in which matching descriptors may differ, matches of one change that link, and cell sizes of votes.
 NEAR, VOTES, SHIFT = 24, 4, 8.0
 
@@ -121,11 +121,10 @@ def descriptors(media: DataFrame) -> DataFrame:
 
 
 @lru_cache(1)
-def _key_bits() -> tuple[np.ndarray, np.ndarray]:
-    """The bits of each table's key, and, in another order for each table, those of its further keys."""
+def _key_bits() -> np.ndarray:
+    """The bits of each table's key."""
     rng = np.random.default_rng(17)
-    order = np.stack([rng.permutation(256) for _ in range(TABLES)])
-    return order[:, :KEY_BITS], order[:, KEY_BITS:]
+    return np.stack([rng.permutation(256) for _ in range(TABLES)])[:, :KEY_BITS]
 
 
 def _bits(words_: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -136,42 +135,42 @@ def _bits(words_: np.ndarray, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def _near(d: np.ndarray, owner: np.ndarray, more: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of near descriptors of different images among the members of a bucket. Too many members are first
-    dealt by the next bits of ``more``; those equal in all of them meet their neighbours in order of images only, as
-    equal descriptors say the same of each."""
-    if len(d) > MEMBERS and len(more):
-        by = _bits(d, more[:MORE_BITS])
-        order = np.argsort(by, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(by[order])) + 1):
-            if len(own) > 1:
-                for i, j in _near(d[own], owner[own], more[MORE_BITS:]):
-                    yield own[i], own[j]
-        return
-    if len(d) > MEMBERS:
-        order = np.argsort(owner, kind="stable")
-        i, j = np.concatenate([order[:-1], order[:-2]]), np.concatenate([order[1:], order[2:]])
-    else:
-        i, j = np.triu_indices(len(d), 1)
-    differ = sum(np.bitwise_count(d[i, k] ^ d[j, k]).astype(np.int16) for k in range(4))
-    good = (differ <= NEAR) & (owner[i] != owner[j])
-    if good.any():
-        yield i[good], j[good]
+def _near(d: np.ndarray, owner: np.ndarray, members: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of near descriptors of different images among the members of a bucket. Each is compared with every
+    other, ``members`` by ``members`` of them at a time."""
+    for x in range(0, len(d), members):
+        for y in range(x, len(d), members):
+            left, right = d[x : x + members], d[y : y + members]
+            differ = sum(np.bitwise_count(left[:, None, k] ^ right[None, :, k]).astype(np.int16) for k in range(4))
+            good = (differ <= NEAR) & (owner[x : x + members, None] != owner[None, y : y + members])
+            i, j = np.nonzero(np.triu(good, 1) if x == y else good)
+            if len(i):
+                yield i + x, j + y
+
+
+def _cells(part: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, cell) for entries in ``part`` of so many ``parts`` of their bucket: a cell is a pair of parts, and an entry
+    goes to all cells of its part, so that every two entries meet in one."""
+    entry = np.repeat(np.arange(len(part)), parts)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(parts) - parts, parts)
+    own = part[entry]
+    return entry, np.minimum(own, other) * parts[entry] + np.maximum(own, other)
 
 
 _PACKED = {"shard": pa.int32(), "tables": pa.binary(), "corners": pa.binary(), "ids": pa.binary()}
-_CORNER = np.dtype([("d", "<u8", 4), ("id", "<u4"), ("kp", "<u2"), ("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4")])
+_CORNER = np.dtype([("d", "<u8", 4), ("id", "<u4"), ("kp", "<u4"), ("x", "<f4"), ("y", "<f4"), ("scale", "<f4"), ("angle", "<f4")])
 
 
-def _pairs(marks: DataFrame, n: int) -> DataFrame:
+def _pairs(marks: DataFrame, n: int, members: int = MEMBERS, hot_members: int = HOT, block: int = BLOCK) -> DataFrame:
     """(a, b, ka, kb, r, t, tx, ty) of near descriptors of two images, and the change from the smaller id to the larger
-    that they stand for. A pair may come from several tables."""
+    that they stand for. A pair may come from several tables, and from several cells of a bucket that has more than
+    ``hot_members`` members and is met in parts."""
     spark = marks.sparkSession
     shards = max(common.shards(spark), n * TABLES // HELD)
     columns = ["id", "kp", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
 
     def keys(d: np.ndarray) -> np.ndarray:
-        return np.stack([_bits(d, own) | np.uint64(t << KEY_BITS) for t, own in enumerate(_key_bits()[0])], 1)
+        return np.stack([_bits(d, own) | np.uint64(t << KEY_BITS) for t, own in enumerate(_key_bits())], 1)
 
     def descriptors_of(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([batch.column(c).to_numpy().view(np.uint64) for c in range(batch.num_columns - 4, batch.num_columns)], 1)
@@ -181,11 +180,12 @@ def _pairs(marks: DataFrame, n: int) -> DataFrame:
             key, c = np.unique(keys(descriptors_of(batch)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(c)], ["key", "n"])
 
-    most = max(HOT, n * TABLES // 10_000)  # so there are ten thousand hot buckets at most
-    hot: set[int] = set()
+    most = max(hot_members, n * TABLES // 10_000)  # so there are ten thousand hot buckets at most
+    hot_keys, hot_parts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if n > most:
         rows = marks.select(*columns[6:]).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"n > {most}")
-        hot = {r["key"] for r in rows.select("key").collect()}
+        found = sorted((r["key"], r["n"]) for r in rows.collect())
+        hot_keys, hot_parts = np.array([k for k, _ in found], np.uint64), np.array([-(-c // most) for _, c in found], np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -198,22 +198,31 @@ def _pairs(marks: DataFrame, n: int) -> DataFrame:
                 corner[c] = part.column(k).to_numpy()
             corner["d"] = d
             key = keys(d)
+            row, table = np.divmod(np.arange(key.size), TABLES)
+            key = key.ravel()
             place = jaccard.words.mix(key)
-            if hot:
-                is_hot = np.isin(key, np.array(sorted(hot), np.uint64))
-                for t in np.flatnonzero(is_hot.any(0)):
-                    place[is_hot[:, t], t] += jaccard.words.mix(_bits(d[is_hot[:, t]], _key_bits()[1][t][:MORE_BITS]))
+            at = np.searchsorted(hot_keys, key)
+            is_hot = np.flatnonzero(hot_keys[np.minimum(at, len(hot_keys) - 1)] == key) if len(hot_keys) else at[:0]
+            if len(is_hot):
+                parts = hot_parts[at[is_hot]]
+                # by image and corner, so that each table deals a corner alike wherever it is sent from
+                mine = jaccard.words.mix(ids[corner["id"]].astype(np.uint64) * np.uint64(1 << 20) + corner["kp"])[row[is_hot]] % parts.astype(np.uint64)
+                entry, cell = _cells(mine.astype(np.int64), parts)
+                entry = is_hot[entry]
+                keep = np.ones(len(key), bool)
+                keep[is_hot] = False
+                row, table = np.concatenate([row[keep], row[entry]]), np.concatenate([table[keep], table[entry]])
+                place = np.concatenate([place[keep], jaccard.words.mix(key[entry] * np.uint64(31) + cell.astype(np.uint64))])
             shard = (place % np.uint64(shards)).astype(np.int64)
+            # which tables send each corner to each shard, as bits
+            where, which = np.unique(shard * part.num_rows + row, return_inverse=True)
+            bits = np.zeros(len(where), np.uint8)
+            np.bitwise_or.at(bits, which, (1 << table).astype(np.uint8))
             rows = []
-            for s in np.unique(shard).tolist():
-                there = shard == s
-                own = np.flatnonzero(there.any(1))
-                # which tables send the corner here, as bits
-                tables = (there[own] << np.arange(TABLES)).sum(1).astype(np.uint8)
-                present, corner_ids = np.unique(corner["id"][own], return_inverse=True)
-                packed = corner[own]
-                packed["id"] = corner_ids
-                rows.append((s, tables.tobytes(), packed.tobytes(), ids[present].tobytes()))
+            for own in np.split(np.arange(len(where)), np.flatnonzero(np.diff(where // part.num_rows)) + 1):
+                packed = corner[where[own] % part.num_rows]
+                present, packed["id"] = np.unique(packed["id"], return_inverse=True)
+                rows.append((int(where[own[0]] // part.num_rows), bits[own].tobytes(), packed.tobytes(), ids[present].tobytes()))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED.values())], list(_PACKED))
 
@@ -222,7 +231,7 @@ def _pairs(marks: DataFrame, n: int) -> DataFrame:
             if batch.num_rows:
                 held.append(batch)
                 size += batch.num_rows
-            if size >= BLOCK:
+            if size >= block:
                 yield flush()
                 size = 0
         if held:
@@ -236,12 +245,12 @@ def _pairs(marks: DataFrame, n: int) -> DataFrame:
         d, found = np.ascontiguousarray(corner["d"]), []
         for t in range(TABLES):
             own = np.flatnonzero(tables >> t & 1)
-            key = _bits(d[own], _key_bits()[0][t])
+            key = _bits(d[own], _key_bits()[t])
             own = own[np.argsort(key, kind="stable")]
             key = np.sort(key)
             for bucket in np.split(own, np.flatnonzero(np.diff(key)) + 1):
                 if len(bucket) > 1:
-                    found += [(bucket[i], bucket[j]) for i, j in _near(d[bucket], owner[bucket], _key_bits()[1][t])]
+                    found += [(bucket[i], bucket[j]) for i, j in _near(d[bucket], owner[bucket], members)]
         i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
         i, j = np.where(owner[i] < owner[j], i, j), np.where(owner[i] < owner[j], j, i)
         if len(i):
@@ -251,11 +260,11 @@ def _pairs(marks: DataFrame, n: int) -> DataFrame:
         ratio, turn = b["scale"] / a["scale"], b["angle"] - a["angle"]
         tx = b["x"] - ratio * (np.cos(turn) * a["x"] - np.sin(turn) * a["y"])
         ty = b["y"] - ratio * (np.sin(turn) * a["x"] + np.cos(turn) * a["y"])
-        out = [owner[i], owner[j], a["kp"].astype(np.int16), b["kp"].astype(np.int16), *(x.astype(np.float32) for x in (np.log2(ratio), turn, tx, ty))]
+        out = [owner[i], owner[j], a["kp"].astype(np.int32), b["kp"].astype(np.int32), *(x.astype(np.float32) for x in (np.log2(ratio), turn, tx, ty))]
         return pa.table([pa.array(x) for x in out], ["a", "b", "ka", "kb", "r", "t", "tx", "ty"])
 
     sent = marks.select(*columns).mapInArrow(send, "shard int, tables binary, corners binary, ids binary")
-    return sent.groupBy("shard").applyInArrow(meet, "a long, b long, ka short, kb short, r float, t float, tx float, ty float")
+    return sent.groupBy("shard").applyInArrow(meet, "a long, b long, ka int, kb int, r float, t float, tx float, ty float")
 
 
 def copies(media: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from factloom.llm import images
 
@@ -32,30 +33,53 @@ def test_turned_and_rescaled_copies(spark):
     assert all(got[i] == i for i in base)
 
 
-def test_near_descriptors_are_met_in_full_buckets_too(spark, monkeypatch):
+def with_logo(n, side, at, pictures):
+    """Pictures with one logo of 40 pixels and noise."""
+    rng, logo, out = np.random.default_rng(1), images.render(b"logo", 40), {}
+    for i in range(n):
+        p = images.render(str(i % pictures).encode(), side).copy()
+        p[at : at + 40, at : at + 40] = logo
+        out[i] = np.clip(p + rng.normal(0, 2, p.shape), 0, 255).astype(np.uint8)
+    return out
+
+
+def near_pairs(rows):
+    """Of different images, by comparing all descriptors."""
+    d = np.array([[r.d0, r.d1, r.d2, r.d3] for r in rows], np.int64).view(np.uint64)
+    near = set()
+    for x in range(0, len(rows), 500):
+        differ = sum(np.bitwise_count(d[x : x + 500, None, k] ^ d[None, :, k]).astype(int) for k in range(4))
+        for i, j in zip(*(v.tolist() for v in np.nonzero(differ <= images.NEAR))):
+            if rows[x + i].id < rows[j].id:
+                near.add(((rows[x + i].id, rows[x + i].kp), (rows[j].id, rows[j].kp)))
+    return near
+
+
+@pytest.mark.parametrize("limits", [{}, {"members": 7, "hot_members": 5, "block": 300}, {"members": 1000, "hot_members": 20}])
+def test_near_descriptors_are_met_in_full_buckets_too(spark, limits):
     """Against a plain comparison of all descriptors; a logo in every picture fills buckets."""
-    rng = np.random.default_rng(1)
-    logo = images.render(b"logo", 40)
-    pictures = {}
-    for i in range(40):
-        p = images.render(str(i % 30).encode(), 96).copy()
-        p[50:90, 50:90] = logo
-        pictures[i] = np.clip(p + rng.normal(0, 2, p.shape), 0, 255).astype(np.uint8)
-    marks = images.descriptors(media(spark, pictures)).cache()
+    marks = images.descriptors(media(spark, with_logo(40, 96, 50, 30))).cache()
     rows = marks.collect()
-    d = np.array([[r.d0, r.d1, r.d2, r.d3] for r in rows], np.int64).view(np.uint64)
-    i, j = np.triu_indices(len(rows), 1)
-    differ = sum(np.bitwise_count(d[i, k] ^ d[j, k]).astype(int) for k in range(4))
-    near = {tuple(sorted(((rows[x].id, rows[x].kp), (rows[y].id, rows[y].kp)))) for x, y in zip(i[differ <= images.NEAR], j[differ <= images.NEAR]) if rows[x].id != rows[y].id}
-    links = []
-    for members, hot in ((images.MEMBERS, images.HOT), (8, 5)):
-        monkeypatch.setattr(images, "MEMBERS", members)
-        monkeypatch.setattr(images, "HOT", hot)
-        monkeypatch.setattr(images, "BLOCK", 300)
-        got = {((r.a, r.ka), (r.b, r.kb)) for r in images._pairs(marks, len(rows)).collect()}
-        assert got <= near
-        links.append(len(got) / len(near))
-        if hot == 5:
-            same = {r.id: r.class_id for r in images.copies(media(spark, pictures)).collect()}
-            assert all(same[i] == same[i + 30] for i in range(10))
-    assert links[0] >= 0.8 and links[1] >= 0.2
+    near = near_pairs(rows)
+    got = {((r.a, r.ka), (r.b, r.kb)) for r in images._pairs(marks, len(rows), **limits).collect()}
+    plain = {((r.a, r.ka), (r.b, r.kb)) for r in images._pairs(marks, len(rows)).collect()} if limits else got
+    assert got == plain and got <= near and len(got) >= 0.9 * len(near)
+
+
+def test_links_of_many_pictures_with_one_logo(spark):
+    pictures = with_logo(150, 64, 12, 150)
+    marks = images.descriptors(media(spark, pictures)).cache()
+    near = near_pairs(marks.collect())
+    corners = {}
+    for (a, ka), (b, kb) in near:
+        corners.setdefault((a, b), []).append((ka, kb))
+    able = sum(len({x for x, _ in c}) >= images.VOTES and len({y for _, y in c}) >= images.VOTES for c in corners.values())
+    got = images.copies(media(spark, pictures)).collect()
+    assert {r.class_id for r in got} == {0} and sum(r.n_links for r in got) / 2 >= 0.9 * able * 0.95  # not all that could vote agree
+
+
+def test_every_two_parts_of_a_bucket_share_a_cell():
+    part, parts = np.array([0, 1, 2, 0, 3]), np.array([4, 4, 4, 4, 4])
+    entry, cell = images._cells(part, parts)
+    mine = {i: set(cell[entry == i].tolist()) for i in range(5)}
+    assert all(mine[i] & mine[j] for i in range(5) for j in range(5)) and all(len(m) == 4 for m in mine.values())
