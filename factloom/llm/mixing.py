@@ -52,9 +52,12 @@ def mix(docs: DataFrame, seed: int = 0, share: float = 1.5, most: float = 2.0, w
     of classes, and a row number within the class, so a source of any size is ranked in parallel.
 
     Null sources are one source, a null text has size 0, equal rows share their copies in any order, an empty table
-    gives an empty result; other columns pass through. Reruns agree, as nothing depends on partitions.
+    gives an empty result; other columns pass through; ids may be
+    of any type. Reruns agree, as nothing depends on partitions.
     """
-    part = F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(PARTS)), F.lit(-1).cast("long"))
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    part = F.coalesce(F.pmod(number, F.lit(PARTS)), F.lit(-1).cast("long"))
     rows = docs.withColumns({"__source": F.col(source_col), "__size": size_of(F.col(text_col)), "__part": part})
     narrow = docs.select(F.col(source_col).alias("__source"), size_of(F.col(text_col)).alias("__size"), part.alias("__part"))
     classes = narrow.groupBy(*_CLASS).agg(F.count(F.lit(1)).alias("n"))
