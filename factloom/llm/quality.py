@@ -64,13 +64,19 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     return each.unionByName(rest.select(F.lit(None).cast("string").alias("lang"), F.col("rest").alias("most")))
 
 
+#: What ``classify`` adds.
+ADDED = ("n_tokens", "log_ppl", "threshold", "keep")
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
-    """``docs`` with n_tokens, log_ppl, threshold and keep.
+    """``docs`` with n_tokens, log_ppl, threshold and keep; columns of these names are replaced.
 
     A document is kept while its perplexity is within its language's threshold; one without words is not. Null or
     unseen languages take the threshold of all; without any trusted text everything with words is kept. Other columns
-    pass through, repeated rows are classified alike, null texts count as empty.
+    pass through whatever their names, repeated rows are classified alike, null texts count as empty. Of several labels
+    of a document each has to call it good; rows without an id are never trusted.
     """
+    docs = docs.select(*(c for c in docs.columns if c not in ADDED))
     train, held_out = trusted_ids(docs, labels, sample)
     # a model of at most ``sample`` documents, so few shards; each is joined to every block of documents in turn
     model = kneser_ney.train(docs.select("doc_id", "text").join(F.broadcast(train), "doc_id", "left_semi"), order, shards=8)
@@ -79,6 +85,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sam
     limits = common.written(thresholds(with_perplexity(rest, model), quantile), "thresholds")  # one row a language
     own = F.broadcast(limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.col("most").alias("__own")))
     rest = limits.where("lang is null").agg(F.max("most").alias("__rest"))
-    rows = with_perplexity(docs, model).join(own, F.col("lang") == F.col("__lang"), "left").crossJoin(F.broadcast(rest))
-    rows = rows.withColumn("threshold", F.coalesce("__own", "__rest")).drop("__lang", "__own", "__rest")
-    return rows.withColumn("keep", (F.col("n_tokens") > 1) & F.coalesce(F.col("log_ppl") <= F.col("threshold"), F.lit(True)))
+    # other columns travel as one, so that their names can't clash with those made on the way
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "lang")]
+    rows = docs.select("doc_id", "text", "lang", *([F.struct(*others).alias("__others")] if others else []))
+    rows = with_perplexity(rows, model).join(own, F.col("lang") == F.col("__lang"), "left").crossJoin(F.broadcast(rest))
+    limit = F.coalesce("__own", "__rest")
+    keep = (F.col("n_tokens") > 1) & F.coalesce(F.col("log_ppl") <= limit, F.lit(True))
+    named = [F.col("__others")[c].alias(c) if c in others else F.col(c) for c in docs.columns]
+    return rows.select(*named, "n_tokens", "log_ppl", limit.alias("threshold"), keep.alias("keep"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns, also those of the names that it adds."""
+    rows = docs.select("doc_id", "text", "lang", F.struct(*(c for c in docs.columns if c not in ("doc_id", "text", "lang"))).alias("__row")) if set(docs.columns) - {"doc_id", "text", "lang"} else docs
+    good = classify(rows, labels, **how).where("keep")
+    return good.select(*(F.col("__row")[c].alias(c) if c not in ("doc_id", "text", "lang") else F.col(c) for c in docs.columns))
