@@ -325,7 +325,13 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
     Texts without words (and nulls) have no shingles and stand alone; a shorter text has its whole sequence as its one
     shingle; equal rows are one set; null ids get the component of their set. Sets are held as 64-bit hashes.
     """
-    spark = docs.sparkSession
+    info, named = _components(docs, n_words, percent, id_col, text_col)
+    rows = info.join(named, (info.fp == F.col("__fp")) & (info.n > 0), "left")
+    return rows.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
+
+
+def _components(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets (id, n, fp, key), and (__fp, component, component_id) of each set."""
     docs = docs.select(F.col(id_col), F.col(text_col))
     info = common.written(shingle_sets(docs, n_words, id_col, text_col, with_key=True, with_common=True), "sets")
     total, n_texts = info.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
@@ -351,12 +357,26 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col
             classes = common.written(components(links), "classes")
     named = first.join(classes, first.fp == classes.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select(F.col("fp").alias("__fp"), "component_id")
-    rows = info.join(named, (info.fp == F.col("__fp")) & (info.n > 0), "left")
-    return rows.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
+    return info, named.join(least, "component").select(F.col("fp").alias("__fp"), "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, n_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, with their columns."""
-    kept = near_duplicates(docs, n_words, percent).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """The first row of each component of ``docs``, with its columns: that of the smallest id, rows without an id after
+    all others, and of several texts of one id that of the smallest digest. Rows without words stand alone and all stay.
+
+    Rows whose id no other row has are told by it; the others, and those without one, by id and text.
+    """
+    info, named = _components(docs, n_words, percent, "doc_id", "text")
+    rows = info.join(named, (info.fp == F.col("__fp")) & (info.n > 0), "left").select("doc_id", "n", "key", "component")
+    first = rows.where("n > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "key")).alias("f"))
+    alone = rows.where("n = 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(False).alias("__one")).distinct()
+    stay = first.select(F.col("f.id").alias("__id"), F.col("f.key").alias("__key"), F.lit(True).alias("__one")).unionByName(alone)
+    shared = info.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("doc_id is null or __n > 1").select(F.col("doc_id").alias("__shared"))
+    shared = common.written(shared, "shared-ids")
+    if not shared.limit(1).count():
+        return docs.join(stay.select("__id"), docs.doc_id == F.col("__id"), "left_semi")
+    by_id = docs.join(shared, docs.doc_id.eqNullSafe(F.col("__shared")), "left_anti").join(stay.select("__id"), docs.doc_id == F.col("__id"), "left_semi")
+    rest = docs.join(shared, docs.doc_id.eqNullSafe(F.col("__shared")), "left_semi")
+    rest = rest.withColumn("__key0", text_key("text")).join(stay, F.col("__key0").eqNullSafe(F.col("__key")) & docs.doc_id.eqNullSafe(F.col("__id")))
+    once = rest.where("__one").dropDuplicates(["__id", "__key"])
+    return by_id.unionByName(once.unionByName(rest.where("not __one")).select(*docs.columns))
