@@ -27,7 +27,7 @@ CORNER_PIXELS = 205
 RADIUS = 12
 #: Hamming tables, bits of their keys, members of a bucket compared at once, members beyond which one is met in parts,
 #: corners a block has and a task holds (once a table), about.
-TABLES, KEY_BITS, MEMBERS, HOT, BLOCK, HELD = 8, 20, 1 << 10, 1 << 14, 1 << 17, 1 << 19
+TABLES, KEY_BITS, MEMBERS, HOT, BLOCK, HELD = 8, 24, 1 << 10, 1 << 14, 1 << 17, 1 << 19
 #: Bits of 256 in which matching descriptors may differ, matches of one change that link, and cell sizes of votes.
 NEAR, VOTES, SHIFT = 24, 4, 8.0
 
@@ -162,9 +162,9 @@ _CORNER = np.dtype([("d", "<u8", 4), ("id", "<u4"), ("kp", "<u4"), ("x", "<f4"),
 
 
 def _pairs(marks: DataFrame, n: int, members: int = MEMBERS, hot_members: int = HOT, block: int = BLOCK) -> DataFrame:
-    """(a, b, ka, kb, r, t, tx, ty) of near descriptors of two images, and the change from the smaller id to the larger
-    that they stand for. A pair may come from several tables, and from several cells of a bucket that has more than
-    ``hot_members`` members and is met in parts."""
+    """(a, b, m) of two images, with the near descriptors {ka, kb, r, t, tx, ty} that a task found of them and the change
+    from the smaller id to the larger that each stands for. A pair may come from several tasks, and from several cells of
+    a bucket that has more than ``hot_members`` members and is met in parts."""
     spark = marks.sparkSession
     shards = max(common.shards(spark), n * TABLES // HELD)
     columns = ["id", "kp", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"]
@@ -256,15 +256,21 @@ def _pairs(marks: DataFrame, n: int, members: int = MEMBERS, hot_members: int =
         if len(i):
             _, pick = np.unique(i.astype(np.uint64) << np.uint64(32) | j.astype(np.uint64), return_index=True)
             i, j = i[pick], j[pick]
+        order = np.lexsort((owner[j], owner[i]))
+        i, j = i[order], j[order]
         a, b = corner[i], corner[j]
         ratio, turn = b["scale"] / a["scale"], b["angle"] - a["angle"]
         tx = b["x"] - ratio * (np.cos(turn) * a["x"] - np.sin(turn) * a["y"])
         ty = b["y"] - ratio * (np.sin(turn) * a["x"] + np.cos(turn) * a["y"])
-        out = [owner[i], owner[j], a["kp"].astype(np.int32), b["kp"].astype(np.int32), *(x.astype(np.float32) for x in (np.log2(ratio), turn, tx, ty))]
-        return pa.table([pa.array(x) for x in out], ["a", "b", "ka", "kb", "r", "t", "tx", "ty"])
+        found = [a["kp"].astype(np.int32), b["kp"].astype(np.int32), *(x.astype(np.float32) for x in (np.log2(ratio), turn, tx, ty))]
+        # one row for all that two images have in common here
+        new = np.flatnonzero(np.diff(owner[i], prepend=-1) | np.diff(owner[j], prepend=-1)) if len(i) else np.zeros(0, np.int64)
+        common_ = pa.StructArray.from_arrays([pa.array(x) for x in found], ["ka", "kb", "r", "t", "tx", "ty"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(i)).astype(np.int32)), common_)
+        return pa.table([pa.array(owner[i][new]), pa.array(owner[j][new]), lists], ["a", "b", "m"])
 
     sent = marks.select(*columns).mapInArrow(send, "shard int, tables binary, corners binary, ids binary")
-    return sent.groupBy("shard").applyInArrow(meet, "a long, b long, ka int, kb int, r float, t float, tx float, ty float")
+    return sent.groupBy("shard").applyInArrow(meet, "a long, b long, m array<struct<ka:int,kb:int,r:float,t:float,tx:float,ty:float>>")
 
 
 def copies(media: DataFrame) -> DataFrame:
@@ -283,7 +289,7 @@ def copies(media: DataFrame) -> DataFrame:
     marks = common.written(descriptors(unique), "descriptors")
     met = _pairs(marks, marks.count())
     # two images need VOTES corners in common at least, so others need no geometry
-    pair = F.collect_set(F.struct("ka", "kb", "r", "t", "tx", "ty"))
+    pair = F.array_distinct(F.flatten(F.collect_list("m")))
     enough = met.groupBy("a", "b").agg(pair.alias("m")).where(F.size("m") >= VOTES)
     votes = enough.select("a", "b", F.explode("m").alias("v")).select("a", "b", "v.*", F.explode(F.array(F.lit(0.0), F.lit(0.5))).alias("o"))
     cells = votes.select(

@@ -61,8 +61,8 @@ def test_near_descriptors_are_met_in_full_buckets_too(spark, limits):
     marks = images.descriptors(media(spark, with_logo(40, 96, 50, 30))).cache()
     rows = marks.collect()
     near = near_pairs(rows)
-    got = {((r.a, r.ka), (r.b, r.kb)) for r in images._pairs(marks, len(rows), **limits).collect()}
-    plain = {((r.a, r.ka), (r.b, r.kb)) for r in images._pairs(marks, len(rows)).collect()} if limits else got
+    got = {((r.a, x.ka), (r.b, x.kb)) for r in images._pairs(marks, len(rows), **limits).collect() for x in r.m}
+    plain = {((r.a, x.ka), (r.b, x.kb)) for r in images._pairs(marks, len(rows)).collect() for x in r.m} if limits else got
     assert got == plain and got <= near and len(got) >= 0.9 * len(near)
 
 
