@@ -10,7 +10,6 @@ its own walls. Equal vectors are hashed once, with as many of their smallest ids
 from __future__ import annotations
 
 import heapq
-import itertools
 import math
 import zlib
 from collections.abc import Iterator
@@ -31,8 +30,8 @@ BUCKET = 32
 SAMPLE = 128
 RECALL = 0.97
 #: Sets of walls that are tried before buckets are made wider; vectors of a bucket beyond which it is split, and vectors
-#: (once a table) a task holds, about; queries answered by a full scan at once.
-MOST_SETS, HOT, HELD, SCANNED = 8192, 1 << 14, 1 << 16, 512
+#: (once a table) a task holds, about; queries that a task of the scan holds, about.
+MOST_SETS, HOT, HELD, SCANNED = 8192, 1 << 14, 1 << 16, 1 << 14
 
 
 def perturbations(k: int, most: int) -> list[tuple[int, ...]]:
@@ -117,6 +116,18 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(1)
 
 
+def _slack(q: np.ndarray, norm: float) -> float:
+    """What two ways of summing a product of ``q`` with a vector of the largest norm can differ by, and more."""
+    return 4 * len(q) * np.finfo(np.float64).eps * float(np.linalg.norm(q)) * norm
+
+
+def _among(rough: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of all that could be among the ``k`` best, however the sums were rounded, so that ties are told by ids."""
+    if len(rough) <= k:
+        return np.arange(len(rough))
+    return np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack)
+
+
 def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` the ``k`` rows of largest inner
     product found among all others, in double precision.
@@ -124,8 +135,8 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     Vectors that are null, zero or hold a null or a component that isn't finite take no part, nor do those of another
     length than most; rows without an id neither. Rows equal in id and vector count once. Up to ``BUCKET`` vectors all
     are candidates. A bucket holds distinct vectors only; one with very many is dealt over several tasks, which its
-    queries all visit. Queries that meet too few vectors are answered by a scan of all. An empty table gives an empty
-    result; other columns are not looked at.
+    queries all visit. Queries that meet too few vectors are answered by a scan of all, in one job. An empty table gives
+    an empty result; other columns, whatever their names, are not looked at.
     """
     spark = table.sparkSession
     v = F.col(vector_col).cast("array<double>")
@@ -207,9 +218,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
             for b, own in owners.items():
                 rough = q[own] @ x[members[b]].T
                 for r, s in zip(own, rough):
-                    # all that could be among the best, however the sums were rounded, so that ties are told by ids
-                    least = np.partition(s, len(s) - keep)[len(s) - keep] if len(s) > keep else s.min()
-                    met[r].append(members[b][s >= least - 1e-9 * max(1.0, abs(least))])
+                    met[r].append(members[b][_among(s, keep, _slack(q[r], norm))])
             for r, parts in enumerate(met):
                 if parts:
                     c = np.concatenate(parts)
@@ -223,7 +232,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     merged = common.written(queries.join(merged, queries.v == merged.q, "left").select(F.col("v").alias("q"), "found"), "found")
     few = merged.where(f"found is null or size(found) < {keep}").select("q")
     if hashes.k and few.limit(1).count():
-        merged = merged.join(few, "q", "left_anti").unionByName(_scanned(distinct, few, dim, keep))
+        merged = merged.join(few, "q", "left_anti").unionByName(_scanned(distinct, few, n, norm, dim, keep))
     asked = packed.where(F.size("asked") > 0).select("v", F.explode("asked").alias("query_id")).distinct()
     answers = asked.join(merged, asked.v == merged.q, "left").select("query_id", F.posexplode(F.slice(F.filter("found", lambda f: f["i"] != F.col("query_id")), 1, k)).alias("p", "f"))
     return answers.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.i").alias("vec_id"), (-F.col("f.s")).alias("score"))
@@ -284,20 +293,29 @@ def _nearest_of(distinct: DataFrame, q: np.ndarray, k: int) -> list[tuple[int, n
     return [(r["q"], np.frombuffer(b"".join(bytes(b["v"]) for b in r["b"]), np.float64).reshape(-1, q.shape[1])) for r in best]
 
 
-def _scanned(distinct: DataFrame, few: DataFrame, dim: int, keep: int) -> DataFrame:
-    """(q, found) of the vectors ``few`` by comparing them with all, ``SCANNED`` at a time."""
-    out, rows = None, few.orderBy("q").toLocalIterator()
-    while part := [bytes(r["q"]) for r in itertools.islice(rows, SCANNED)]:
-        q = np.frombuffer(b"".join(part), np.float64).reshape(-1, dim)
-
-        def run(batches: Iterator[pa.RecordBatch], q: np.ndarray = q, part: list[bytes] = part) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, ids = _matrix(batch.column(0), dim), batch.column(1).to_pylist()
-                found = [[{"s": s, "i": i} for s, i in _best(_exact(row, x), ids, keep)] for row in q] if len(x) else []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(found, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))], ["q", "found"])
+def _scanned(distinct: DataFrame, few: DataFrame, n: int, norm: float, dim: int, keep: int) -> DataFrame:
+    """(q, found) of the vectors ``few`` by comparing them with all ``n`` in one job: groups of about ``SCANNED`` queries
+    meet parts of about ``HELD`` vectors, each meeting keeps its best, and these are merged in two steps."""
+    parts = max(common.shards(distinct.sparkSession), n // HELD)
+    groups = max(1, few.count() // SCANNED)
 
-        met = distinct.select("v", "ids").mapInArrow(run, "q binary, found array<struct<s:double,i:long>>")
-        met = common.written(met.groupBy("q").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep).alias("found")), "scanned")
-        out = met if out is None else out.unionByName(met)
-    return out
+    def meet(held: pa.Table, asked: pa.Table) -> pa.Table:
+        out_q, out, part = [], [], 0
+        if held.num_rows and asked.num_rows:
+            part = held["part"][0].as_py()
+            x, ids = _matrix(held["v"].combine_chunks(), dim), held["ids"].to_pylist()
+            names = asked["q"].to_pylist()
+            q = _matrix(asked["q"].combine_chunks(), dim)
+            for first in range(0, len(q), 64):
+                for row, rough in enumerate(q[first : first + 64] @ x.T, first):
+                    c = _among(rough, keep, _slack(q[row], norm))
+                    out_q.append(names[row])
+                    out.append([{"s": s, "i": i} for s, i in _best(_exact(q[row], x[c]), [ids[j] for j in c], keep)])
+        return pa.table({"part": pa.array(np.full(len(out_q), part % 64, np.int32)), "q": pa.array(out_q, pa.binary()), "found": pa.array(out, pa.list_(pa.struct([("s", pa.float64()), ("i", pa.int64())])))})
+
+    numbers = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    held = distinct.select(F.pmod(F.crc32("v"), F.lit(parts)).cast("int").alias("part"), numbers(groups).alias("group"), "v", "ids")
+    asked = few.select(numbers(parts).alias("part"), F.pmod(F.crc32("q"), F.lit(groups)).cast("int").alias("group"), "q")
+    met = held.groupBy("part", "group").cogroup(asked.groupBy("part", "group")).applyInArrow(meet, "part int, q binary, found array<struct<s:double,i:long>>")
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep).alias("found")
+    return common.written(met.groupBy("q", "part").agg(best).groupBy("q").agg(best), "scanned")

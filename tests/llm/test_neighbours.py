@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import neighbours
 
@@ -71,3 +72,19 @@ def test_split_buckets_and_scans_give_all(spark, monkeypatch):
     got = answers(table)
     assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_scan_equals_brute_force_over_groups_and_parts(spark, monkeypatch):
+    # every query is scanned: four groups of queries meet parts of the vectors; norms are large and products small
+    monkeypatch.setattr(neighbours, "SCANNED", 10)
+    monkeypatch.setattr(neighbours, "HELD", 40)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((400, 6)) * 1e6
+    x[1::2] = x[0] * 0 + rng.integers(-2, 3, (200, 6))
+    rows = [(x[i].tobytes(), [i]) for i in range(400)]
+    distinct = spark.createDataFrame(rows, "v binary, ids array<long>").groupBy("v").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    few = spark.createDataFrame([(x[i].tobytes(),) for i in range(0, 400, 10)], "q binary")
+    got = {bytes(r.q): [(f.s, f.i) for f in r.found] for r in neighbours._scanned(distinct, few, 400, float(np.linalg.norm(x, axis=1).max()), 6, 21).collect()}
+    assert len(got) == 40
+    for i in range(0, 400, 10):
+        assert got[x[i].tobytes()] == sorted((-float((y * x[i]).sum()), j) for j, y in enumerate(x))[:21]
