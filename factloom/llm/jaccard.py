@@ -49,7 +49,26 @@ def _fingerprints(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False, with_key: bool = False, with_common: bool = False) -> DataFrame:
+def fingerprints(bits: int = 64, shared: tuple[int, ...] = ()):
+    """How sets are named: by ``bits`` of their first fingerprint, or where that is among ``shared`` by their second."""
+    low = np.uint64((1 << bits) - 1)
+
+    def name(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fp, fp2 = _fingerprints(values, counts)
+        fp = (fp.view(np.uint64) & low).view(np.int64)
+        return np.where(np.isin(fp, np.array(shared, np.int64)), fp2, fp) if shared else fp, fp2
+
+    return name
+
+
+def shared_fingerprints(info: DataFrame) -> tuple[int, ...]:
+    """First fingerprints that sets with different second ones have. Of n sets about n^2 / 2^65 do (three of 10^10, some
+    27000 of 10^12), so they can be sent to all tasks."""
+    seen = info.where("n > 0").groupBy("fp").agg(F.min("fp2").alias("low"), F.max("fp2").alias("high"))
+    return tuple(r.fp for r in seen.where("low <> high").select("fp").collect())
+
+
+def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col: str = "text", with_set: bool = False, with_key: bool = False, with_common: bool = False, name=_fingerprints) -> DataFrame:
     """(id, n, fp, fp2): size and fingerprints of each row's shingle set, and with ``with_set`` its sorted hashes, with
     ``with_key`` the ``text_key`` of its text. With ``with_common`` the last row of each block has in ``common`` the
     hashes of the shingles that a 64th of the block's texts have (two at least) and their numbers of texts."""
@@ -91,7 +110,7 @@ def shingle_sets(docs: DataFrame, n_words: int, id_col: str = "doc_id", text_col
             for a, b in words.slices(texts):
                 values, counts = words.shingle_sets(texts[a:b], n_words)
                 also(values, counts)
-                fp, fp2 = _fingerprints(values, counts)
+                fp, fp2 = name(values, counts)
                 out = [batch.column(0).slice(a, b - a), pa.array(counts.astype(np.int64)), pa.array(fp), pa.array(fp2)]
                 if with_set:
                     first = np.cumsum(counts) - counts
@@ -120,7 +139,7 @@ def frequent_shingles(info: DataFrame, n_texts: int) -> np.ndarray:
     return np.sort(np.array([r.shingle for r in found.select("shingle").collect()], np.int64).view(np.uint64))
 
 
-def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str, frequent: np.ndarray) -> DataFrame:
+def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col: str, frequent: np.ndarray, name=_fingerprints) -> DataFrame:
     """(token, fp, n, pos, prior, marks): the prefix places of each set that other sets have too. Shingles that no
     other set has take the first places of a set, ``frequent`` ones the last; ``prior`` are up to PRIOR tokens just before this one, ``marks`` the
     parities of the hashed tokens after it in 64 * MARKS cells."""
@@ -140,7 +159,7 @@ def _postings(docs: DataFrame, n_words: int, percent: int, total: int, text_col:
         def flush():
             counts = np.concatenate([c for _, c in held])
             values = np.concatenate([v for v, _ in held])
-            fp, _ = _fingerprints(values, counts)
+            fp, _ = name(values, counts)
             owner = np.repeat(np.arange(len(counts), dtype=np.uint32), counts)
             order = np.argsort(values)
             values, owner = values[order] >> drop, owner[order]
@@ -318,31 +337,36 @@ def _apart_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """(id, n_shingles, component_id) of each row: documents link when 100 * intersection >= percent * union of their
     ``n_words`` shingle sets, and component_id is the smallest id reachable.
 
     Texts without words (and nulls) have no shingles and stand alone; a shorter text has its whole sequence as its one
-    shingle; equal rows are one set; null ids get the component of their set. Sets are held as 64-bit hashes.
+    shingle; equal rows are one set; null ids get the component of their set. Sets are held as 64-bit hashes of shingles and told apart by two
+    fingerprints: named by ``bits`` of the first, and by the second where two different sets have one name.
     """
-    info, named = _components(docs, n_words, percent, id_col, text_col)
+    info, named = _components(docs, n_words, percent, id_col, text_col, bits)
     rows = info.join(named, (info.fp == F.col("__fp")) & (info.n > 0), "left")
     return rows.select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
 
 
-def _components(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _components(docs: DataFrame, n_words: int, percent: int, id_col: str, text_col: str, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """The rows' sets (id, n, fp, key), and (__fp, component, component_id) of each set."""
     docs = docs.select(F.col(id_col), F.col(text_col))
-    info = common.written(shingle_sets(docs, n_words, id_col, text_col, with_key=True, with_common=True), "sets")
+    info = common.written(shingle_sets(docs, n_words, id_col, text_col, with_key=True, with_common=True, name=fingerprints(bits)), "sets")
+    shared = shared_fingerprints(info)
+    name = fingerprints(bits, shared)
+    if shared:
+        info = info.withColumn("fp", F.when(F.col("fp").isin(*shared), F.col("fp2")).otherwise(F.col("fp")))
     total, n_texts = info.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
-    postings = common.written(_postings(docs, n_words, percent, total or 0, text_col, frequent_shingles(info, n_texts)), "postings")
+    postings = common.written(_postings(docs, n_words, percent, total or 0, text_col, frequent_shingles(info, n_texts), name), "postings")
     wanted = postings.select("fp").distinct()
     # the row of the smallest id, and one without an id where there is no other
     first = info.where("n > 0").groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "key")).alias("f")).select("fp", F.col("f.id").alias("first"), "f.key")
     wanted = common.written(first.join(wanted, "fp", "left_semi").select(F.col("first").alias("__first"), F.col("key").alias("__key")).distinct(), "wanted")
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     chosen = docs.join(ids, (text_key(text_col) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
-    sets = common.written(shingle_sets(chosen, n_words, id_col, text_col, with_set=True).dropDuplicates(["fp"]).select("fp", "hashes"), "hashes")
+    sets = common.written(shingle_sets(chosen, n_words, id_col, text_col, with_set=True, name=name).dropDuplicates(["fp"]).select("fp", "hashes"), "hashes")
     classes, checked, links = None, None, None
     for turn in range(LEADER_ROUNDS + 1):
         apart = _labelled(postings, classes)

@@ -30,8 +30,8 @@ def _brute(texts: dict[int, str], n_words: int, percent: int) -> dict[int, int]:
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("rounds, frequent", [(0, 4096), (1, 4096), (1, 20), (0, 1)])
-def test_families_equal_brute_force(spark, monkeypatch, rounds, frequent):
+@pytest.mark.parametrize("rounds, frequent, bits", [(0, 4096, 64), (1, 4096, 64), (1, 20, 64), (0, 1, 64), (1, 4096, 12)])
+def test_families_equal_brute_force(spark, monkeypatch, rounds, frequent, bits):
     monkeypatch.setattr(jaccard, "LEADER_ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     rng, texts = random.Random(5), {}
@@ -43,11 +43,22 @@ def test_families_equal_brute_force(spark, monkeypatch, rounds, frequent):
                 copy[rng.randrange(len(copy))] = f"w{rng.randrange(200)}"
             texts[len(texts)] = " ".join(copy)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 3, 80).collect()}
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 3, 80, bits=bits).collect()}
     assert got == _brute(texts, 3, 80)
     assert 4 < len(set(got.values())) < len(got)
 
 
+def test_different_sets_of_one_fingerprint_are_told_by_the_second(spark):
+    # with 3 bits nearly all 40 sets share a name; without the second fingerprint these would be at most 8 classes
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(10))) for i in range(40)]
+    rows += [(100 + i, t) for i, t in rows[:5]] + [(200, ""), (201, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    info = jaccard.shingle_sets(docs, 2, name=jaccard.fingerprints(3))
+    assert len(jaccard.shared_fingerprints(info)) > 4 and jaccard.shared_fingerprints(jaccard.shingle_sets(docs, 2)) == ()
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs, 2, 80, bits=3).collect()}
+    assert got == {i: i - 100 if 100 <= i < 200 else i for i, _ in rows}
+
+
 def test_sets_without_an_id_link_and_bridge(spark):
     base = [f"w{i}" for i in range(60)]
     near = lambda a, b: " ".join([*(f"x{i}" for i in range(a)), *base[a : 60 - b], *(f"y{i}" for i in range(b))])
