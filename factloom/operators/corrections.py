@@ -76,6 +76,25 @@ def effective_action(action: Column) -> Column:
     return F.coalesce(F.nullif(action, F.lit("")), F.lit("accept"))
 
 
+#: The actions that a decision on aliases may name.
+ACTIONS = ("accept", "merge", "veto", "split")
+
+
+def alias_decisions(corrections: DataFrame) -> DataFrame:
+    """(cluster, members, status, action, canonical, split_groups, refused) of alias corrections (cluster, members, status,
+    overrides as JSON): what the overrides leave out, or set to null, is the default, which accepts what was inferred, hints at no
+    canonical name and splits nothing; further keys are passed over.
+
+    ``refused`` tells what is wrong, the first of "members" (none), "overrides" (no JSON object) and "action" (an
+    unknown one, also an empty one), and is null for those to apply. Null or blank overrides are the defaults.
+    """
+    own = F.from_json("overrides", "action string, canonical string, split_groups array<array<string>>, broken string", {"columnNameOfCorruptRecord": "broken"})
+    rows = corrections.withColumn("__own", own)
+    refused = F.when(F.coalesce(F.size("members"), F.lit(0)) <= 0, "members").when(F.col("__own.broken").isNotNull(), "overrides").when(~F.col("__own.action").isin(*ACTIONS), "action")
+    groups = F.coalesce("__own.split_groups", F.expr("cast(array() as array<array<string>>)"))
+    return rows.select("cluster", "members", "status", F.coalesce("__own.action", F.lit("accept")).alias("action"), F.col("__own.canonical").alias("canonical"), groups.alias("split_groups"), refused.alias("refused"))
+
+
 def merge_operations(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cluster, part, canonical, sources, warning) of decisions to merge or split: of the members in the graph the
     hinted canonical one, or the one picked, takes up the others; fewer than two present give no operation.

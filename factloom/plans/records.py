@@ -259,3 +259,23 @@ def extraction_prepared(spark, d):
     bodies = docs.where("doc_id % 5 = 0").select(F.concat(F.lit("p"), n).alias("path"), F.concat(F.lit("body of "), n).alias("body"))
     hints = F.when(F.col("metadata")["even"] == "true", F.array_sort("tags")).otherwise(F.array().cast("array<string>"))
     return C.prepared(rows, fixes, bodies, hints).select("document_id", F.sha2("body", 256).alias("body"), "overlaid", "focused")
+
+
+@query("""
+with c as (select c_custkey, c_name, case c_custkey % 6 when 1 then '{}' when 2 then '{"action": "merge", "canonical": "' || c_name || '"}'
+  when 3 then '{"action": "split", "split_groups": [["a", "b"], ["c"]]}' when 4 then '{"action": "drop"}' when 5 then '{"action"' end as o from customer),
+j as (select c_custkey, c_name, o is not null and not json_valid(o) as broken, case when json_valid(o) then o end as o from c),
+k as (select *, json_extract_string(o, '$.action') as a from j)
+select cast(c_custkey as varchar) as cluster, coalesce(a, 'accept') as action, json_extract_string(o, '$.canonical') as canonical,
+  cast(coalesce(json_array_length(o, '$.split_groups'), 0) as bigint) as n_groups,
+  case when c_custkey % 7 = 0 then 'members' when broken then 'overrides' when a not in ('accept', 'merge', 'veto', 'split') then 'action' end as refused
+from k""")
+def alias_decisions(spark, d):
+    """Overrides of alias corrections with their defaults, and what is refused of them."""
+    n, name = F.col("c_custkey"), F.col("c_name")
+    merge = F.concat(F.lit('{"action": "merge", "canonical": "'), name, F.lit('"}'))
+    split = '{"action": "split", "split_groups": [["a", "b"], ["c"]]}'
+    own = F.when(n % 6 == 1, "{}").when(n % 6 == 2, merge).when(n % 6 == 3, split).when(n % 6 == 4, '{"action": "drop"}').when(n % 6 == 5, '{"action"')
+    members = F.when(n % 7 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(name))
+    rows = table(spark, d, "customer").select(TEXT("c_custkey").alias("cluster"), members.alias("members"), F.lit("reviewed").alias("status"), own.alias("overrides"))
+    return C.alias_decisions(rows).select("cluster", "action", "canonical", F.size("split_groups").cast("long").alias("n_groups"), "refused")
