@@ -42,8 +42,11 @@ def _path(df: DataFrame, label: str, dry_run: bool) -> str | None:
 
 
 def one_edge_each(edges: DataFrame) -> DataFrame:
-    """Each undirected edge once, with the columns of one of its rows."""
-    return edges.withColumns({"__a": F.least("src", "tgt"), "__b": F.greatest("src", "tgt")}).dropDuplicates(["__a", "__b"]).drop("__a", "__b")
+    """Each undirected edge once, with the columns of its first row as JSON has them, so that a plan that reads the edges
+    twice has the same rows."""
+    ends = (F.least("src", "tgt").alias("__a"), F.greatest("src", "tgt").alias("__b"))
+    row = F.struct(*edges.columns)
+    return edges.groupBy(*ends).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
 
 
 def post_process(nodes: DataFrame, edges: DataFrame, legal: list[str], dry_run: bool = False) -> tuple[DataFrame, str | None]:

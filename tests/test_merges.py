@@ -91,3 +91,10 @@ def test_reports_and_dry_runs(spark):
     assert {r.description for r in spark.read.parquet(f"{path}/edges").collect()} == {"[sourced: 2024-01-02] links", "x"}
     empty = R.annotate(about.limit(0), lines.limit(0), dates, dry_run=True)
     assert empty[0].first().asDict() == {"nodes_annotated": 0, "edges_annotated": 0, "dry_run": True} and empty[1] is None
+
+
+def test_an_edge_is_the_same_row_however_the_rows_come(spark):
+    rows = [("b", "a", "x", [1]), ("a", "b", "y", [2]), ("c", "d", "z", None), ("d", "c", "z", [3]), ("e", "e", None, [])]
+    # another order for each reading, as shuffles between executors have it
+    both = [sorted(map(tuple, R.one_edge_each(spark.createDataFrame(r, "src string, tgt string, path string, ids array<int>").coalesce(1)).collect())) for r in (rows, rows[::-1])]
+    assert both[0] == both[1] and [(r[0], r[1]) for r in both[0]] == [("a", "b"), ("c", "d"), ("e", "e")]
