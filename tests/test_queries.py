@@ -1,3 +1,4 @@
+import datetime
 import re
 import unicodedata
 
@@ -29,3 +30,11 @@ def test_every_hundredth_vector_is_searched(spark, tmp_path):
     assert [(r.question_id, r.vec_id, r.rank) for r in got] == want
     one = queries.FOUND["vector_topk"](spark, str(tmp_path)).orderBy("rank").collect()
     assert [(r.vec_id, r["rank"]) for r in one] == [(j, r) for q, j, r in want if q == 0]
+
+
+def test_dates_are_found_behind_words_that_a_cut_makes_disqualifying(spark, tmp_path):
+    texts = ["x euxené" + "y" * n + "." for n in range(30, 40)] + ["aienré mariés né"]
+    rows = [(5 * i + 2, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.FOUND["document_date"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.day for r in got} == {i: str(datetime.date(2001, 1, 1) + datetime.timedelta(i)) for i, _ in rows}
