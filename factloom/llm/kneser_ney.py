@@ -164,22 +164,24 @@ def _reduce_level(level: int, folder: str, shards: int):
             return _table(out, pa.Table)
         shard = rows[0]["shard"]
         grams, count, raw = _unpacked_entries(rows)
-        key = grams[0] if level == 1 else (words.combined(grams[:-1]) >> WORD_BITS << WORD_BITS) | (words.mix(grams[-1]) & WORD_MASK)
-        first, c, raw = _distinct(key, count, raw)
-        k, grams = key[first], [g[first] for g in grams]
-        arrays = {"key": k, "count": packing.narrow(c)}
+        # counted by all bits of its words: the 30 of a key that are the word's are shared by some words of a large context
+        first, c, raw = _distinct(grams[0] if level == 1 else words.combined(grams), count, raw)
+        grams = [g[first] for g in grams]
         if level == 1:
-            arrays["raw"] = packing.narrow(raw)
+            arrays = {"key": grams[0], "count": packing.narrow(c), "raw": packing.narrow(raw)}
         else:
+            key = (words.combined(grams[:-1]) >> WORD_BITS << WORD_BITS) | (words.mix(grams[-1]) & WORD_MASK)
+            at, same = _distinct(key, c)
+            k = key[at]
             context = k >> WORD_BITS
             starts = np.flatnonzero(np.diff(context, prepend=~context[:1]))
             large = np.diff(np.append(starts, len(k))) > SMALL
-            sums = {"total": c} | {f"n{j}": (c == j if j < 3 else c >= 3).astype(np.int64) for j in (1, 2, 3)}
-            arrays |= {"context": context[starts][large]} | {n: packing.narrow(np.add.reduceat(x, starts)[large]) for n, x in sums.items()}
-            rest, seen, total = _distinct(words.combined(grams[1:]), np.ones(len(k), np.int64), raw)
+            sums = {"total": same} | {f"n{j}": (same == j if j < 3 else same >= 3).astype(np.int64) for j in (1, 2, 3)}
+            arrays = {"key": k, "count": packing.narrow(same), "context": context[starts][large]} | {n: packing.narrow(np.add.reduceat(x, starts)[large]) for n, x in sums.items()}
+            rest, seen, total = _distinct(words.combined(grams[1:]), np.ones(len(c), np.int64), raw)
             out += _packed_entries([g[rest] for g in grams[1:]], seen, total, shards)
         name = _save(folder, f"{level}-{shard}", **arrays)
-        out.append((shard, None, None, None, None, [level, shard, *(int((c == j).sum()) for j in (1, 2, 3, 4)), len(k), int(c.sum()), int(raw.sum())], name))
+        out.append((shard, None, None, None, None, [level, shard, *(int((c == j).sum()) for j in (1, 2, 3, 4)), len(c), int(c.sum()), int(raw.sum())], name))
         return _table(out, pa.Table)
 
     return run

@@ -18,6 +18,7 @@ _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)
 _PLAIN = _BYTE.copy()
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _powers = np.ones(1, np.uint64)
+_places = np.ones(0, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -38,6 +39,14 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def places(n: int) -> np.ndarray:
+    """A factor for each place of a word, unlike powers of one number without a rule that long words could follow."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(1, max(n, 2 * len(_places), 256) + 1, dtype=np.uint64) * _ODD[0])
+    return _places[:n]
+
+
 def as_bytes(column) -> list[bytes]:
     """The values of an Arrow string or binary column as bytes, nulls as empty."""
     return [b"" if x is None else x if isinstance(x, bytes) else x.encode() for x in column.to_pylist()]
@@ -69,7 +78,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(lengths) - lengths
     body = buf[inside]
     offset = np.arange(len(body)) - np.repeat(first, lengths)
-    h = np.add.reduceat(_BYTE[body] * powers(int(lengths.max()))[offset], first)
+    h = np.add.reduceat(_BYTE[body] * places(int(lengths.max()))[offset], first)
     return mix(h + lengths.astype(np.uint64) * _ODD[1]), counts
 
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -162,3 +163,24 @@ def test_corpus_scores(spark, monkeypatch):
     assert none.count() == 0
     untrained = kneser_ney.score(docs, kneser_ney.train(docs.limit(0), 3))
     assert {r.n_known for r in untrained.collect()} == {0}
+
+
+def test_many_words_after_one_and_words_made_alike_are_told_apart(spark):
+    n = 50_000
+    morse = "a"
+    while len(morse) < 4096:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    # only id 19 is held out
+    rows = [(i, " ".join(f"the w{i * n + k}" for k in range(n))) for i in (0, 1, 2, 4)] + [(12, morse), (19, other)]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    count = Counter(w for i, t in rows if not held[i] for w in [*t.split(), None])
+    total, types = count.total(), len(count)
+    got = {r.doc_id: r for r in kneser_ney.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, _ in rows if held[i]] == [19]
+    for i, t in rows:
+        tokens = [*t.split(), None]
+        base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (types + 1))) for w in tokens)
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens), sum(count[w] > 0 for w in tokens), total)
+        assert r.base_score == pytest.approx(base, rel=1e-12)
