@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from . import common, kneser_ney
 
-#: Trusted documents that the model learns from, at most, shared evenly by the languages; all others set thresholds.
-SAMPLE = 8000
 #: Values from which a language has a threshold of its own; with fewer it is never stricter than that of all.
 LEAST = 200
 #: Trusted ids are broadcast up to this number and joined by a shuffle beyond it.
@@ -28,16 +26,19 @@ def _share(counts: list[int], sample: int) -> int:
     return sample
 
 
-def trusted_ids(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """Ids of the at most ``sample`` trusted documents to train on, and of all other trusted ones, for thresholds.
+def trusted_ids(docs: DataFrame, labels: DataFrame, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Ids of the trusted documents to train on, and of all other trusted ones, for thresholds.
 
     Trusted: labelled quality 1 and not toxic, with no other label. About half of each language's, by a seeded hash,
-    may be trained on; of those each language gives the ones of smallest hash, as many as an even share has.
+    are trained on. With ``sample`` no more than so many are: each language gives those of smallest hash, as many as an
+    even share has.
     """
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0 and doc_id is not null")
     ids = trusted.select("doc_id").join(docs.groupBy("doc_id").agg(F.min("lang").alias("lang")), "doc_id")
     ids = common.written(ids.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("h")), "trusted")
     able = ids.where("pmod(h, 2) = 1")
+    if sample is None:
+        return able.select("doc_id"), ids.where("pmod(h, 2) = 0").select("doc_id")
     counts = able.groupBy("lang").count()
     share = _share([r["count"] for r in counts.collect()], sample)  # a number a language
     # hashes far above the share-th smallest needn't be sorted
@@ -68,7 +69,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
 ADDED = ("n_tokens", "log_ppl", "threshold", "keep")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sample: int | None = None, order: int = ORDER) -> DataFrame:
     """``docs`` with n_tokens, log_ppl, threshold and keep; columns of these names are replaced.
 
     A document is kept while its perplexity is within its language's threshold; one without words is not. Null or
@@ -78,10 +79,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sam
     """
     docs = docs.select(*(c for c in docs.columns if c not in ADDED))
     train, held_out = trusted_ids(docs, labels, sample)
-    # a model of at most ``sample`` documents, so few shards; each is joined to every block of documents in turn
-    model = kneser_ney.train(docs.select("doc_id", "text").join(F.broadcast(train), "doc_id", "left_semi"), order, shards=8)
-    ids = F.broadcast(held_out) if held_out.count() <= BROADCAST_IDS else held_out
-    rest = docs.select("doc_id", "text", "lang").join(ids, "doc_id", "left_semi")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # a model of few documents has few shards, as each is joined to every block of documents in turn
+    model = kneser_ney.train(docs.select("doc_id", "text").join(small(train), "doc_id", "left_semi"), order, shards=8 if sample else None)
+    rest = docs.select("doc_id", "text", "lang").join(small(held_out), "doc_id", "left_semi")
     limits = common.written(thresholds(with_perplexity(rest, model), quantile), "thresholds")  # one row a language
     own = F.broadcast(limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.col("most").alias("__own")))
     rest = limits.where("lang is null").agg(F.max("most").alias("__rest"))

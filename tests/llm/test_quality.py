@@ -24,3 +24,11 @@ def test_thresholds_of_rare_languages_come_from_all_their_trusted_texts(spark):
         assert np.mean([got[i].keep for i in ids[l]]) >= 0.98
     pooled = np.quantile([round(got[r.doc_id].log_ppl, 4) for r in held], quality.QUANTILE)
     assert got[3500].threshold >= pooled - 1e-9 and not got[9000].keep
+
+
+def test_half_of_all_trusted_texts_is_trained_on_and_the_rest_sets_thresholds(spark):
+    n = 20_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('w', id % 7) as text", "if(id % 4 = 0, 'en', 'sw') as lang")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    train, held = (x.agg({"doc_id": "count"}).first()[0] for x in quality.trusted_ids(docs, labels))
+    assert train + held == n and abs(train - n / 2) < n / 50
