@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
-from itertools import groupby
+from itertools import chain, groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import money
 from .dates import MONTHS
 from .facts import GROUP, content_id
-from .packs import extract_structured
 
 #: What rows that are no transactions begin with, and how kinds of documents are told.
 SKIPPED = ("SOLDE ", "TOTAL DES OPERATIONS")
@@ -89,31 +91,49 @@ def _body(table: list[list[str]]) -> list[list[str]]:
     return table[next(heads, len(table)) + 1 :]
 
 
+def statement_rows(content: str | None) -> Iterator[tuple]:
+    """The transactions of a statement, as the fields of RECORD, numbered from 0: rows below the header of a table, as
+    long as lines are rows, that have a date of the period, a description and a debit or a credit. A text without a
+    period has none, and rows that don't parse are left out."""
+    during = period(content) if content else None
+    if during is None:
+        return
+    account, n = rib(content), 0
+    for is_table, lines in groupby(content.splitlines(), lambda line: line.lstrip().startswith("|")):
+        rows = [c for c in map(cells, lines) if any(x and not _SEPARATOR.fullmatch(x) for x in c)] if is_table else []
+        for day, text, value_day, debit, credit in (r[:5] for r in _body(rows) if len(r) >= 5):
+            when, debit, credit = day_in(day, during), amount(debit), amount(credit)
+            one = (debit is None) != (credit is None)
+            if when and text and not text.upper().startswith(SKIPPED) and one and (debit if credit is None else credit) >= 0:
+                yield n, when, day_in(value_day, during) or when, text, debit, credit, account
+                n += 1
+
+
 @F.udtf(returnType=RECORD, useArrow=False)
 class StatementRows:
-    """The transactions of a statement, numbered from 0: rows below the header of a table, as long as lines are rows,
-    that have a date of the period, a description and a debit or a credit. A text without a period has none, and rows
-    that don't parse are left out."""
+    """``statement_rows`` as a row generator."""
 
     def eval(self, content: str):
-        during = period(content) if content else None
-        if during is None:
-            return
-        account, n = rib(content), 0
-        for is_table, lines in groupby(content.splitlines(), lambda line: line.lstrip().startswith("|")):
-            rows = [c for c in map(cells, lines) if any(x and not _SEPARATOR.fullmatch(x) for x in c)] if is_table else []
-            for day, text, value_day, debit, credit in (r[:5] for r in _body(rows) if len(r) >= 5):
-                when, debit, credit = day_in(day, during), amount(debit), amount(credit)
-                one = (debit is None) != (credit is None)
-                if when and text and not text.upper().startswith(SKIPPED) and one and (debit if credit is None else credit) >= 0:
-                    yield n, when, day_in(value_day, during) or when, text, debit, credit, account
-                    n += 1
+        yield from statement_rows(content)
+
+
+_ARROW = (pa.int32(), pa.date32(), pa.date32(), pa.string(), pa.decimal128(18, 2), pa.decimal128(18, 2), pa.string())
+
+
+def _batches_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch of transactions for each of (document_id, content)."""
+    for batch in batches:
+        found = [[*statement_rows(text)] for text in batch.column(1).to_pylist()]
+        ids = batch.column(0).take(pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64()))
+        columns = [*zip(*chain.from_iterable(found))] or [()] * len(_ARROW)
+        yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns, _ARROW)], ["document_id", *(f.split()[0] for f in RECORD.split(", "))])
 
 
 def transactions(docs: DataFrame) -> DataFrame:
     """(source_doc_id, row, date, value_date, description, debit, credit, amount, direction, category, account_rib) of
-    the statements ``docs`` (document_id, content), as ``StatementRows`` finds them."""
-    rows = extract_structured(docs.where(F.coalesce("document_id", F.lit("")) != "").select("document_id", "content"), StatementRows, "content")
+    the statements ``docs`` (document_id, content), as ``statement_rows`` finds them, a batch of documents at once."""
+    docs = docs.where(F.coalesce("document_id", F.lit("")) != "").select(F.col("document_id").cast("string"), F.col("content").cast("string"))
+    rows = docs.mapInArrow(_batches_of_rows, "document_id string, " + RECORD)
     return rows.select(
         F.col("document_id").alias("source_doc_id"), "row", "date", "value_date", "description", "debit", "credit",
         F.coalesce("debit", "credit").alias("amount"), money.direction(F.col("debit")).alias("direction"), money.category(F.col("description")).alias("category"), "account_rib")
@@ -146,7 +166,9 @@ def transaction_facts(rows: DataFrame) -> DataFrame:
 
 
 def transaction_nodes(rows: DataFrame) -> DataFrame:
-    """(name, entity_type, description, source_id) of the summaries, transactions, accounts and documents, each once."""
+    """(name, entity_type, description, source_id) of the summaries, transactions, accounts and documents, each once.
+    The rows are written once, as each of the four reads them."""
+    rows = written(rows.select("source_doc_id", "row", "date", "description", "amount", "direction", "category", "account_rib"), "transactions")
     total = rows.groupBy("source_doc_id", "direction", "category").agg(F.sum("amount").cast("decimal(38,2)").alias("total"), F.count(F.lit(1)).alias("n"))
     said = F.concat(F.lit("Bank statement aggregate: category "), "category", F.lit(" ("), "direction", F.lit("/"), F.when(F.col("direction") == "debit", "expense").otherwise("income"), F.lit(") totalling "), F.col("total").cast("string"),
                     F.lit(" EUR across "), F.col("n").cast("string"), F.lit(" transaction(s). Source document: "), "source_doc_id", F.lit("."))

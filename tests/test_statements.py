@@ -89,3 +89,19 @@ def test_categories(spark, text, category):
 @pytest.mark.parametrize("name,text,kind", [("RLV_1.pdf", "", "bank_statement"), ("Releve.pdf", None, "bank_statement"), ("x.pdf", "a\nreleve de compte", "bank_statement"), ("x.pdf", "a" * 2000 + "RELEVE DE COMPTE", None), (None, None, None)])
 def test_kinds(spark, name, text, kind):
     assert one(spark, S.kind(F.lit(name).cast("string"), F.lit(text).cast("string"))) == kind
+
+
+def test_nodes_parse_each_statement_once(spark):
+    parsed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    text = "RIB : 1 2\ndu 1 janvier 2024 au 31 janvier 2024\n| Date | Nature | Valeur | Débit | Crédit |\n| 02.01 | CARTE X | | 1,00 | |\n| 03.01 | VIR RECU | | | 2,50 |"
+    docs = spark.createDataFrame([("a", text), ("b", text), ("c", None), ("", text), ("d", "no period")], "document_id string, content string")
+    rows = S.transactions(docs.mapInArrow(counted, docs.schema))
+    found = sorted((r.entity_type, r.source_id) for r in S.transaction_nodes(rows).collect())
+    assert found == [("account", ""), ("document", "a"), ("document", "b"), ("transaction", "a"), ("transaction", "a"), *[("transaction_category", x) for x in "aabb"]]
+    assert parsed.value == 5
