@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import kept
+from ..session import written
 
 #: Types whose names may be merged, and types that say little (the last two are index nodes themselves).
 CLUSTERABLE = ("person", "organization", "location", "concept", "document")
 LOW_SIGNAL = ("amount", "date", "identifier")
 INDEX_TYPES = ("entity_profile", "catalog_index")
 MERGE_THRESHOLD = 0.85
+#: Entities of a word that travel together.
+TILE = 1024
 SHOWN_DOCUMENTS, SHOWN_MEMBER_DOCUMENTS, SHOWN_ENTITIES = 20, 8, 40
 
 
@@ -182,57 +188,122 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(F.col(a).cast("array<double>"), F.col(b).cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _scored(threshold: float):
+    """Pairs (a, b, score) of two tiles of entities: names are lexically equal, scores at least nearly ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column(0).to_pylist()
+            for r in range(batch.num_rows):
+                (x, nx, vx), (y, ny, vy) = (_unpacked(batch.column(c)[r].values, m[r]) for c in (1, 2))
+                kx, ky = (np.array([n.count(" ") for n in names]) for names in (nx, ny))
+                # a pair is met at the rarest word of the name with fewer words, one of equal names from its smaller id
+                i, j = np.nonzero((kx[:, None] < ky) | ((kx[:, None] == ky) & (x[:, None] < y)))
+                score = (vx @ vy.T)[i, j]
+                near = ~(score < threshold - 1e-4)  # not a number is the largest, as to Spark
+                i, j, score = i[near], j[near], score[near]
+                known: dict[tuple[str, str], bool] = {}
+                named = kx[i] == 0  # the one word of a name is the word they are met at
+                more = np.flatnonzero(~named)
+                named[more] = [_equal(nx[p], ny[q], known) for p, q in zip(i[more].tolist(), j[more].tolist())]
+                i, j, score = i[named], j[named], score[named]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i], y[j])), pa.array(np.maximum(x[i], y[j])), pa.array(score)], ["a", "b", "score"])
+
+    return run
+
+
+def _unpacked(rows: pa.StructArray, m: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    ids, names, vectors = rows.flatten()
+    return ids.to_numpy(zero_copy_only=False), names.to_pylist(), vectors.flatten().to_numpy().reshape(len(ids), m)
+
+
+def _equal(short: str, long: str, known: dict[tuple[str, str], bool]) -> bool:
+    """Whether the words of a normal name come in this order in another."""
+    if (short, long) not in known:
+        rest = iter(long.split(" "))
+        known[short, long] = all(w in rest for w in short.split(" "))
+    return known[short, long]
+
+
 def alias_edges(entities: DataFrame, threshold: float = MERGE_THRESHOLD, types: tuple[str, ...] | None = CLUSTERABLE) -> DataFrame:
     """(a, b, score) of entities (id, name, entity_type, embedding of unit length) of one type with lexically equal
     names and a cosine of ``threshold`` or more.
 
     All words of the name with fewer are in the other, so a pair is met at the rarest of them, by an equi-join on type
-    and word; no two entities without a word in common are ever compared.
+    and word; no two entities without a word in common are ever compared. Entities travel in tiles, a tile of one side
+    meets those of the other in a task, and only pairs that hold leave it.
     """
     rows = entities if types is None else entities.where(F.col("entity_type").isin(list(types)))
-    rows = rows.select("id", "entity_type", T.normal_name("name").alias("n")).where("n <> ''")
-    words = rows.select("id", "entity_type", "n", F.explode(F.array_distinct(F.split("n", " "))).alias("word"))
-    counted = words.join(words.groupBy("entity_type", "word").agg(F.count(F.lit(1)).alias("df")), ["entity_type", "word"])
-    rare = counted.groupBy("id", "entity_type", "n").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    few = rare.select(F.col("id").alias("x"), F.col("n").alias("nx"), "entity_type", "word")
-    met = few.join(words.select(F.col("id").alias("y"), F.col("n").alias("ny"), "entity_type", "word"), ["entity_type", "word"])
-    met = met.where((F.col("x") != F.col("y")) & (F.size(F.split("nx", " ")) <= F.size(F.split("ny", " "))) & T.equal_normal_names(F.col("nx"), F.col("ny")))
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    vectors = entities.select("id", "embedding")
-    both = met.join(vectors.withColumnsRenamed({"id": "a", "embedding": "__x"}), "a").join(vectors.withColumnsRenamed({"id": "b", "embedding": "__y"}), "b")
-    return both.withColumn("score", F.round(dot("__x", "__y"), 4)).where(F.col("score") >= threshold).select("a", "b", "score")
+    vector = F.col("embedding").cast("array<double>")
+    rows = rows.select("id", "entity_type", T.normal_name("name").alias("n"), vector.alias("v")).where((F.col("n") != "") & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+    words = rows.select("*", F.size("v").alias("m"), F.explode(F.array_distinct(F.split("n", " "))).alias("word"))
+    df = words.groupBy("entity_type", "word").agg(F.count(F.lit(1)).alias("df"))
+    words = words.join(df, ["entity_type", "word"]).withColumn("tiles", F.ceil(F.col("df") / TILE).cast("int"))
+    rare = words.groupBy("id", "entity_type", "n").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    key = ["entity_type", "word", "m", "tile"]
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    packed = lambda t, name: t.withColumn("tile", tile).groupBy(*key, "tiles").agg(F.collect_list(F.struct("id", "n", "v")).alias(name))
+    few = packed(words.join(rare, ["id", "entity_type", "n", "word"]), "few").drop("tiles")
+    every = packed(words, "every").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    met = few.join(every, key).select("m", "few", "every").mapInArrow(_scored(threshold), f"a {_kind(rows)}, b {_kind(rows)}, score double")
+    return met.withColumn("score", F.round("score", 4)).where(F.col("score") >= threshold)
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
+
+
+def _near(edges: DataFrame) -> DataFrame:
+    """(a, near): the sorted neighbours of each node that has any."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    return both.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("near"))
+
+
+def _with_all_edges(sets: DataFrame, pairs: DataFrame, n: Column, edges: DataFrame) -> DataFrame:
+    """Those of ``sets`` of which all ``n`` of the ``pairs`` (set, u, v) are edges."""
+    there = pairs.join(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"]).groupBy("set").agg(F.count(F.lit(1)).alias("__n"))
+    return sets.join(there, "set").where(F.col("__n") == n).drop("__n")
+
+
+def _cliques(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, members) of the nodes of ``near`` whose neighbours are all neighbours of each other, with these and itself.
+
+    All their neighbours have theirs too, so none has fewer. Nodes of the same members are looked at once. Members that
+    follow each other have to be neighbours, which hardly any set passes that doesn't have all edges; then all pairs.
+    """
+    least = near.select(F.explode("near").alias("a"), F.size("near").alias("d")).groupBy("a").agg(F.min("d").alias("d"))
+    able = near.join(least, "a").where(F.size("near") <= F.col("d"))
+    sets = able.groupBy(F.array_sort(F.array_append("near", F.col("a"))).alias("members")).agg(F.collect_list("a").alias("nodes"), F.min("a").alias("set"))
+    sets, size = written(sets, "sets"), F.size("members").cast("long")
+    follow = F.zip_with(F.slice("members", F.lit(1), F.size("members") - 1), F.slice("members", F.lit(2), F.size("members") - 1), lambda u, v: F.struct(u.alias("u"), v.alias("v")))
+    pairs = written(sets.select("set", F.inline(follow)), "pairs")
+    sets = written(_with_all_edges(sets, pairs, size - 1, edges), "sets")
+    pairs = sets.select("set", "members", F.posexplode("members").alias("at", "u")).select("set", "u", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("v"))
+    return _with_all_edges(sets, pairs, size * (size - 1) / 2, edges).select(F.explode("nodes").alias("a"), "members")
 
 
 def ambiguous(edges: DataFrame) -> DataFrame:
-    """Nodes with two neighbours that are no neighbours of each other: those in fewer triangles than all pairs of their
-    neighbours would make. Triangles are found from their end of lowest degree, so a hub doesn't pair its neighbours."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
-    ranked = edges.select("a", "b").join(degree.withColumnRenamed("d", "da"), "a").join(degree.select(F.col("a").alias("b"), F.col("d").alias("db")), "b")
-    low = F.struct("da", "a") < F.struct("db", "b")
-    out = ranked.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
-    wedges = out.join(out.withColumnRenamed("v", "w"), "u").where("v < w")
-    closed = wedges.join(edges.select(F.col("a").alias("v"), F.col("b").alias("w")), ["v", "w"])
-    triangles = closed.select(F.explode(F.array("u", "v", "w")).alias("a")).groupBy("a").agg(F.count(F.lit(1)).alias("t"))
-    rows = degree.join(triangles, "a", "left")
-    return rows.where(F.coalesce("t", F.lit(0)) < F.col("d") * (F.col("d") - 1) / 2).select(F.col("a").alias("name"))
+    """Nodes with two neighbours that are no neighbours of each other (edges from the smaller to the larger end)."""
+    edges = written(edges.select("a", "b"), "edges")
+    near = written(_near(edges), "near")
+    return near.join(_cliques(near, edges), "a", "left_anti").select(F.col("a").alias("name"))
 
 
 def ambiguous_groups(edges: DataFrame) -> DataFrame:
     """(members): each ambiguous node with all its neighbours, sorted, every such group once."""
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    rows = both.join(ambiguous(edges).withColumnRenamed("name", "a"), "a")
-    return rows.groupBy("a").agg(F.array_sort(F.array_append(F.collect_list("b"), F.first("a"))).alias("members")).select("members").distinct()
+    edges = written(edges.select("a", "b"), "edges")
+    near = written(_near(edges), "near")
+    return near.join(_cliques(near, edges), "a", "left_anti").select(F.array_sort(F.array_append("near", F.col("a"))).alias("members")).distinct()
 
 
 def alias_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, cluster): the smallest name among a node and its neighbours once ambiguous nodes are out, as what is left
     is transitive; ambiguous nodes stand alone."""
-    edges = kept(edges)
-    bad = ambiguous(edges)
-    both = edges.select("a", "b").union(edges.select("b", "a"))
-    safe = both.join(bad.select(F.col("name").alias("a")), "a", "left_anti").join(bad.select(F.col("name").alias("b")), "b", "left_anti")
-    least = safe.groupBy("a").agg(F.min("b").alias("m"))
+    edges = written(edges.select("a", "b"), "edges")
+    near = written(_near(edges), "near")
+    safe = written(_cliques(near, edges), "safe")
+    both = safe.select("a", F.explode("members").alias("b")).join(safe.select(F.col("a").alias("b")), "b", "left_semi")
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
     return nodes.join(least, nodes.name == least.a, "left").select("name", F.least("name", F.coalesce("m", "name")).alias("cluster"))
 
 

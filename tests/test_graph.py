@@ -126,3 +126,29 @@ def test_degrees(spark):
     assert tuple(G.isolation(nodes, edges).first()) == (3, 2, 1)
     stored, new = nodes, spark.createDataFrame([("a", "new"), ("z", "new")], "name string, entity_type string")
     assert {(r.name, r.entity_type) for r in G.upserted(stored, new, ["name"]).collect()} == {("a", "new"), ("b", "x"), ("c", ""), ("z", "new")}
+
+
+def test_dense_graphs_are_judged_without_pairing_all_neighbours(spark):
+    """Cliques that share nodes, two that are each other's only neighbours, and a circle of which only some are neighbours."""
+    cliques = [range(0, 30), range(28, 50), range(60, 62), range(70, 76)]
+    edges = {(a, b) for c in cliques for a, b in itertools.combinations(c, 2)} - {(70, 75), (71, 74)}
+    near = {v: {x for e in edges if v in e for x in e if x != v} for e in edges for v in e}
+    bad = {v for v, n in near.items() if any((min(x, y), max(x, y)) not in edges for x, y in itertools.combinations(n, 2))}
+    df = spark.createDataFrame(sorted(edges), "a long, b long")
+    found = G.ambiguous(df)
+    assert {r.name for r in found.collect()} == bad and 28 in bad and 60 not in bad
+    nodes = spark.range(80).select(F.col("id").alias("name"))
+    want = {v: min([v, *(n for n in near.get(v, ()) if not {v, n} & bad)]) for v in range(80)}
+    assert {r.name: r.cluster for r in G.alias_clusters(nodes, df).collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4  # no join of neighbours with neighbours
+
+
+def test_pairs_of_aliases_are_not_shuffled_and_tiles_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(G, "TILE", 7)  # read by the driver alone
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["Ana", "ana Bob", "bob ana", "Ana x Bob"]), "person", [rng.choice([1.0, -1.0, 0.25]), 0.5]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, name string, entity_type string, embedding array<float>")
+    got = G.alias_edges(df, 0.0)
+    assert sorted((r.a, r.b) for r in got.collect()) == sorted(plain_aliases(rows, 0.0)[0])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.strip().startswith(("Filter", "Project")) and "MapInArrow" in plan.split("Join")[0] and "Aggregate" not in plan.split("MapInArrow")[0]
