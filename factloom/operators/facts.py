@@ -74,12 +74,13 @@ def with_new_conflicts(stored: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("id", *(F.coalesce(f"__{c}", c).alias(c) for c in GROUP), members.alias("competing_fact_ids"), F.coalesce("status", F.lit("open")).alias("status"))
 
 
-def supersede(facts: DataFrame, predicates: DataFrame) -> DataFrame:
+def supersede(facts: DataFrame, predicates: DataFrame, dealt_by: tuple[str, ...] = ()) -> DataFrame:
     """Close each dated fact of a varying, single-valued predicate the day before the next one begins. A given end
-    stays, and so do facts that begin on the same day as the next."""
+    stays, and so do facts that begin on the same day as the next. Facts that are dealt by columns which their subject
+    sets stay where they are."""
     rows = with_contract(facts, predicates)
     applies = F.col("time_varying") & ~F.col("allow_multi") & F.col("valid_from").isNotNull()
-    order = Window.partitionBy(*GROUP, applies).orderBy("valid_from", "seq")
+    order = Window.partitionBy(*dealt_by, *GROUP, applies).orderBy("valid_from", "seq")
     follows = F.when(applies, F.lead("valid_from").over(order))
     end = F.when(F.col("valid_to").isNull() & (follows != F.col("valid_from")), F.date_sub(follows, 1)).otherwise(F.col("valid_to"))
     return rows.withColumn("valid_to", end).drop("time_varying", "allow_multi")

@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 
 from ..operators.facts import as_of
 
-#: Rows that a bucket should have at most, buckets' digits at most, and keys that are looked up one by one.
-ROWS, DIGITS, SOME = 1 << 20, 4, 256
+#: Rows that a bucket should have at most, buckets' digits at most, partitions they are dealt to, and keys that are looked up one by one.
+ROWS, DIGITS, PARTS, SOME = 1 << 20, 4, 4096, 256
 _HEX = "0123456789abcdef"
 
 
@@ -27,33 +27,58 @@ def is_id(key: str) -> bool:
     return len(key) == 64 and set(key) <= set(_HEX)
 
 
+#: The key of each table.
+KEYS = {"facts": "id", "subjects": "subject_id", "claims": "fact_id", "conflicts": "id", "members": "fact_id"}
+
+
+def digits_for(n: int) -> int:
+    """How many digits of its key name the bucket of a row, if there are ``n`` facts."""
+    return next(k for k in range(1, DIGITS + 1) if n <= ROWS * 16**k or k == DIGITS)
+
+
+def dealt(rows: DataFrame, name: str, digits: int) -> DataFrame:
+    """``rows`` of a table dealt by their bucket; what is computed of them by bucket needs no further shuffle."""
+    key = F.sha2("subject_id", 256) if name == "subjects" else F.col(KEYS[name])
+    return rows.withColumn("bucket", F.substring(key, 1, digits)).repartition(min(16**digits, PARTS), "bucket")
+
+
+def write_dealt(path: str, name: str, rows: DataFrame) -> None:
+    """Write the table ``name`` from ``rows`` that are ``dealt``."""
+    key = KEYS[name]
+    out = rows.sortWithinPartitions("bucket", key).write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("compression", "zstd")
+    out.option(f"parquet.bloom.filter.expected.ndv#{key}", ROWS).option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{path}/{name}")
+    spark = rows.sparkSession
+    if name == "conflicts":
+        counts = spark.read.schema(rows.schema).parquet(f"{path}/{name}").groupBy("status", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        counts.coalesce(1).write.parquet(f"{path}/conflict_counts")  # a row a bucket and status
+    spark.createDataFrame([(name, rows.schema.json())], "name string, kind string").coalesce(1).write.mode("append").parquet(f"{path}/kinds")
+
+
+def members(conflicts: DataFrame) -> DataFrame:
+    """(fact_id, conflict_id): the table of members."""
+    return conflicts.select(F.explode(F.array_distinct("competing_fact_ids")).alias("fact_id"), F.col("id").alias("conflict_id"))
+
+
 def write_store(path: str, facts: DataFrame, claims: DataFrame, conflicts: DataFrame) -> None:
     """Write facts (id, subject_id, predicate, ...) by id and by subject, claims (id, fact_id, ...), conflicts (id,
     status, competing_fact_ids, ...) and their members."""
-    n = facts.count()
-    digits = next(k for k in range(1, DIGITS + 1) if n <= ROWS * 16**k or k == DIGITS)
-    subject = F.sha2("subject_id", 256)
-    members = conflicts.select(F.explode(F.array_distinct("competing_fact_ids")).alias("fact_id"), F.col("id").alias("conflict_id"))
-    tables = {"facts": (facts, "id", F.col("id")), "subjects": (facts, "subject_id", subject), "claims": (claims, "fact_id", F.col("fact_id")),
-              "conflicts": (conflicts, "id", F.col("id")), "members": (members, "fact_id", F.col("fact_id"))}
-    kinds = []
-    for name, (rows, key, digest) in tables.items():
-        rows = rows.withColumn("bucket", F.substring(digest, 1, digits))
-        kinds.append((name, rows.schema.json()))
-        out = rows.repartitionByRange("bucket", key).sortWithinPartitions("bucket", key).write.option(f"parquet.bloom.filter.enabled#{key}", "true")
-        out.option(f"parquet.bloom.filter.expected.ndv#{key}", ROWS).option("parquet.bloom.filter.adaptive.enabled", "true").partitionBy("bucket").parquet(f"{path}/{name}")
-    counts = conflicts.groupBy("status", F.substring("id", 1, digits).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    counts.coalesce(1).write.parquet(f"{path}/conflict_counts")  # a row a bucket and status
-    facts.sparkSession.createDataFrame(kinds, "name string, kind string").coalesce(1).write.parquet(f"{path}/kinds")
+    digits = digits_for(facts.count())
+    for name, rows in {"facts": facts, "subjects": facts, "claims": claims, "conflicts": conflicts}.items():
+        write_dealt(path, name, dealt(rows, name, digits))
+    write_dealt(path, "members", dealt(members(Store(facts.sparkSession, path).conflict), "members", digits))
 
 
 class Store:
-    """The tables of ``write_store``; their files are listed once."""
+    """The tables of ``write_store``, or those of them that were written; their files are listed once."""
 
     def __init__(self, spark: SparkSession, path: str):
         kinds = {r.name: StructType.fromJson(json.loads(r.kind)) for r in spark.read.parquet(f"{path}/kinds").collect()}
-        self.by_id, self.by_subject, self.claim, self.conflict, self.member = (spark.read.schema(kinds[x]).parquet(f"{path}/{x}") for x in ("facts", "subjects", "claims", "conflicts", "members"))
-        self.counts = sorted((r.bucket, r.status, r.n) for r in spark.read.parquet(f"{path}/conflict_counts").collect())
+        self.by_id, self.by_subject, self.claim, self.conflict, self.member = (spark.read.schema(kinds[x]).parquet(f"{path}/{x}") if x in kinds else None for x in ("facts", "subjects", "claims", "conflicts", "members"))
+        self.counts = sorted((r.bucket, r.status, r.n) for r in spark.read.parquet(f"{path}/conflict_counts").collect()) if "conflicts" in kinds else []
+        self.tables = frozenset(kinds)
+
+    def has(self, table: str) -> bool:
+        return table in self.tables
 
     def _at(self, table: DataFrame, key: str, *values: str) -> DataFrame:
         good = [v for v in values if is_id(v)]

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from factloom.operators import facts as O
+from factloom.plans import lookups, queries
 from factloom.sources import layout
 
 
@@ -61,3 +62,24 @@ def test_the_scan_gets_the_bucket_and_the_key(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "EqualTo(id," in plan.replace("In(id, [", "EqualTo(id,")
     assert len(store.fact(key).inputFiles()) >= 1 and store.fact(key).count() == 1
     assert store.detail(key).head().claims == [] and store.conflicts().count() == 0
+
+
+def test_dealt_facts_are_superseded_where_they_are(spark):
+    rows = [(digest(str(i)), i, f"s{i % 5}", ("view", "signup")[i % 2], str(i % 3), datetime.date(2024, 1, 1 + i * 7 % 28), None) for i in range(90)]
+    f = spark.createDataFrame(rows, "id string, seq long, subject_id string, predicate string, canonical_value string, valid_from date, valid_to date")
+    known = queries.predicates(spark)
+    got = O.supersede(layout.dealt(f, "subjects", 1), known, ("bucket",))
+    ends = lambda df: sorted((r.id, str(r.valid_to)) for r in df.collect())
+    assert ends(got) == ends(O.supersede(f, known))
+    plan = O.supersede(layout.dealt(f, "subjects", 1), known, ("bucket",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_only_tables_that_a_lookup_needs_are_written(spark, tmp_path):
+    spark.range(40).selectExpr("id as event_id", "id % 3 as user_id", "'view' as event_type", "id % 4 + 0.5D as value", "timestamp '2024-01-05 00:00:00' + make_dt_interval(cast(id % 5 as int)) as ts").write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    assert queries.FOUND["subject_facts"](spark, d).count() == 13
+    assert lookups.store(spark, d, "subjects").tables == {"subjects"}
+    assert queries.FOUND["fact_lookup"](spark, d).count() == 1 and lookups.store(spark, d).tables == {"subjects", "facts"}
+    got = queries.FOUND["fact_detail_one"](spark, d).head()
+    assert got.conflicts.count(",") == 12 and lookups.store(spark, d).tables == {"subjects", "facts", "claims", "conflicts", "members"}
