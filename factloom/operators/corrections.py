@@ -29,8 +29,11 @@ def resolved_content(documents: DataFrame, corrections: DataFrame, bodies: DataF
     """Documents (document_id, content) with the body (path, body) that their correction names, if it is there, in place
     of their own, and then its literal replacements."""
     own = corrections.select("document_id", F.col("override_path").alias("path"), "replacements")
-    rows = documents.join(own, "document_id", "left").join(bodies.select("path", "body"), "path", "left")
-    return rows.withColumn("content", overlaid(F.coalesce("body", "content"), F.col("replacements"))).drop("path", "body", "replacements")
+    # bodies meet the corrections that name one: documents would all meet in one task if they name none
+    named = own.where("path is not null").join(bodies.select("path", "body"), "path", "left")
+    own = named.select("document_id", "body", "replacements").unionByName(own.where("path is null").drop("path"), allowMissingColumns=True)
+    rows = documents.join(own, "document_id", "left")
+    return rows.withColumn("content", overlaid(F.coalesce("body", "content"), F.col("replacements"))).drop("body", "replacements")
 
 
 def prepared(documents: DataFrame, corrections: DataFrame, bodies: DataFrame, hints: Column) -> DataFrame:

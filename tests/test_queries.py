@@ -2,6 +2,7 @@ import datetime
 import re
 import unicodedata
 
+from factloom.operators import corrections
 from factloom.plans import queries
 
 
@@ -38,3 +39,13 @@ def test_dates_are_found_behind_words_that_a_cut_makes_disqualifying(spark, tmp_
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.FOUND["document_date"](spark, str(tmp_path)).collect()
     assert {r.doc_id: r.day for r in got} == {i: str(datetime.date(2001, 1, 1) + datetime.timedelta(i)) for i, _ in rows}
+
+
+def test_documents_without_another_body_are_not_joined_by_its_path(spark):
+    docs = spark.createDataFrame([(str(i), f"text {i}") for i in range(6)], "document_id string, content string")
+    fixes = spark.createDataFrame([("0", "a", [("o", "0")]), ("1", "gone", None), ("2", None, [("text", "t")]), ("2", "b", [])], "document_id string, override_path string, replacements array<struct<find:string,replace:string>>")
+    bodies = spark.createDataFrame([("a", "foo"), ("b", "bar")], "path string, body string")
+    out = corrections.resolved_content(docs, fixes, bodies)
+    assert sorted((r.document_id, r.content) for r in out.collect()) == [("0", "f00"), ("1", "text 1"), ("2", "bar"), ("2", "t 2"), ("3", "text 3"), ("4", "text 4"), ("5", "text 5")]
+    first = next(line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+    assert "document_id" in first and "path" not in first
