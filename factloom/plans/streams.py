@@ -14,7 +14,7 @@ def _changed(spark, d):
     f = facts(spark, d)
     source, path = fresh_path(spark, "facts"), fresh_path(spark, "changes")
     thirds = -(-f.rdd.getNumPartitions() // 3)
-    f.repartition(3 * thirds, F.col("seq") % (3 * thirds)).write.parquet(source)
+    f.repartition(3 * thirds, "seq").write.parquet(source)
     stream = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", thirds).parquet(source)
     keyed.detect_with_state(stream, predicates(spark), path, fresh_path(spark, "state")).awaitTermination()
     return f, keyed.read_changes(spark, path)

@@ -2,6 +2,7 @@ import datetime
 import random
 
 from factloom.operators import facts as O
+from factloom.plans import streams
 from factloom.streaming import keyed
 
 SCHEMA = "id string, seq long, subject_id string, predicate string, canonical_value string, valid_from date, valid_to date"
@@ -35,3 +36,16 @@ def test_late_facts_and_restarts_end_as_the_batch_does(spark, tmp_path):
     assert changed.select("batch").distinct().count() == 3
     keyed.detect_with_state(spark.readStream.schema(SCHEMA).parquet(source), known, path, checkpoint).awaitTermination()
     assert keyed.read_changes(spark, path).count() == changed.count()  # nothing came, nothing changes
+
+
+def test_state_is_kept_without_calls_from_python(spark, tmp_path):
+    known = spark.createDataFrame([("view", True, False)], "predicate string, time_varying boolean, allow_multi boolean")
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/in")
+    changes = keyed.changes(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), known)
+    plan = changes._jdf.queryExecution().analyzed().toString()
+    assert "InPySpark" not in plan and "InPandas" not in plan and "Deduplicate" in plan
+
+
+def test_facts_come_in_three_batches(spark):
+    _, changed = streams._changed(spark, "/root/testdata/sf0.001")
+    assert changed.select("batch").distinct().count() == 3
