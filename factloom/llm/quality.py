@@ -11,6 +11,8 @@ from . import common, kneser_ney
 LEAST = 200
 #: Trusted ids are broadcast up to this number and joined by a shuffle beyond it.
 BROADCAST_IDS = 1_000_000
+#: Documents trained on in a task, about a block of the model's counts where they have 500 words.
+A_TASK = 4096
 ORDER = 3
 QUANTILE = 0.985
 SEED = 17
@@ -49,6 +51,12 @@ def trusted_ids(docs: DataFrame, labels: DataFrame, sample: int | None = None) -
     return train, common.written(ids.join(F.broadcast(train), "doc_id", "left_anti").select("doc_id"), "held-out-ids")
 
 
+def gathered(train: DataFrame, n: int) -> DataFrame:
+    """``n`` documents to train on in fewer tasks, as many as cores at least: they are a small part of what each task
+    reads, and a block sends each shard the words of its n-grams anew, so small blocks send most words."""
+    return train.coalesce(max(train.sparkSession.sparkContext.defaultParallelism, -(-n // A_TASK)))
+
+
 def with_perplexity(docs: DataFrame, model: kneser_ney.Model) -> DataFrame:
     """``docs`` with n_tokens and log_ppl, the mean negative log10 probability of a token; nothing is shuffled."""
     scored = kneser_ney.score(docs, model, extra=tuple(c for c in docs.columns if c != "doc_id"))
@@ -79,10 +87,12 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sam
     """
     docs = docs.select(*(c for c in docs.columns if c not in ADDED))
     train, held_out = trusted_ids(docs, labels, sample)
-    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    small = lambda ids, n: F.broadcast(ids) if n <= BROADCAST_IDS else ids
+    n = train.count()
     # a model of few documents has few shards, as each is joined to every block of documents in turn
-    model = kneser_ney.train(docs.select("doc_id", "text").join(small(train), "doc_id", "left_semi"), order, shards=8 if sample else None)
-    rest = docs.select("doc_id", "text", "lang").join(small(held_out), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(small(train, n), "doc_id", "left_semi")
+    model = kneser_ney.train(gathered(texts, n), order, shards=8 if sample else None)
+    rest = docs.select("doc_id", "text", "lang").join(small(held_out, held_out.count()), "doc_id", "left_semi")
     limits = common.written(thresholds(with_perplexity(rest, model), quantile), "thresholds")  # one row a language
     own = F.broadcast(limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.col("most").alias("__own")))
     rest = limits.where("lang is null").agg(F.max("most").alias("__rest"))

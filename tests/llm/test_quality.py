@@ -32,3 +32,16 @@ def test_half_of_all_trusted_texts_is_trained_on_and_the_rest_sets_thresholds(sp
     labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
     train, held = (x.agg({"doc_id": "count"}).first()[0] for x in quality.trusted_ids(docs, labels))
     assert train + held == n and abs(train - n / 2) < n / 50
+
+
+def test_few_trained_documents_are_counted_in_few_blocks_with_the_same_results(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(60)], k=20)), "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.where("doc_id % 3 = 0").selectExpr("doc_id", "1 as quality", "0 as toxic")
+    parts = docs.repartition(40)
+    cores = spark.sparkContext.defaultParallelism
+    assert quality.gathered(parts, 150).rdd.getNumPartitions() == cores
+    assert quality.gathered(parts, 20 * quality.A_TASK + 1).rdd.getNumPartitions() == 21
+    of = lambda d: {r.doc_id: (r.n_tokens, round(r.log_ppl, 9), round(r.threshold, 9), r.keep) for r in quality.classify(d, labels).collect()}
+    assert of(parts) == of(docs.coalesce(1)) and len(of(parts)) == 900
