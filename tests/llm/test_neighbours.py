@@ -88,3 +88,39 @@ def test_scan_equals_brute_force_over_groups_and_parts(spark, monkeypatch):
     assert len(got) == 40
     for i in range(0, 400, 10):
         assert got[x[i].tobytes()] == sorted((-float((y * x[i]).sum()), j) for j, y in enumerate(x))[:21]
+
+
+def test_bounds_lose_nothing_whatever_the_norms(spark):
+    # all pairs meet in one bucket: what 32 bits round away doesn't drop any of the best, be norms equal or far apart
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((600, 12))
+    x[100:200] = x[0] + rng.normal(0, 1e-9, (100, 12))
+    x *= np.where(np.arange(600) % 50 == 7, 1e6, rng.choice([1e-6, 1.0], 600))[:, None]
+    norm, q = float(np.linalg.norm(x, axis=1).max()), x[::20]
+    exact = np.array([(x * v).sum(1) for v in q])
+    kth = -np.sort(-exact, axis=1)[:, 20]
+    for least in (np.full(len(q), -np.inf), kth):
+        met = neighbours._Met(x, q, least, norm, 21)
+        for first in range(0, 600, 150):
+            met.meet(np.arange(len(q)), first, first + 150)
+        met.raised(over=True)
+        left = set(zip(*(v.tolist() for v in met.pairs())))
+        assert all((r, c) in left for r, c in zip(*np.nonzero(exact >= kth[:, None])))
+
+
+def test_a_task_hands_on_no_more_than_a_query_needs(spark):
+    # pairs of a query that several batches and tasks found are merged as plain sorting does, without comparing each two
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 40)), [(float(-rng.integers(0, 300)), int(rng.integers(0, 300))) for _ in range(21)]) for _ in range(4000)]
+    found = spark.createDataFrame(rows, "query long, found array<struct<s:double,i:long>>").repartition(5)
+    want: dict = {}
+    for q, pairs in rows:
+        want.setdefault(q, set()).update(pairs)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    got = {r["query"]: [(f.s, f.i) for f in r.found] for r in neighbours._merged(found, "query", 21).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {q: sorted(pairs)[:21] for q, pairs in want.items()}
+    held = neighbours.pa.table({"bucket": neighbours.pa.array(np.repeat(np.arange(4, dtype=np.int32), 50)), "v": [v.tobytes() for v in np.tile(rng.standard_normal((50, 8)), (4, 1))], "ids": [[i] for i in range(50)] * 4})
+    asked = neighbours.pa.table({"query": [5], "v": [rng.standard_normal(8).tobytes()], "buckets": [np.arange(4, dtype=np.uint32).tobytes()], "least": [-np.inf]})
+    _, lists = neighbours._Held(held, 8, "<f8").nearest(asked, 10.0, 21, 4)
+    assert len(lists[0]) == 21 and len({p["i"] for p in lists[0].as_py()}) == 21  # 84 before, each four times
