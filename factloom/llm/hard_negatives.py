@@ -1,10 +1,11 @@
 """Hard negatives by inner products of integer tiles, multiplied by Strassen's recursion.
 
-Rows are packed into tiles of integers, anchors into groups of tiles' size times some; each candidate tile meets each
-group once a round, in cells of (group, part) that are spread over tasks. In the first round a task keeps, for each
-anchor, a heap of the best rows of its label; heaps of tasks merge in Spark to the positives. In the second one it
-keeps a heap for each anchor and positive, of rows of other labels whose score lies in the positive's window, and these
-merge likewise. Sums and products are of 64-bit integers throughout, so results are exact.
+Rows are packed into tiles of integers, sorted by label, anchors into groups of tiles' size times some; each candidate tile
+meets each group once a round, in cells of (some groups, part of the tiles) that are tasks. In the first round a task keeps,
+for each anchor, a heap of the best rows of its label, and only runs of one label are multiplied; heaps of tasks merge in
+Spark to the positives. In the second one it keeps a heap for each anchor and positive, of rows of other labels whose score
+lies in the positive's window, and these merge likewise. Scores are 64-bit integers; tiles are multiplied in floating point
+where no sum on the way can reach what that holds exactly, so results are exact.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,38 +22,52 @@ from . import common
 
 #: Rows of a tile, anchors of a group, and the side below which tiles are multiplied directly.
 TILE, GROUP, LEAF = 1024, 1 << 14, 16
-#: Groups whose heaps a task holds before it hands them on, and what a score stays below.
-HELD, LARGEST = 8, 1 << 58
+#: Groups whose heaps a task holds, tiles (and bytes) whose rows are sorted by label together, and what a score stays below.
+HELD, SORTED, SORTED_BYTES, LARGEST = 8, 64, 1 << 26, 1 << 58
 _NONE = -(1 << 62)
-_TILE = "ids array<long>, labels array<long>, components binary, width int, kind string"
-_ARROW = pa.schema([("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("components", pa.binary()), ("width", pa.int32()), ("kind", pa.string())])
+_TILE = "ids array<long>, labels array<long>, components binary, width int, kind string, dealt double"
+_ARROW = pa.schema([("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64())), ("components", pa.binary()), ("width", pa.int32()), ("kind", pa.string()), ("dealt", pa.float64())])
 
 
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
-    """The product of two integer matrices of any shape: halved on all three sides, with a row or column of zeros where
+    """The product of two matrices of any shape and one type: halved on all three sides, with a row or column of zeros where
     one is odd, as seven products of halves."""
     m, k, n = *a.shape, b.shape[1]
     if min(m, k, n) <= leaf:
         return a @ b
-    a, b = np.pad(a, ((0, m % 2), (0, k % 2))), np.pad(b, ((0, k % 2), (0, n % 2)))
+    if m % 2 or k % 2 or n % 2:
+        a, b = np.pad(a, ((0, m % 2), (0, k % 2))), np.pad(b, ((0, k % 2), (0, n % 2)))
     i, j, l = (m + 1) // 2, (k + 1) // 2, (n + 1) // 2
     a11, a12, a21, a22 = a[:i, :j], a[:i, j:], a[i:, :j], a[i:, j:]
     b11, b12, b21, b22 = b[:j, :l], b[:j, l:], b[j:, :l], b[j:, l:]
+    out = np.empty((2 * i, 2 * l), a.dtype)
+    c11, c12, c21, c22 = out[:i, :l], out[:i, l:], out[i:, :l], out[i:, l:]
     p1 = strassen(a11 + a22, b11 + b22, leaf)
-    p2 = strassen(a21 + a22, b11, leaf)
+    p5 = strassen(a11 + a12, b22, leaf)
+    np.subtract(p1, p5, out=c11)
     p3 = strassen(a11, b12 - b22, leaf)
+    np.add(p3, p5, out=c12)
+    np.add(p1, p3, out=c22)
+    p2 = strassen(a21 + a22, b11, leaf)
+    c22 -= p2
     p4 = strassen(a22, b21 - b11, leaf)
-    p5 = strassen(a11 + a12, b22, leaf)
-    p6 = strassen(a21 - a11, b11 + b12, leaf)
-    p7 = strassen(a12 - a22, b21 + b22, leaf)
-    out = np.empty((2 * i, 2 * l), np.int64)
-    out[:i, :l] = p1 + p4 - p5 + p7
-    out[:i, l:] = p3 + p5
-    out[i:, :l] = p2 + p4
-    out[i:, l:] = p1 - p2 + p3 + p6
+    np.add(p2, p4, out=c21)
+    c11 += p4
+    c11 += strassen(a12 - a22, b21 + b22, leaf)
+    c22 += strassen(a21 - a11, b11 + b12, leaf)
     return out[:m, :n]
 
 
+def _kind(a: float, b: float, width: int, leaf: int) -> type:
+    """In what rows of lengths ``a`` and ``b`` at most are multiplied exactly by ``strassen``. A halving adds up two halves
+    of each at most, so products grow fourfold; the last sums are of four products, of twelve times a b of their level."""
+    depth = 0
+    while width > leaf:
+        width, depth = (width + 1) // 2, depth + 1
+    most = 1.01 * (a + 1) * (b + 1) * (12 * 4.0 ** (depth - 1) if depth else 1)
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+
+
 class Heaps:
     """For each of ``n`` places the best ``k`` (score, id), by score from the top and then by id from below."""
 
@@ -67,18 +83,23 @@ class Heaps:
         if scores.shape[1] > k and np.count_nonzero(hit) > 4 * k * n:
             least = np.partition(np.where(hit, scores, _NONE), -k, axis=1)[:, -k]
             hit &= scores >= least[:, None]
-        row, col = np.nonzero(hit)
+        row, col = np.divmod(np.flatnonzero(hit), scores.shape[1])
+        self.merge(first + row, scores[row, col].astype(np.int64), ids[col])
+
+    def merge(self, row: np.ndarray, score: np.ndarray, who: np.ndarray) -> None:
+        """Take in (score, id) at places ``row``."""
+        k = self.score.shape[1]
         if not len(row):
             return
         some = np.unique(row)
         row = np.concatenate([row, np.repeat(some, k)])
-        score = np.concatenate([scores[hit], self.score[mine][some].ravel()])
-        who = np.concatenate([ids[col], self.id[mine][some].ravel()])
+        score = np.concatenate([score, self.score[some].ravel()])
+        who = np.concatenate([who, self.id[some].ravel()])
         order = np.lexsort((who, -score, row))
         row, score, who = row[order], score[order], who[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         keep = rank < k
-        self.score[first + row[keep], rank[keep]], self.id[first + row[keep], rank[keep]] = score[keep], who[keep]
+        self.score[row[keep], rank[keep]], self.id[row[keep], rank[keep]] = score[keep], who[keep]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place, id and score of all that are kept."""
@@ -86,7 +107,7 @@ class Heaps:
         return place, self.id[place, at], self.score[place, at]
 
 
-def _tile(ids: list, labels: list, vectors: list) -> dict:
+def _tile(ids: list, labels: list, vectors: list, dealt: float = 0.0) -> dict:
     width = max(map(len, vectors), default=0)
     x = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
@@ -96,12 +117,74 @@ def _tile(ids: list, labels: list, vectors: list) -> dict:
     if top >= LARGEST:
         raise ValueError("components are too large for exact 64-bit scores")
     kind = "<i2" if top < 1 << 15 else "<i4" if top < 1 << 31 else "<i8"
-    return {"ids": ids, "labels": labels, "components": x.astype(kind).tobytes(), "width": width, "kind": kind}
-
-
-def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids = np.array(row["ids"], np.int64)
-    return ids, np.array(row["labels"], np.int64), np.frombuffer(row["components"], row["kind"]).reshape(len(ids), row["width"]).astype(np.int64)
+    return {"ids": ids, "labels": labels, "components": x.astype(kind).tobytes(), "width": width, "kind": kind, "dealt": dealt}
+
+
+class Tile:
+    """Ids, labels and components of a tile or group, whose rows are sorted by label."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, x: np.ndarray):
+        self.ids, self.labels, self.x = ids, labels, x
+        self.top, self.length = int(np.abs(x).max(initial=0)), float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max(initial=0)))
+        self._as: dict = {}
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, row: int) -> Tile:
+        get = lambda c: batch.column(c)[row]
+        ids, labels = get("ids").values.to_numpy(), get("labels").values.to_numpy()
+        return cls(ids, labels, np.frombuffer(get("components").as_py(), get("kind").as_py()).reshape(len(ids), get("width").as_py()).astype(np.int64))
+
+    def of(self, kind: type, width: int) -> np.ndarray:
+        """The components in another type, followed by zeros."""
+        if (kind, width) not in self._as:
+            self._as[kind, width] = np.pad(self.x, ((0, 0), (0, width - self.x.shape[1]))).astype(kind)
+        return self._as[kind, width]
+
+    def against(self, other: Tile, leaf: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Both tiles' components, the other's turned, in a type in which their products are exact, and the side of
+        products made at once: a library's in floating point, where a leaf may be twice as wide."""
+        width = max(self.x.shape[1], other.x.shape[1])
+        if width * self.top * other.top >= LARGEST:
+            raise ValueError("components are too large for exact 64-bit scores")
+        kind = _kind(self.length, other.length, width, 2 * leaf)
+        return self.of(kind, width), np.ascontiguousarray(other.of(kind, width).T), leaf if kind is np.int64 else 2 * leaf
+
+
+class Group(Tile):
+    """Anchors with a heap for each of their windows, scores from ``low`` to ``high`` (windows, anchors)."""
+
+    def __init__(self, tile: Tile, low: np.ndarray, high: np.ndarray, keep: int):
+        super().__init__(tile.ids, tile.labels, tile.x)
+        self.low, self.high, self.heaps = low, high, [Heaps(len(self.ids), keep) for _ in low]
+        self.floor, self.roof = low.min(0, initial=LARGEST), high.max(0, initial=_NONE)
+
+    def offer(self, first: int, scores: np.ndarray, tile: Tile, some: slice, alike: bool) -> None:
+        """Take in ``scores`` of the anchors from ``first`` on and the tile's rows ``some``: of an anchor's label but not of
+        its id if ``alike``, or else of other labels."""
+        mine = slice(first, first + len(scores))
+        ids, labels = tile.ids[some], tile.labels[some]
+        floor, roof = self.floor[mine].astype(scores.dtype), self.roof[mine].astype(scores.dtype)
+        if scores.dtype != np.int64:  # rounded outwards
+            floor, roof = np.nextafter(floor, scores.dtype.type(-np.inf)), np.nextafter(roof, scores.dtype.type(np.inf))
+        hit = scores >= floor[:, None]
+        if (n := np.count_nonzero(hit)) > scores.size // 16:
+            n = np.count_nonzero(hit := hit & (scores <= roof[:, None]))
+        if n > scores.size // 16:
+            fit = self.ids[mine, None] != ids if alike else self.labels[mine, None] != labels
+            for h, low, high in zip(self.heaps, self.low[:, mine], self.high[:, mine]):
+                h.add(first, scores, fit & (scores >= low[:, None]) & (scores <= high[:, None]), ids)
+        elif n:
+            rows = np.flatnonzero(hit.any(1))
+            row, col = np.divmod(np.flatnonzero(hit[rows]), scores.shape[1])
+            row = rows[row]
+            score, row = scores[row, col].astype(np.int64), first + row
+            fit = self.ids[row] != ids[col] if alike else self.labels[row] != labels[col]
+            row, col, score = row[fit], col[fit], score[fit]
+            for h, low, high in zip(self.heaps, self.low, self.high):
+                fit = (score >= np.maximum(low[row], h.score[row, -1])) & (score <= high[row])
+                h.merge(row[fit], score[fit], ids[col[fit]])
+        if n:
+            self.floor[mine] = np.min([np.maximum(low, h.score[mine, -1]) for h, low in zip(self.heaps, self.low[:, mine])], 0)
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -113,75 +196,85 @@ def usable(table: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame, size: int | None) -> DataFrame:
-    """Rows in tiles of ``size``, or with None in one for each partition."""
+    """Rows in tiles of ``size``, or with None in one for each partition, sorted by label; ``dealt`` is spread from 0 to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], []]
+        n_bytes, dealt = 0, TaskContext.get().partitionId() * 0.7548776662466927 % 1
+
+        def tiles() -> Iterator[pa.RecordBatch]:
+            nonlocal n_bytes, dealt
+            order = np.argsort(np.array(held[1], np.int64), kind="stable").tolist()
+            for first in range(0, len(order), size or len(order)):
+                own = order[first : first + (size or len(order))]
+                yield pa.RecordBatch.from_pylist([_tile(*([h[i] for i in own] for h in held), dealt=dealt)], _ARROW)
+                dealt = (dealt + 0.6180339887498949) % 1
+            held[:], n_bytes = ([], [], []), 0
+
         for batch in batches:
-            for at, column in enumerate(batch.columns):
-                held[at] += [v.values.to_numpy() for v in column] if at == 2 else column.to_pylist()
-            while size and len(held[0]) >= size:
-                yield pa.RecordBatch.from_pylist([_tile(*(h[:size] for h in held))], _ARROW)
-                held = [h[size:] for h in held]
+            for column, name in enumerate(("vec_id", "label", "embedding")):
+                held[column] += [v.values.to_numpy() for v in batch.column(name)] if name == "embedding" else batch.column(name).to_pylist()
+            n_bytes += batch.nbytes
+            if size and (len(held[0]) >= SORTED * size or len(held[0]) >= size and n_bytes >= SORTED_BYTES):
+                yield from tiles()
         if held[0]:
-            yield pa.RecordBatch.from_pylist([_tile(*held)], _ARROW)
+            yield from tiles()
 
     return rows.mapInArrow(run, _TILE)
 
 
 def _met(tiles: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
-    """Each tile with each group: tiles are dealt over parts, and a group goes to every part, so that a cell of both has
-    its share of the tiles whatever the number of groups is."""
-    parts = -(-2 * common.shards(tiles.sparkSession) // n_groups)
-    dealt = tiles.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    to = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return dealt.join(to.withColumnsRenamed({c: f"a_{c}" for c in ("ids", "labels", "components", "width", "kind")}), ["group", "part"])
+    """Tiles and the groups they meet, each cell of ``HELD`` groups and a part of the tiles a partition of its own, groups
+    first: tiles are dealt over parts, and a group goes to every part, so that a cell has its share of the tiles whatever
+    the number of groups is. There are some cells for each core, as each hands on heaps of all its anchors."""
+    spark = tiles.sparkSession
+    blocks = -(-n_groups // HELD)
+    parts = -(-min(2 * common.shards(spark), 4 * spark.sparkContext.defaultParallelism) // blocks)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = tiles.withColumn("block", numbers(blocks)).withColumn("cell", ((F.col("dealt") * parts).cast("int") * blocks + F.col("block")).cast("int"))
+    to = groups.withColumn("part", numbers(parts)).withColumn("cell", (F.col("part") * blocks + F.col("group") % blocks).cast("int"))
+    both = to.drop("part").unionByName(dealt.drop("block"), allowMissingColumns=True)
+    return both.repartitionById(blocks * parts, "cell").sortWithinPartitions(F.col("group").isNull())
 
 
 def _scored(met: DataFrame, keep: int, leaf: int, windows: bool) -> DataFrame:
     """(group, place, window, id, score): what each task's heaps keep of each anchor."""
     schema = "group int, place int, window int, id long, score long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, tuple] = {}
-
-        def ended() -> Iterator[pa.RecordBatch]:
-            for group, (*_, heaps) in state.items():
-                for window, h in enumerate(heaps):
-                    place, who, score = h.rows()
-                    full = lambda v: np.full(len(place), v, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full(group), place.astype(np.int32), full(window), who, score)], ["group", "place", "window", "id", "score"])
-            state.clear()
+    def group(batch: pa.RecordBatch, row: int) -> Group:
+        tile = Tile.read(batch, row)
+        if not windows:
+            return Group(tile, np.full((1, len(tile.ids)), _NONE), np.full((1, len(tile.ids)), LARGEST), keep)
+        goals = np.array(batch.column("goals")[row].as_py() or [], np.int64).reshape(-1, 3)
+        shape = int(goals[:, 1].max(initial=-1)) + 1, len(tile.ids)
+        low, high = np.full(shape, LARGEST), np.full(shape, _NONE)
+        low[goals[:, 1], goals[:, 0]], high[goals[:, 1], goals[:, 0]] = -(-goals[:, 2] // 2), 19 * goals[:, 2] // 20  # 50 to 95 %
+        return Group(tile, low, high, keep)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[int, Group] = {}
         for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
-                group = get("group")
-                if group not in state:
-                    if len(state) >= HELD:
-                        yield from ended()
-                    a = _read({c: get(f"a_{c}") for c in ("ids", "labels", "components", "width", "kind")})
-                    goals = np.array(get("goals") or [], np.int64).reshape(-1, 3) if windows else np.zeros((0, 3), np.int64)
-                    n = int(goals[:, 1].max()) + 1 if len(goals) else int(not windows)
-                    wanted, there = np.zeros((n, len(a[0])), np.int64), np.zeros((n, len(a[0])), bool)
-                    wanted[goals[:, 1], goals[:, 0]], there[goals[:, 1], goals[:, 0]] = goals[:, 2], True
-                    state[group] = (*a, wanted, there, [Heaps(len(a[0]), keep) for _ in range(n)])
-                a_ids, a_labels, x, wanted, there, heaps = state[group]
-                ids, labels, y = _read({c: get(c) for c in ("ids", "labels", "components", "width", "kind")})
-                width = max(x.shape[1], y.shape[1])
-                if width * int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) >= LARGEST:
-                    raise ValueError("components are too large for exact 64-bit scores")
-                y = np.ascontiguousarray(np.pad(y, ((0, 0), (0, width - y.shape[1]))).T)
-                for first in range(0, len(a_ids), TILE):
-                    mine = slice(first, first + TILE)
-                    scores = strassen(np.pad(x[mine], ((0, 0), (0, width - x.shape[1]))), y, leaf)
-                    same = a_labels[mine, None] == labels
-                    if not windows:
-                        heaps[0].add(first, scores, same & (a_ids[mine, None] != ids), ids)
-                    for h, goal, has in zip(heaps, wanted, there) if windows else ():
-                        goal = goal[mine, None]
-                        h.add(first, scores, ~same & has[mine, None] & (2 * scores >= goal) & (20 * scores <= 19 * goal), ids)
-        yield from ended()
+            for row, number in enumerate(batch.column("group").to_pylist()):
+                if number is not None:
+                    state[number] = group(batch, row)
+                    continue
+                tile = Tile.read(batch, row)
+                for g in state.values():
+                    x, y, side = g.against(tile, leaf)
+                    if windows:
+                        runs = [(0, len(g.ids), slice(0, len(tile.ids)))]
+                    else:
+                        names, start = np.unique(tile.labels, return_index=True)
+                        from_, to = np.searchsorted(g.labels, names), np.searchsorted(g.labels, names, "right")
+                        runs = [(a, b, slice(c, d)) for a, b, c, d in zip(from_.tolist(), to.tolist(), start.tolist(), [*start[1:].tolist(), len(tile.ids)]) if b > a]
+                    for begin, end, some in runs:
+                        for first in range(begin, end, TILE):
+                            g.offer(first, strassen(x[first : min(first + TILE, end)], y[:, some], side), tile, some, not windows)
+        for number, g in state.items():
+            for window, h in enumerate(g.heaps):
+                place, who, score = h.rows()
+                full = lambda v: np.full(len(place), v, np.int32)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full(number), place.astype(np.int32), full(window), who, score)], ["group", "place", "window", "id", "score"])
 
     return met.mapInArrow(run, schema)
 
