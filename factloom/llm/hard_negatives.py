@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Rows of a tile, anchors of a group, and the side below which tiles are multiplied directly.
-TILE, GROUP, LEAF = 1024, 1 << 14, 16
+#: Rows of a tile, anchors of a group, anchors whose products with a tile are made at once (as a core's cache holds), and the
+#: side below which tiles are multiplied directly.
+TILE, GROUP, ANCHORS, LEAF = 1024, 1 << 14, 512, 16
 #: Groups whose heaps a task holds, tiles (and bytes) whose rows are sorted by label together, and what a score stays below.
 HELD, SORTED, SORTED_BYTES, LARGEST = 8, 64, 1 << 26, 1 << 58
 _NONE = -(1 << 62)
@@ -268,8 +269,8 @@ def _scored(met: DataFrame, keep: int, leaf: int, windows: bool) -> DataFrame:
                         from_, to = np.searchsorted(g.labels, names), np.searchsorted(g.labels, names, "right")
                         runs = [(a, b, slice(c, d)) for a, b, c, d in zip(from_.tolist(), to.tolist(), start.tolist(), [*start[1:].tolist(), len(tile.ids)]) if b > a]
                     for begin, end, some in runs:
-                        for first in range(begin, end, TILE):
-                            g.offer(first, strassen(x[first : min(first + TILE, end)], y[:, some], side), tile, some, not windows)
+                        for first in range(begin, end, ANCHORS):
+                            g.offer(first, strassen(x[first : min(first + ANCHORS, end)], y[:, some], side), tile, some, not windows)
         for number, g in state.items():
             for window, h in enumerate(g.heaps):
                 place, who, score = h.rows()
