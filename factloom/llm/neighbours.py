@@ -36,7 +36,7 @@ RECALL = 0.97
 MOST_SETS, HOT, HELD, SCANNED = 8192, 1 << 14, 1 << 16, 1 << 14
 #: Bytes of vectors (once a table) that a task of the search holds, about, and queries that meet them at a time; the owners
 #: and members of a bucket that are multiplied at once; pairs after which bounds are raised.
-HELD_BYTES, ASKED, BLOCK, RAISED = 1 << 25, 1 << 14, (2048, 1024), 1 << 18
+HELD_BYTES, ASKED, BLOCK, RAISED = 1 << 25, 1 << 14, (512, 256), 1 << 18
 #: Vectors, and bytes of them, among which queries find the bounds they start with, at most; their share is a 16th at most.
 DRAWN, DRAWN_BYTES = 1 << 14, 1 << 23
 
@@ -201,18 +201,24 @@ class _Met:
     score isn't above its bound. A table's buckets share no vector, so the ``keep``-th largest of its scores less
     what rounding can add is one that a query's best must reach."""
 
-    def __init__(self, x: np.ndarray, q: np.ndarray, least: np.ndarray, norm: float, keep: int):
-        """``least``: scores that a query's best are known to reach."""
-        dim = x.shape[1]
-        own = x.astype(np.float64) / norm
-        wrong = (dim + 8) * np.finfo(np.float32).eps * np.sqrt((own * own).sum(1)) + 1e-35
-        self.x = np.column_stack([own, wrong]).astype(np.float32)
+    def __init__(self, x: np.ndarray, q: np.ndarray, least: np.ndarray, keep: int):
+        """``least``: scores that a query's best are known to reach. Where products could leave the range of 64 bits, all
+        that meet are left, as only the scores tell how they come out."""
+        dim, x, q = x.shape[1], x.astype(np.float64), q.astype(np.float64)
+        top, own = np.abs(x).max(), np.abs(q).max(1, keepdims=True)
+        x, q = x / top, q / own
+        wrong = (dim + 8) * np.finfo(np.float32).eps * np.sqrt((x * x).sum(1)) + 1e-35
+        self.x = np.column_stack([x, wrong]).astype(np.float32)
         self.x[:, -1] = np.nextafter(self.x[:, -1], np.float32(np.inf))
-        length = np.linalg.norm(q.astype(np.float64), axis=1, keepdims=True)
-        self.q = np.column_stack([q / length, np.ones(len(q))]).astype(np.float32)
-        least = least / length[:, 0] / norm
-        self.least = np.nextafter((least - 1e-12 * np.abs(np.nan_to_num(least))).astype(np.float32), np.float32(-np.inf))
+        length = np.sqrt((q * q).sum(1))
+        self.q = np.column_stack([q / length[:, None], np.ones(len(q))]).astype(np.float32)
         self.keep, self.often = keep, max(RAISED, keep * len(q))
+        size = np.log(top) + np.log(own[:, 0])
+        if size.min() > -600 and size.max() < 600:
+            least = least / (length * own[:, 0]) / top
+            self.least = np.nextafter((least - 1e-12 * np.abs(np.nan_to_num(least))).astype(np.float32), np.float32(-np.inf))
+        else:
+            self.keep, self.least = len(x) + 1, np.full(len(q), -np.inf, np.float32)
         self.top, self.held, self.new, self.n_new = np.empty(0, np.uint64), [], [], 0
 
     def meet(self, rows: np.ndarray, first: int, past: int) -> None:
@@ -303,7 +309,7 @@ class _Held:
         self.names, self.first = np.unique(name[by], return_index=True)
         self.past = np.append(self.first[1:], len(by))
 
-    def nearest(self, asked: pa.Table, norm: float, keep: int, tables: int) -> tuple[pa.Array, pa.Array]:
+    def nearest(self, asked: pa.Table, keep: int, tables: int) -> tuple[pa.Array, pa.Array]:
         """The queries that met vectors, and the ``keep`` best (s, i) of each."""
         q, lists = _packed(asked["v"], self.dim, self.kind), asked["buckets"].to_pylist()
         to = np.frombuffer(b"".join(lists), np.uint32)
@@ -314,7 +320,7 @@ class _Held:
         row = row[np.argsort(at, kind="stable")]
         owned = np.bincount(at, minlength=len(self.names))
         owners = np.append(0, np.cumsum(owned))
-        met = _Met(self.x, q, asked["least"].to_numpy(), norm, keep)
+        met = _Met(self.x, q, asked["least"].to_numpy(), keep)
         for t in range(tables):
             own = np.flatnonzero((self.names % tables == t) & (owned > 0))
             for b in own[np.argsort(self.first[own] - self.past[own], kind="stable")].tolist():  # large ones first
@@ -423,7 +429,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
                 n_asked += batch.num_rows - many
             if asked and held and (batch is None or n_asked >= ASKED):
                 index = index or _Held(pa.Table.from_batches(held), dim, kind)
-                query, found = index.nearest(pa.Table.from_batches(asked), norm, keep, tables)
+                query, found = index.nearest(pa.Table.from_batches(asked), keep, tables)
                 yield from pa.table({"query": query, "found": found}).to_batches()
                 asked, n_asked = [], 0
 
