@@ -488,13 +488,19 @@ def _nearest_of(distinct: DataFrame, q: np.ndarray, k: int, kind: str) -> list[t
     """(number, its ``k`` nearest vectors) of each of a few queries, among all."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, v = np.empty((len(q), 0)), np.empty((len(q), 0, q.shape[1]), kind)  # of the task's vectors so far
         for batch in batches:
-            if batch.num_rows:
-                scores = q @ _matrix(batch.column(0), q.shape[1], kind).T
-                m = min(k, batch.num_rows)
+            x, had = _packed(batch.column(0), q.shape[1], kind), best.shape[1]
+            if len(x):
+                scores = np.hstack([best, q @ x.astype(np.float64).T])
+                m = min(k, scores.shape[1])
                 top = np.argpartition(-scores, m - 1, axis=1)[:, :m]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(len(q)), m)), pa.array(np.take_along_axis(scores, top, 1).ravel()), batch.column(0).take(pa.array(top.ravel()))], ["q", "s", "v"])
+                new = x[np.maximum(top - had, 0)]
+                v = np.where((top < had)[..., None], np.take_along_axis(v, np.minimum(top, had - 1)[..., None], 1), new) if had else new
+                best = np.take_along_axis(scores, top, 1)
+        if best.size:
+            flat = pa.array([row.tobytes() for row in v.reshape(-1, q.shape[1])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q)), best.shape[1])), pa.array(best.ravel()), flat], ["q", "s", "v"])
 
     best = distinct.select("v").mapInArrow(exact, "q long, s double, v binary").groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("s", "v")), False), 1, k).alias("b")).collect()
     return [(r["q"], np.frombuffer(b"".join(bytes(b["v"]) for b in r["b"]), kind).reshape(-1, q.shape[1]).astype(np.float64)) for r in best]

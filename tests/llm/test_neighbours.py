@@ -133,3 +133,14 @@ def test_vectors_whose_squares_are_no_numbers(spark):
         x = np.abs(rng.standard_normal((30, 4))) * size
         table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
         assert answers(table, every=7) == {i: [j for j in range(30) if j != i][:20] for i in range(0, 30, 7)}
+
+
+def test_a_task_hands_on_the_nearest_of_a_sample_once(spark):
+    rng = np.random.default_rng(19)
+    x = rng.standard_normal((500, 5))
+    distinct = spark.createDataFrame([(v.tobytes(),) for v in x], "v binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    got = dict(neighbours._nearest_of(distinct, x[:7], 20, "<f8"))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i in range(7):
+        assert (got[i] == x[np.argsort(-(x @ x[i]))[:20]]).all()
